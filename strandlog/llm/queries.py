@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing
+from . import bpe, embedding_dedup, exact_dedup, packing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings")).drop("class_id")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents")).drop("locator")
 
@@ -43,12 +47,33 @@ SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, sha256(t
 FROM t JOIN g ON t.norm = g.norm
 """
 
+OP1_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND list_count(embedding) = len(embedding) AND isfinite(list_sum(embedding))
+    AND (list_min(embedding) <> 0 OR list_max(embedding) <> 0)
+), l AS (
+  SELECT a.vec_id AS src, b.vec_id AS dst FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.9
+), r(node, reach) AS (
+  SELECT vec_id, vec_id FROM embeddings
+  UNION
+  SELECT r.node, l.dst FROM r JOIN l ON r.reach = l.src
+), c AS (SELECT node, min(reach) AS component_id FROM r GROUP BY node),
+d AS (SELECT src, count(*) AS n FROM l GROUP BY src)
+SELECT e.vec_id, coalesce(d.n, 0) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+FROM embeddings e JOIN c ON e.vec_id = c.node LEFT JOIN d ON e.vec_id = d.src
+"""
+
 QUERIES = {
+    "op1_embedding_dedup": op1_embedding_dedup,
     "op3_exact_dedup": op3_exact_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op8_bpe": op8_bpe,
 }
 
 ORACLES = {
+    "op1_embedding_dedup": OP1_SQL,
     "op3_exact_dedup": OP3_SQL,
 }
