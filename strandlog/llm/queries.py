@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, exact_dedup, packing
+from . import bpe, embedding_dedup, exact_dedup, packing, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,18 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents")).drop("locator")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = warc.round_trip(table(spark, sf_dir, "pages"))
+    revisit = F.col("main.type") == "revisit"
+    return t.select(
+        warc.page_of(F.col("metadata.fields"), "long").alias("page_id"),
+        F.when(revisit, F.col("original.payload_bytes")).otherwise(F.col("main.payload_bytes")).alias("payload_bytes"),
+        F.when(revisit, F.col("original.payload_sha1")).otherwise(F.col("main.payload_sha1")).alias("payload_digest"),
+        F.col("main.type").alias("record_type"),
+        warc.page_of(F.col("original.fields"), "long").alias("refers_to"),
+    )
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), keep_ids=False)
 
@@ -66,9 +78,20 @@ SELECT e.vec_id, coalesce(d.n, 0) AS n_links, c.component_id, e.vec_id = c.compo
 FROM embeddings e JOIN c ON e.vec_id = c.node LEFT JOIN d ON e.vec_id = d.src
 """
 
+OP4_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages
+), m AS (SELECT html, max(page_id) AS top FROM p WHERE n >= 1000 GROUP BY html)
+SELECT p.page_id, p.n AS payload_bytes, sha1(p.html) AS payload_digest,
+       CASE WHEN m.top IS NULL OR m.top = p.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN m.top <> p.page_id THEN m.top END AS refers_to
+FROM p LEFT JOIN m ON p.html = m.html AND p.n >= 1000
+"""
+
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_warc": op4_warc,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op8_bpe": op8_bpe,
 }
@@ -76,4 +99,5 @@ QUERIES = {
 ORACLES = {
     "op1_embedding_dedup": OP1_SQL,
     "op3_exact_dedup": OP3_SQL,
+    "op4_warc": OP4_SQL,
 }
