@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, exact_dedup, packing, warc
+from . import bpe, embedding_dedup, exact_dedup, minhash_dedup, packing, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80).drop("class_id")
+
+
 OP3_SQL = r"""
 WITH t AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents
@@ -88,15 +92,40 @@ SELECT p.page_id, p.n AS payload_bytes, sha1(p.html) AS payload_digest,
 FROM p LEFT JOIN m ON p.html = m.html AND p.n >= 1000
 """
 
+OP10_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(
+    string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+    lambda x: x <> '') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, sh FROM (
+    SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN []::VARCHAR[]
+      WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+      ELSE list_transform(range(1, len(ws) - 2), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3]) END) AS sh
+    FROM w)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+l AS (
+  SELECT src, dst FROM (SELECT a.doc_id AS src, b.doc_id AS dst, count(*) AS n_both FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2) p
+  JOIN n x ON x.doc_id = src JOIN n y ON y.doc_id = dst
+  WHERE 100 * n_both >= 80 * (x.n + y.n - n_both)
+), r(node, reach) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.node, l.dst FROM r JOIN l ON r.reach = l.src
+), c AS (SELECT node, min(reach) AS component_id FROM r GROUP BY node)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM documents d JOIN c ON d.doc_id = c.node LEFT JOIN n ON d.doc_id = n.doc_id
+"""
+
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_warc": op4_warc,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op8_bpe": op8_bpe,
+    "op10_minhash_dedup": op10_minhash_dedup,
 }
 
 ORACLES = {
+    "op10_minhash_dedup": OP10_SQL,
     "op1_embedding_dedup": OP1_SQL,
     "op3_exact_dedup": OP3_SQL,
     "op4_warc": OP4_SQL,
