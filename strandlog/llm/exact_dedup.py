@@ -3,7 +3,7 @@
 The documents run through a Structured Streaming aggregation keyed by the digest of
 their normalised text. Its state lives in RocksDB, has no watermark and so never
 expires, and keeps per digest the smallest document id (the stable identifier), the
-number of rows, and the locator (file and row group offset or row number) of the content that id stands for.
+number of rows, and the locator (landed file and row) of the content that id stands for.
 The finished state is read back as a table with Spark's state reader. Digests seen more
 than once are hits; every hit is compared over its full normalised bytes with the row
 its class keeps, and members whose bytes differ (a digest collision) form classes of
@@ -28,6 +28,7 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
