@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, exact_dedup, minhash_dedup, packing, warc
+from . import bpe, embedding_dedup, exact_dedup, minhash_dedup, packing, suffix_dedup, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,17 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = suffix_dedup.repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return r.select(
+        "doc_id", "n_bytes",
+        F.coalesce(removed, F.lit(0)).cast("long").alias("n_removed"),
+        F.when(F.col("spans").isNull(), 0).otherwise(F.size("spans")).cast("long").alias("n_spans"),
+        F.coalesce(F.sha2("kept", 256), F.col("text_sha256")).alias("kept_sha256"),
+    )
+
+
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80).drop("class_id")
 
@@ -121,6 +132,7 @@ QUERIES = {
     "op4_warc": op4_warc,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op8_bpe": op8_bpe,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_minhash_dedup": op10_minhash_dedup,
 }
 
