@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, exact_dedup, minhash_dedup, packing, suffix_dedup, warc
+from . import bpe, embedding_dedup, exact_dedup, minhash_dedup, packing, suffix_dedup, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), keep_ids=False)
 
@@ -130,6 +134,7 @@ QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_warc": op4_warc,
+    "op5_toxicity": op5_toxicity,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op8_bpe": op8_bpe,
     "op9_suffix_dedup": op9_suffix_dedup,
