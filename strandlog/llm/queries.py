@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, exact_dedup, minhash_dedup, packing, suffix_dedup, toxicity, warc
+from . import bpe, embedding_dedup, exact_dedup, minhash_dedup, packing, pii, suffix_dedup, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,13 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings")).drop("class_id")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
+    told = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return found.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2(told("base"), 256).alias("base_sha256"), told("spans").alias("spans"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents")).drop("locator")
 
@@ -132,6 +139,7 @@ FROM documents d JOIN c ON d.doc_id = c.node LEFT JOIN n ON d.doc_id = n.doc_id
 
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
+    "op2_pii": op2_pii,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_warc": op4_warc,
     "op5_toxicity": op5_toxicity,

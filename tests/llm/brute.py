@@ -19,3 +19,26 @@ def repeats(texts: list[str | None], width: int) -> list[tuple[int, int, int, st
         spans = sum(1 for i, g in enumerate(gone) if g and (i == 0 or not gone[i - 1]))
         out.append((len(r), sum(gone), spans, hashlib.sha256(bytes(b for b, g in zip(r, gone) if not g)).hexdigest()))
     return out
+
+
+def personal(text: str | None) -> list[tuple[str, int, int]]:
+    """Base spans of personal data, by kind as listed, then by start."""
+    import re
+
+    text = text or ""
+
+    def luhn(d: str) -> bool:
+        total = 0
+        for i, c in enumerate(reversed(d)):
+            n = int(c) * (1 + i % 2)
+            total += n - 9 if n > 9 else n
+        return total % 10 == 0
+
+    digits = lambda m: re.sub("[^0-9]", "", m)
+    kinds = (
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p) <= 255 for p in m.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 13 <= len(digits(m)) <= 19 and luhn(digits(m))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(digits(m)) <= 15),
+    )
+    return [(k, m.start(), m.end()) for k, p, ok in kinds for m in re.finditer(p, text) if ok(m[0])]
