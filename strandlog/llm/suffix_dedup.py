@@ -6,9 +6,11 @@ A byte goes if a string of ``WIDTH`` bytes that covers it also starts anywhere e
    ``GRAM``-byte grams (the last of equal ones). Equal strings have equal anchors at equal
    places, so a string can only occur again if its anchor does. Each anchor owns the
    starts of the strings it was picked for. Anchors seen once go; nothing else does.
-2. The owned starts with the bytes they need (an extract) are keyed by their anchor.
-   Equal extracts are one, with a weight. Extracts whose anchors are equal meet in one
-   shard, so equal strings meet in one shard.
+2. The starts an anchor owns fall into two halves by their distance to it. All strings of
+   a half share over half their bytes, the core; a half with the bytes its strings need is an
+   extract, keyed by its core. Equal extracts are one, with a weight. A core seen once
+   goes; where a core has one extract only, its weight tells all there is to know.
+   The other extracts meet by core in a shard, so equal strings meet in one shard.
 3. Each shard builds a suffix array over its extracts: Larsson-Sadakane refinement in
    numpy, which re-sorts only the groups still unsorted and doubles the prefix each time,
    then Kasai's common prefixes, run in lockstep over all extracts. A start is repeated
@@ -48,14 +50,14 @@ def _raw(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def anchors(raws: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first start, last start, key) of each anchor that owns starts."""
-    out = [(np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)]
+def anchors(raws: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, ...]:
+    """(text, first start, last start, key, place) of each anchor that owns starts."""
+    out = [(np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64), np.zeros(0, np.int64))]
     k = 0
     while k < len(raws):
         if len(raws[k]) > CHUNK:
-            lo, hi, key = _long_anchors(raws[k], width)
-            out.append((np.full(len(lo), k), lo, hi, key))
+            lo, hi, key, place = _long_anchors(raws[k], width)
+            out.append((np.full(len(lo), k), lo, hi, key, place))
             k += 1
             continue
         end, size = k, 0
@@ -65,15 +67,15 @@ def anchors(raws: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, np.ndarr
         lengths = np.array([len(r) for r in raws[k:end]], np.int64)
         ends = np.cumsum(lengths)
         if size >= width:
-            lo, hi, key, _ = _anchors(np.frombuffer(b"".join(raws[k:end]), np.uint8), width, ends)
+            lo, hi, key, place = _anchors(np.frombuffer(b"".join(raws[k:end]), np.uint8), width, ends)
             text = np.searchsorted(ends, lo, side="right")
             begin = (ends - lengths)[text]
-            out.append((text + k, lo - begin, hi - begin, key))
+            out.append((text + k, lo - begin, hi - begin, key, place - begin))
         k = end
-    return tuple(np.concatenate([x[i] for x in out]) for i in range(4))
+    return tuple(np.concatenate([x[i] for x in out]) for i in range(5))
 
 
-def _long_anchors(raw: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _long_anchors(raw: bytes, width: int) -> tuple[np.ndarray, ...]:
     n, parts = len(raw), []
     for at in range(0, n - width + 1, CHUNK):
         piece = np.frombuffer(raw, np.uint8)[at : min(n, at + CHUNK + width - 1)]
@@ -81,7 +83,7 @@ def _long_anchors(raw: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.nd
     lo, hi, place = (np.concatenate([p[i] + at for at, p in parts]) for i in (0, 1, 3))
     key = np.concatenate([p[2] for _, p in parts])
     first = np.flatnonzero(np.diff(place, prepend=-1))  # an anchor may own starts on both sides of a cut
-    return lo[first], np.append(hi[first[1:] - 1], hi[-1]), key[first]
+    return lo[first], np.append(hi[first[1:] - 1], hi[-1]), key[first], place[first]
 
 
 def _anchors(b: np.ndarray, width: int, ends: np.ndarray):
@@ -113,6 +115,23 @@ def _anchors(b: np.ndarray, width: int, ends: np.ndarray):
 _BYTE_CASED = np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def halves(lo: int, hi: int, p: int, width: int) -> list[tuple[int, int, tuple[int, int]]]:
+    """The starts lo..hi of the anchor at p as (first, last, core) of each half.
+
+    Strings of the left half start at least ``far`` before the anchor, so they all hold the
+    bytes from p - far to its end; the others hold those from p to where the first of
+    them ends.
+    """
+    far = (width - GRAM) // 2 + 1
+    cut = p - far
+    out = []
+    if lo <= cut:
+        out.append((lo, min(hi, cut), (cut, p + GRAM)))
+    if hi > cut:
+        out.append((max(lo, cut + 1), hi, (p, cut + 1 + width)))
+    return out
+
+
 class Shard:
     """A suffix array over some byte strings, sorted as far as the first ``width`` bytes.
 
@@ -304,16 +323,16 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
 
     def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            of, lo, hi, key = anchors([_raw(t) for t in batch.column(1).to_pylist()], width)
+            of, lo, hi, key, place = anchors([_raw(t) for t in batch.column(1).to_pylist()], width)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(of)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(key.view(np.int64))],
-                ["_d", "_lo", "_hi", "_key"],
+                [batch.column(0).take(pa.array(of)), *(pa.array(x.astype(np.int32)) for x in (lo, hi, place)), pa.array(key.view(np.int64))],
+                ["_d", "_lo", "_hi", "_p", "_key"],
             )
 
-    found = land(rows.select("_d", "_text").mapInArrow(sieve, "_d binary, _lo int, _hi int, _key long"), "anchors")
+    found = land(rows.select("_d", "_text").mapInArrow(sieve, "_d binary, _lo int, _hi int, _p int, _key long"), "anchors")
     site = F.xxhash64("_d", "_lo")
     again = found.groupBy("_key").agg(F.min(site).alias("_a"), F.max(site).alias("_b")).filter("_a <> _b").select("_key")
-    lists = found.join(again, "_key", "left_semi").groupBy("_d").agg(F.collect_set(F.struct("_lo", "_hi", "_key")).alias("_own"))
+    lists = found.join(again, "_key", "left_semi").groupBy("_d").agg(F.collect_set(F.struct("_lo", "_hi", "_p")).alias("_own"))
     copies = base.groupBy("_d").agg(F.count(F.lit(1)).alias("_times"), F.min("_id").alias("_rep"))
     wanted = lists.join(copies, "_d").select(F.col("_rep").alias("_id"), "_d", "_times", "_own")
     suspects = land(rows.join(wanted, ["_id", "_d"]).dropDuplicates(["_id", "_d"]).select("_d", "_times", "_own", "_text"), "suspects")
@@ -324,18 +343,25 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
             for k, (own, t) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
                 raw = _raw(t)
                 for x in own:
-                    of.append(k)
-                    lo.append(x["_lo"])
-                    hi.append(x["_hi"])
-                    key.append(x["_key"])
-                    name.append(hashlib.blake2b(raw[x["_lo"] : x["_hi"] + width], digest_size=16).digest())
+                    for a, b, core in halves(x["_lo"], x["_hi"], x["_p"], width):
+                        side = b"L" if core[0] < x["_p"] else b"R"
+                        of.append(k)
+                        lo.append(a)
+                        hi.append(b)
+                        key.append(hashlib.blake2b(raw[core[0] : core[1]], digest_size=8, salt=side).digest())
+                        name.append(hashlib.blake2b(raw[a : b + width], digest_size=16).digest())
             of = pa.array(of, pa.int32())
+            keys = pa.array(np.frombuffer(b"".join(key), np.int64) if key else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(of), batch.column(1).take(of), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(key, pa.int64()), pa.array(name, pa.binary())],
+                [batch.column(0).take(of), batch.column(1).take(of), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), keys, pa.array(name, pa.binary())],
                 ["_d", "_times", "_lo", "_hi", "_key", "_e"],
             )
 
-    sites = land(suspects.mapInArrow(name_extracts, "_d binary, _times long, _lo int, _hi int, _key long, _e binary"), "extract-sites")
+    named = land(suspects.mapInArrow(name_extracts, "_d binary, _times long, _lo int, _hi int, _key long, _e binary"), "extract-sites")
+    e = F.xxhash64("_e")
+    cores = named.groupBy("_key").agg(F.sum("_times").alias("_all"), F.min(e).alias("_a"), F.max(e).alias("_b")).filter("_all > 1")
+    alone = cores.filter("_a = _b").select("_key")
+    sites = named.join(cores.filter("_a <> _b").select("_key"), "_key", "left_semi")
     extracts = sites.groupBy("_key", "_e").agg(F.sum("_times").alias("_weight"), F.min(F.struct("_d", "_lo", "_hi")).alias("_at"))
     picked = extracts.groupBy(F.col("_at._d").alias("_d")).agg(F.collect_list(F.struct("_key", "_e", "_weight", F.col("_at._lo").alias("_lo"), F.col("_at._hi").alias("_hi"))).alias("_take"))
 
@@ -370,6 +396,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
 
     told = land(placed.groupBy("_shard", "_i", "_j").applyInArrow(work, "_key long, _e binary, _runs array<struct<a: long, b: long>>"), "repeats")
     spots = sites.join(told, ["_key", "_e"]).select("_d", F.transform("_runs", lambda r: F.struct((r["a"] + F.col("_lo")).alias("a"), (r["b"] + F.col("_lo") + width).alias("b"))).alias("_runs"))
+    full = F.array(F.struct(F.col("_lo").cast("long").alias("a"), (F.col("_hi") + width).cast("long").alias("b")))
+    spots = spots.unionByName(named.join(alone, "_key", "left_semi").select("_d", full.alias("_runs")))
     covered = spots.groupBy("_d").agg(F.flatten(F.collect_list("_runs")).alias("_runs"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
