@@ -72,24 +72,33 @@ def float_column_text(c: Column) -> Column:
     """``float_text`` over a column.
 
     The engine's shortest text gives digits and exponent; zeros are then laid out by rule.
+    Subnormal values may come out with a digit more than the shortest text has.
     """
-    s = c.cast("string")
+    # the engine's own text may hold a digit too many: shorter ones count if they read back
+    short = lambda n: F.regexp_replace(F.upper(F.format_string(f"%.{n}e", c)), r"E\+?", "E")
+    reads = lambda t: t.try_cast("double") == c
+    finite = ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))) & (c != 0)
+    texts = F.when(finite, F.filter(F.array(short(14), short(15), short(16), c.cast("string")), reads))
+    laid = F.transform(F.slice(texts, 1, 1), _laid_out)[0]  # a lambda's argument is computed once
+    zero = F.when(c.cast("string").startswith("-"), "-0").otherwise("0")
+    return F.when(F.isnan(c), "NaN").when(c == F.lit(float("inf")), "inf").when(c == F.lit(float("-inf")), "-inf").when(c == 0, zero).otherwise(laid)
+
+
+def _laid_out(s: Column) -> Column:
+    """Text with an exponent as plain decimal text."""
     sign = F.when(s.startswith("-"), "-").otherwise("")
-    body = F.regexp_replace(s, "^-", "")
-    mantissa, exponent = F.split(body, "E")[0], F.coalesce(F.try_element_at(F.split(body, "E"), F.lit(2)).cast("int"), F.lit(0))
-    whole, rest = F.split(mantissa, r"\.")[0], F.regexp_replace(F.split(mantissa, r"\.")[1], "0+$", "")
-    digits = F.concat(whole, rest)
-    point = F.length(whole) + exponent
+    parts = F.split(F.regexp_replace(s, "^-", ""), "E")
+    exponent = F.coalesce(F.try_element_at(parts, F.lit(2)).cast("int"), F.lit(0))
+    halves = F.split(parts[0], r"\.")
+    rest = F.regexp_replace(F.coalesce(F.try_element_at(halves, F.lit(2)), F.lit("")), "0+$", "")
+    digits = F.concat(halves[0], rest)
+    point = F.length(halves[0]) + exponent
     zeros = lambda n: F.repeat(F.lit("0"), F.greatest(n, F.lit(0)))
     left = F.when(point <= 0, F.lit("0")).otherwise(F.concat(F.substring(digits, F.lit(1), point), zeros(point - F.length(digits))))
     right = F.when(point <= 0, F.concat(zeros(-point), digits)).otherwise(F.substring(digits, point + 1, F.length(digits)))
     right = F.regexp_replace(right, "0+$", "")
     left = F.regexp_replace(left, "^0+(?=[0-9])", "")
-    plain = F.concat(sign, left, F.when(F.length(right) > 0, F.concat(F.lit("."), right)).otherwise(""))
-    return (
-        F.when(F.isnan(c), "NaN").when(c == F.lit(float("inf")), "inf").when(c == F.lit(float("-inf")), "-inf")
-        .when(c == 0, F.when(s.startswith("-"), "-0").otherwise("0")).otherwise(plain)
-    )
+    return F.concat(sign, left, F.when(F.length(right) > 0, F.concat(F.lit("."), right)).otherwise(""))
 
 
 def value_text(c: Column, kind: str) -> Column:
