@@ -22,7 +22,8 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -66,26 +67,31 @@ class Model:
     def __getstate__(self):
         return {**self.__dict__, "_memo": {}, "_u": None, "e": None, "margin": self.e @ (self.w[:, 1] - self.w[:, 0])} if self.e is not None else self.__dict__
 
-    def fit(self, texts: list[str | None], labels: np.ndarray, steps: int = STEPS, l2: float = 2e-6, rate: float = 0.05, log=None) -> Model:
+    def fit(self, texts: Iterable[str | None], labels: np.ndarray, steps: int = STEPS, l2: float = 2e-6, rate: float = 0.05, log=None) -> Model:
         if len(set(labels.tolist())) < 2:
             self.constant = float(labels.mean()) if len(labels) else 0.0
             return self
         vocabulary: dict[str, int] = {}
-        docs, ids = [], []
+        docs, ids, counts = [], [], []
         for d, t in enumerate(texts):
             own = [vocabulary.setdefault(w, len(vocabulary)) for w in WORD.findall((t or "").lower())]
-            ids.append(np.array(own, np.int32))
+            own, times = np.unique(np.array(own, np.int32), return_counts=True)
+            ids.append(own)
             docs.append(np.full(len(own), d, np.int32))
-        doc, word = np.concatenate(docs), np.concatenate(ids)
-        pair, count = np.unique(doc.astype(np.int64) * len(vocabulary) + word, return_counts=True) if len(word) else (np.zeros(0, np.int64), np.zeros(0))
-        doc, word, count = pair // max(1, len(vocabulary)), pair % max(1, len(vocabulary)), count.astype(np.float32)
-        seen_in = np.bincount(word, minlength=len(vocabulary))
-        bags = [grams(w) for w in vocabulary]
-        sizes = np.array([len(b) for b in bags])
-        flat = np.concatenate([np.array(b, np.int32) for b in bags]) if bags else np.zeros(0, np.int32)
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        owner = np.repeat(np.arange(len(bags)), sizes)
-        del bags
+            counts.append(times.astype(np.float32))
+        doc, word, count = np.concatenate(docs), np.concatenate(ids), np.concatenate(counts)
+        del docs, ids, counts
+        bag, sizes = array("i"), array("i")  # flat, as millions of integers are kept
+        for w in vocabulary:
+            g = grams(w)
+            bag.extend(g)
+            sizes.append(len(g))
+        flat, sizes = np.frombuffer(bag, np.int32), np.frombuffer(sizes, np.int32)
+        ends = np.cumsum(sizes, dtype=np.int64)
+        del vocabulary
+        # words by parts of about a million n-grams, so that no step needs arrays of them all
+        cuts = [0, *np.unique(np.searchsorted(ends, np.arange(1 << 20, int(ends[-1]) if len(ends) else 0, 1 << 20))).tolist(), len(sizes)]
+        parts = [(a, b, slice(int(ends[a] - sizes[a]), int(ends[b - 1]))) for a, b in zip(cuts[:-1], cuts[1:]) if b > a]
         y = labels.astype(np.float32)
         n = len(y)
         long_ = np.log1p(np.bincount(doc, count, n))
@@ -100,14 +106,19 @@ class Model:
         for t in range(1, steps + 1):
             direction = self.w[:, 1] - self.w[:, 0]
             u = self.e @ direction
-            s = np.add.reduceat(u[flat], starts) / sizes + self.b
+            s = np.empty(len(sizes), np.float32)
+            for a, b, own in parts:
+                s[a:b] = np.add.reduceat(u[flat[own]], ends[a:b] - sizes[a:b] - own.start) / sizes[a:b] + self.b
             p = 1 / (1 + np.exp(-s))
             f = np.bincount(doc, count * p[word], n)
             z = self.scale * f + self.offset + self.length * long_
             q = 1 / (1 + np.exp(-z))
             dz = (q - y) / n
             ds = np.bincount(word, count * (self.scale * dz)[doc], len(p)) * p * (1 - p)
-            du = np.bincount(flat, (ds / sizes)[owner], BUCKETS).astype(np.float32)
+            du, each = np.zeros(BUCKETS), ds / sizes
+            for a, b, own in parts:
+                du += np.bincount(flat[own], np.repeat(each[a:b], sizes[a:b]), BUCKETS)
+            du = du.astype(np.float32)
             ge = du[:, None] * direction + l2 * self.e
             gw = self.e.T @ du
             if log and t % 20 == 0:
@@ -162,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     )
     texts = docs.select(i.alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     rows = texts.join(F.broadcast(picked), "_id").orderBy("_id", "_label", F.sha2("_text", 256)).select("_text", "_label").toArrow()
-    return Model().fit(rows["_text"].to_pylist(), np.array(rows["_label"].to_pylist(), int))
+    return Model().fit((t.as_py() for t in rows["_text"]), np.array(rows["_label"].to_pylist(), int))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
