@@ -33,6 +33,8 @@ from ._common import broadcast_bytes, tokenizer_path
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Resolved pre-tokens a worker remembers.
 MEMO = 400_000
+#: Rows that are worked on at once.
+SLICE = 256
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -197,10 +199,12 @@ def _mapped(df: DataFrame, source: str, target: str, f) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         call = f()
-        for batch in batches:
-            done = pa.array([call(x) for x in batch.column(batch.schema.get_field_index(source)).to_pylist()], pa.binary())
-            names = [x.name for x in schema.fields[:-1]]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), done], [*names, target])
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(at, SLICE)
+                done = pa.array([call(x) for x in batch.column(batch.schema.get_field_index(source)).to_pylist()], pa.binary())
+                names = [x.name for x in schema.fields[:-1]]
+                yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), done], [*names, target])
 
     return df.mapInArrow(run, schema)
 
