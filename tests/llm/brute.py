@@ -42,3 +42,54 @@ def personal(text: str | None) -> list[tuple[str, int, int]]:
         ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(digits(m)) <= 15),
     )
     return [(k, m.start(), m.end()) for k, p, ok in kinds for m in re.finditer(p, text) if ok(m[0])]
+
+
+def words(text: str | None) -> list[str]:
+    import re
+
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    return [w for w in re.split(r"[\x20\x09-\x0D]+", low) if w]
+
+
+def shingles(text: str | None, k: int) -> set:
+    w = words(text)
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
+
+
+def components(nodes: list, links: list[tuple]) -> dict:
+    parent = {n: n for n in nodes}
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return {n: find(n) for n in nodes}
+
+
+def near(docs: list[tuple[int, str | None]], k: int, percent: int = 80) -> dict[int, tuple[int, int]]:
+    """(shingles, component) per id."""
+    sets = {i: shingles(t, k) for i, t in docs}
+    ids = sorted(sets)
+    links = []
+    for x, a in enumerate(ids):
+        for b in ids[x + 1 :]:
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                links.append((a, b))
+    reach = components(ids, links)
+    return {i: (len(sets[i]), reach[i]) for i in ids}
+
+
+def exact(docs: list[tuple[int, str | None]]) -> dict[int, tuple[int, int]]:
+    """(keep_id, group_size) per id."""
+    import re
+    from collections import defaultdict
+
+    groups = defaultdict(list)
+    for i, t in docs:
+        groups[re.sub(r"[\x20\x09-\x0D]+", " ", t or "")].append(i)
+    return {i: (min(g), len(g)) for g in groups.values() for i in g}
