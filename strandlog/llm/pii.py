@@ -36,6 +36,9 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: What a text must hold for a kind to match at all.
+NEEDS = {"email": "@", "phone": "+"}
+MATCH = "array<struct<o:int,g:int,m:string,tail:string,head:string>>"
 #: A run of non-white characters that holds a digit or an at sign.
 TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 #: A pattern counts from so many distinct seed values on.
@@ -89,12 +92,15 @@ def _paired(order: int, none: Column):
 def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(_at, _id, w): the matches of each text with the gaps before them, and for tokens the
     words around. Landed, so that no text travels on; ``_at`` is the landed row's place."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    # without a digit or an at sign nothing can match; that pass is far cheaper than the patterns
+    told = docs.select(F.col(id_col).alias("_id"), F.when(F.col(text_col).rlike("[0-9@]"), F.col(text_col)).otherwise("").alias("_text"))
+    text = F.col("_text")
     none = F.lit(None).cast("string")
     parts = []
     for o, kind in enumerate(KINDS):
         p = PATTERNS[kind]
-        parts.append(F.zip_with(_gaps(text, p), _all(text, p), _paired(o, none)))
+        pairs = F.zip_with(_gaps(text, p), _all(text, p), _paired(o, none))
+        parts.append(F.when(text.contains(NEEDS[kind]), pairs).otherwise(F.array().cast(MATCH)) if kind in NEEDS else pairs)
     around = F.transform(
         _gaps(text, TOKEN),
         lambda x: F.struct(
@@ -108,7 +114,7 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         lambda x, m: F.struct(F.lit(len(KINDS)).alias("o"), x["n"].alias("g"), m.alias("m"), x["tail"].alias("tail"), x["head"].alias("head")),
     )
     found = F.filter(F.flatten(F.array(*parts, tokens)), lambda x: x["m"].isNotNull() | (x["o"] == len(KINDS)))
-    landed = land(docs.select(F.col(id_col).alias("_id"), found.alias("w")), "pii-scan")
+    landed = land(told.select("_id", found.alias("w")), "pii-scan")
     at = F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
     return landed.select(at.alias("_at"), "*")
 
@@ -227,5 +233,6 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         out = out.withColumn(text_col, F.when(F.col("_places").isNull(), t).otherwise(joined)).drop("_places")
     for kind in KINDS:
         p = PATTERNS[kind]
-        out = out.withColumn(text_col, F.when(t.isNull(), t).otherwise(F.array_join(F.zip_with(_gaps(t, p), _all(t, p), _marked(kind)), "")))
+        may = t.contains(NEEDS[kind]) if kind in NEEDS else t.rlike("[0-9]")
+        out = out.withColumn(text_col, F.when(may, F.array_join(F.zip_with(_gaps(t, p), _all(t, p), _marked(kind)), "")).otherwise(t))
     return out.select(*docs.columns)
