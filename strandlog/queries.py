@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .database import Database
 from .functions import text as fn
 from .operators import live, mutate, read, report, search
-from .schema import Table, table
+from .plans import change, selector
+from .schema import DatabaseSchema, Table, table
 from .sources import jsonl, pack, segment
+from .sources.files import scratch
 
 ORDERS = table("orders", "id: id", "o_custkey: int", "o_orderstatus: text", "o_totalprice: float", many=("o_custkey", "o_orderstatus"))
 CUSTOMERS = table("customers", "id: id", "c_name: text", "c_mktsegment: text", "c_acctbal: float", unique=("c_name",), many=("c_mktsegment",))
@@ -412,3 +415,96 @@ def concat_segments(spark, sf):
     both = live.concat_logs(log.filter("_pos % 2 = 0"), log.filter("_pos % 2 = 1"))
     return both.groupBy("event_type").agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("value"), 3).alias("total"))
 
+
+
+# -- storage and streams ---------------------------------------------------------------
+
+
+def _database(spark: SparkSession, *tables: Table) -> Database:
+    return Database(spark, scratch(spark, "db"), "main", DatabaseSchema.of(*tables)).init()
+
+
+@query(f"WITH {CUSTOMERS_SQL} SELECT * FROM c")
+def database_bulk_insert(spark, sf):
+    """A table of any size as one batch, read back from the log."""
+    db = _database(spark, CUSTOMERS)
+    db.append_frame("customers", customers(spark, sf))
+    return db.live("customers")
+
+
+@query(f"""WITH {CUSTOMERS_SQL} SELECT id, c_name, CASE WHEN id = '1' THEN 'PATCHED' WHEN id = '2' THEN 'SET' ELSE c_mktsegment END AS c_mktsegment, CASE WHEN id = '2' THEN 0.5 ELSE c_acctbal END AS c_acctbal FROM c WHERE id <> '3'
+UNION ALL SELECT 'new', 'new name', 'NEW', 1.5""")
+def database_changes(spark, sf):
+    """Insert, upsert, patch and remove through plans, over a snapshot."""
+    db = _database(spark, CUSTOMERS)
+    db.append_frame("customers", customers(spark, sf))
+    db.refresh("customers")
+    second = db.get(selector.id("customers", "2")).asDict()
+    db.write(change.add("customers", {"id": "new", "c_name": "new name", "c_mktsegment": "NEW", "c_acctbal": 1.5}))
+    db.write_many([change.edit_id("customers", "1", {"c_mktsegment": "PATCHED"}), change.set("customers", second | {"c_mktsegment": "SET", "c_acctbal": 0.5}), change.remove_id("customers", "3")])
+    return db.live("customers")
+
+
+@query(f"WITH {CUSTOMERS_SQL} SELECT id, c_name, (row_number() OVER (ORDER BY id) + count(*) OVER ())::BIGINT AS _tx FROM c")
+def database_compaction(spark, sf):
+    """The log after compaction: rows by id, numbers from where the old log ended."""
+    db = _database(spark, CUSTOMERS)
+    db.append_frame("customers", customers(spark, sf))
+    db.compact("customers")
+    return db.log("customers").select("id", "c_name", "_tx")
+
+
+@query(f"WITH {CUSTOMERS_SQL} SELECT id, c_name, c_mktsegment, c_acctbal, 'US-1' AS region FROM c")
+def database_add_field(spark, sf):
+    from .schema import Field
+
+    db = _database(spark, CUSTOMERS)
+    db.append_frame("customers", customers(spark, sf))
+    return db.add_field("customers", Field("region", "text"), "US-1", unique=False).live("customers")
+
+
+@query("""SELECT conv_id || ':' || turn AS id, (turn + 1)::BIGINT AS _tx, CASE WHEN turn % 5 = 4 THEN 'D' ELSE 'R' END AS _op,
+CASE WHEN turn % 5 <> 4 THEN role END AS role, CASE WHEN turn % 5 <> 4 THEN chr(92) || chr(9) || chr(13) || chr(10) || text END AS body, CASE WHEN turn % 5 <> 4 THEN turn::BIGINT END AS turn FROM conversations""")
+def segment_files(spark, sf):
+    """A log written as segment files and scanned back."""
+    folder = scratch(spark, "segments")
+    segment.export(notes(spark, sf), NOTES, DatabaseSchema.of(NOTES).hash(), folder)
+    return segment.load(spark, folder, NOTES).select("id", "_tx", "_op", "role", "body", "turn")
+
+
+@query(f"WITH {LOG_SQL} SELECT id, _op, event_type, value FROM last")
+def watch_states(spark, sf):
+    """The last operation per id from streaming state, after the log has run through."""
+    from .streaming import watch
+
+    folder, out = scratch(spark, "stream"), scratch(spark, "states")
+    event_log(spark, sf).write.parquet(folder)
+    schema = spark.read.parquet(folder).schema
+    changed = watch.states(watch.log_stream(spark, folder, schema), EVENTS)
+    q = changed.writeStream.outputMode("update").option("checkpointLocation", scratch(spark, "check")).foreachBatch(lambda df, n: df.write.mode("append").parquet(out)).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return live.last_operations(spark.read.parquet(out)).select("id", "_op", "event_type", "value")
+
+
+@query(f"WITH {LOG_SQL} SELECT id, event_type = 'click' AND _op = 'R' AS answers FROM last")
+def watch_selector(spark, sf):
+    """Which touched ids answer a selector now."""
+    from .streaming import watch
+
+    last = live.last_operations(event_log(spark, sf))
+    return watch.selected(last, EVENTS, selector.many("events", "event_type", "click").into_plan()).select("id", F.col("_in").alias("answers"))
+
+
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def window_counts(spark, sf):
+    """Counts per hour and kind from a stream with a watermark, run through once."""
+    from .streaming import watch
+
+    out = scratch(spark, "windows")
+    folder = scratch(spark, "events")
+    _read(spark, sf, "events").write.parquet(folder)
+    e = spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
+    counts = watch.counts_per_window(e, "ts", "1 hour", "1 hour", "event_type")
+    q = counts.writeStream.outputMode("complete").option("checkpointLocation", scratch(spark, "check")).foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{out}/last")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{out}/last").select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")

@@ -58,3 +58,15 @@ class Files:
         finally:
             stream.close()
         return True
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder all executors reach: below ``spark.checkpoint.dir``, or a local one."""
+    import tempfile
+    import uuid
+
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        shared = current.get() if current.isDefined() else "file://" + tempfile.mkdtemp(prefix="strandlog-")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
