@@ -120,7 +120,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     drop_path(spark, stream.checkpoint)
 
     differing = differing_hits(docs, state, id_col, text_col)
-    clash = differing.count()
+    clash = not differing.isEmpty()
     out = landed.join(state, "_digest").select(
         "_id", F.col("_keep").alias("_keep_id"), F.col("_rows").alias("_size"), "_digest",
         F.concat_ws(":", F.col("_locator.file"), F.col("_locator.row").cast("string")).alias("_at"),
@@ -145,7 +145,9 @@ def differing_hits(docs: DataFrame, state: DataFrame, id_col: str, text_col: str
     hits = state.filter(F.col("_rows") > 1).select("_digest", "_keep")
     found = land(texts.join(hits, "_digest"), "dedup-hits")
     first = found.filter(F.col("_id") == F.col("_keep")).groupBy("_digest").agg(F.min("_bytes").alias("_kept_bytes"))
-    return found.join(first, "_digest").filter(F.col("_bytes") != F.col("_kept_bytes")).select("_digest").distinct()
+    first = land(first, "dedup-kept")  # a plain shuffle on this side lets a hot class be split on the other
+    # landed as it comes: grouping right above the join would keep a hot class in one task
+    return land(found.join(first, "_digest").filter(F.col("_bytes") != F.col("_kept_bytes")).select("_digest"), "dedup-differing").distinct()
 
 
 def split_clashes(docs: DataFrame, out: DataFrame, differing: DataFrame, id_col: str, text_col: str) -> DataFrame:
