@@ -35,6 +35,8 @@ from ._common import land, ship, tokenizer_path
 
 CAPACITY = 1024
 END_ID = 2
+#: Shares a length's pieces are ranked in, at least.
+SALTS = 64
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -229,7 +231,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     lines = plan(counts, capacity)
     rows = plan_rows(lines)
     table = spark.createDataFrame(rows, "_length long, _lo long, _hi long, _base long, _copies int, _first long")
-    salts = max(1, sum(counts.values()) // 20_000)
+    salts = max(SALTS, sum(counts.values()) // 20_000)
     placed = ranked(cut, "length", [id_col, "piece"], salts)
     at = F.col("_rank") - F.col("_lo")
     return placed.join(
