@@ -11,7 +11,7 @@ their own by (digest, bytes).
 
 Everything here is DataFrame and SQL work inside the JVM.
 
-Defined results: null text counts as empty; equal ids with equal text count twice in
+Defined results: null text counts as empty; a null id counts as the smallest; equal ids with equal text count twice in
 ``group_size``, and all rows of that id are reported; an empty table gives no rows;
 columns besides the id and the text are ignored, whatever they are called.
 """
@@ -129,7 +129,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         out = split_clashes(docs, out, differing, id_col, text_col)
     return out.select(
         F.col("_id").alias(id_col), F.col("_keep_id").alias("keep_id"), F.col("_size").alias("group_size"),
-        (F.col("_id") == F.col("_keep_id")).alias("kept"), F.col("_digest").alias("text_sha256"), F.col("_at").alias("locator"),
+        F.col("_id").eqNullSafe(F.col("_keep_id")).alias("kept"), F.col("_digest").alias("text_sha256"), F.col("_at").alias("locator"),
     )
 
 
@@ -144,7 +144,7 @@ def differing_hits(docs: DataFrame, state: DataFrame, id_col: str, text_col: str
     texts = docs.select(docs[id_col].alias("_id"), F.sha2(norm.cast("binary"), 256).alias("_digest"), norm.cast("binary").alias("_bytes"))
     hits = state.filter(F.col("_rows") > 1).select("_digest", "_keep")
     found = land(texts.join(hits, "_digest"), "dedup-hits")
-    first = found.filter(F.col("_id") == F.col("_keep")).groupBy("_digest").agg(F.min("_bytes").alias("_kept_bytes"))
+    first = found.filter(F.col("_id").eqNullSafe(F.col("_keep"))).groupBy("_digest").agg(F.min("_bytes").alias("_kept_bytes"))
     first = land(first, "dedup-kept")  # a plain shuffle on this side lets a hot class be split on the other
     # landed as it comes: grouping right above the join would keep a hot class in one task
     return land(found.join(first, "_digest").filter(F.col("_bytes") != F.col("_kept_bytes")).select("_digest"), "dedup-differing").distinct()

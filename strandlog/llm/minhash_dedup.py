@@ -17,7 +17,7 @@ Recall: a pair at the threshold of 0.8 meets in a tree with probability 0.8**4,
 of 16 trees with 0.9998. Pairs are dropped unconfirmed only if their estimate lies below
 ``LEAST`` of the threshold, over five standard deviations away.
 
-Defined results: null or wordless texts have no shingles and link with nothing; texts of
+Defined results: null or wordless texts have no shingles and link with nothing, nor do rows with a null id; texts of
 fewer words than a shingle are one shingle; repeated rows are one class; an empty table
 gives no rows; other columns are ignored.
 """
@@ -172,7 +172,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per document: id, n_shingles, component_id, kept, class_id."""
     sketch = land(sketches(docs, id_col, text_col, words), "sketches")
     classes = land(
-        sketch.filter("_n > 0").groupBy("_digest").agg(F.min(F.struct("_id", "_sig")).alias("_f")).select("_digest", F.col("_f._id").alias("_class"), F.col("_f._sig").alias("_sig")),
+        sketch.filter("_n > 0 AND _id IS NOT NULL").groupBy("_digest").agg(F.min(F.struct("_id", "_sig")).alias("_f")).select("_digest", F.col("_f._id").alias("_class"), F.col("_f._sig").alias("_sig")),
         "classes",
     )
     met = regions(classes)
@@ -186,8 +186,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     told = classes.join(comps.select(F.col("node").alias("_class"), F.col("component").alias("_component")), "_class", "left").select(
         "_digest", "_class", F.coalesce("_component", "_class").alias("_component")
     )
-    known = sketch.filter("_n > 0").select("_id", "_n", "_digest").join(told, "_digest").select("_id", "_n", "_component", "_class")
-    bare = sketch.filter("_n = 0").select("_id", "_n", F.col("_id").alias("_component"), F.col("_id").alias("_class"))
+    known = sketch.filter("_n > 0 AND _id IS NOT NULL").select("_id", "_n", "_digest").join(told, "_digest").select("_id", "_n", "_component", "_class")
+    bare = sketch.filter("_n = 0 OR _id IS NULL").select("_id", "_n", F.col("_id").alias("_component"), F.col("_id").alias("_class"))
     return known.unionByName(bare).select(
         F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.col("_component").alias("component_id"),
         F.col("_id").eqNullSafe(F.col("_component")).alias("kept"), F.col("_class").alias("class_id"),

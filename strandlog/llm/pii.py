@@ -90,10 +90,10 @@ def _paired(order: int, none: Column):
 
 
 def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(_at, _id, w): the matches of each text with the gaps before them, and for tokens the
+    """(_at, _id, _h, w): the matches of each text with the gaps before them, and for tokens the
     words around. Landed, so that no text travels on; ``_at`` is the landed row's place."""
     # without a digit or an at sign nothing can match; that pass is far cheaper than the patterns
-    told = docs.select(F.col(id_col).alias("_id"), F.when(F.col(text_col).rlike("[0-9@]"), F.col(text_col)).otherwise("").alias("_text"))
+    told = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_h"), F.when(F.col(text_col).rlike("[0-9@]"), F.col(text_col)).otherwise("").alias("_text"))
     text = F.col("_text")
     none = F.lit(None).cast("string")
     parts = []
@@ -114,7 +114,7 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         lambda x, m: F.struct(F.lit(len(KINDS)).alias("o"), x["n"].alias("g"), m.alias("m"), x["tail"].alias("tail"), x["head"].alias("head")),
     )
     found = F.filter(F.flatten(F.array(*parts, tokens)), lambda x: x["m"].isNotNull() | (x["o"] == len(KINDS)))
-    landed = land(told.select("_id", found.alias("w")), "pii-scan")
+    landed = land(told.select("_id", "_h", found.alias("w")), "pii-scan")
     at = F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
     return landed.select(at.alias("_at"), "*")
 
@@ -223,11 +223,14 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with personal data in the text replaced by ``<KIND>``; same columns."""
-    more = land(_found(docs, id_col, text_col)[2], "pii-found")
+    scanned, _, more = _found(docs, id_col, text_col)
+    more = land(more.select("_at", "i", "kind").join(scanned.select("_at", "_id", "_h"), "_at"), "pii-found")
     out, t = docs, F.col(text_col)
     if not more.isEmpty():
-        places = more.groupBy("_id").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("i", F.upper("kind"))))).alias("_places"))
-        out = out.join(places, out[id_col] == F.col("_id"), "left").drop("_id")
+        one = more.groupBy("_id", "_h", "i").agg(F.min("kind").alias("kind"))  # repeated rows say the same
+        places = one.groupBy("_id", "_h").agg(F.map_from_entries(F.collect_list(F.struct("i", F.upper("kind")))).alias("_places"))
+        places = places.select(F.col("_id").alias("_place_id"), F.col("_h").alias("_place_h"), "_places")
+        out = out.join(places, out[id_col].eqNullSafe(F.col("_place_id")) & (F.xxhash64(out[text_col]) == F.col("_place_h")), "left").drop("_place_id", "_place_h")
         marked = F.transform(_all(t, TOKEN), lambda m, i: F.coalesce(F.concat(F.lit("<"), F.element_at("_places", i), F.lit(">")), m))
         joined = F.array_join(F.zip_with(_gaps(t, TOKEN), marked, lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
         out = out.withColumn(text_col, F.when(F.col("_places").isNull(), t).otherwise(joined)).drop("_places")

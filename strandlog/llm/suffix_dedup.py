@@ -334,8 +334,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     again = found.groupBy("_key").agg(F.min(site).alias("_a"), F.max(site).alias("_b")).filter("_a <> _b").select("_key")
     lists = found.join(again, "_key", "left_semi").groupBy("_d").agg(F.collect_set(F.struct("_lo", "_hi", "_p")).alias("_own"))
     copies = base.groupBy("_d").agg(F.count(F.lit(1)).alias("_times"), F.min("_id").alias("_rep"))
-    wanted = lists.join(copies, "_d").select(F.col("_rep").alias("_id"), "_d", "_times", "_own")
-    suspects = land(rows.join(wanted, ["_id", "_d"]).dropDuplicates(["_id", "_d"]).select("_d", "_times", "_own", "_text"), "suspects")
+    wanted = lists.join(copies, "_d").select("_rep", F.col("_d").alias("_w"), "_times", "_own")
+    same = F.col("_id").eqNullSafe(F.col("_rep")) & (F.col("_d") == F.col("_w"))
+    suspects = land(rows.join(wanted, same).dropDuplicates(["_id", "_d"]).select("_d", "_times", "_own", "_text"), "suspects")
 
     def name_extracts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

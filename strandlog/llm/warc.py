@@ -15,10 +15,9 @@ identifiers, a revisit joins the response it refers to; one nested row per captu
 Equality of payloads is by SHA-256 and length. Of equal payloads of at least ``MIN_REVISIT``
 bytes the one with the largest id is the response; smaller ones are all responses.
 
-Defined results: null html is an empty payload; null url is an empty target; repeated
-rows of one id with equal payloads are captures of their own (the record ids carry a
-row digest only, so fully equal rows share a capture); an empty table gives no rows;
-other columns are ignored.
+Defined results: null html is an empty payload; null url is an empty target; a null id
+stays null; repeated rows are one capture each, under the same record ids; an empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,9 +42,9 @@ DATE = "2024-01-01T00:00:00Z"
 FILE_RECORDS = 60_000
 
 
-def record_id(kind: str, page):
-    """A urn:uuid made from the record's kind and the page id."""
-    h = F.md5(F.concat(F.lit(kind + ":"), page.cast("string")))
+def record_id(kind: str, page, sha1):
+    """A urn:uuid made from the record's kind, the page id and the payload's digest."""
+    h = F.md5(F.concat(F.lit(kind + ":"), F.coalesce(page.cast("string"), F.lit("")), F.lit(":"), sha1))
     part = lambda a, n: F.substring(h, a, n)
     return F.concat(F.lit("<urn:uuid:"), part(1, 8), F.lit("-"), part(9, 4), F.lit("-"), part(13, 4), F.lit("-"), part(17, 4), F.lit("-"), part(21, 12), F.lit(">"))
 
@@ -82,12 +81,12 @@ def captures(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
 def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
     """Write the archives of ``pages`` below ``path``."""
     c = captures(pages, id_col, url_col, html_col)
-    page, url = F.col("page"), F.col("url")
+    page, url, sha1 = F.col("page"), F.col("url"), F.col("sha1")
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("size").cast("string"), F.lit(CRLF + CRLF))
-    main_id = record_id("capture", page)
+    main_id = record_id("capture", page, sha1)
     request = _record(
         "request",
-        [("WARC-Record-ID", record_id("request", page)), ("WARC-Target-URI", url), ("WARC-Concurrent-To", main_id), ("Content-Type", F.lit("application/http; msgtype=request"))],
+        [("WARC-Record-ID", record_id("request", page, sha1)), ("WARC-Target-URI", url), ("WARC-Concurrent-To", main_id), ("Content-Type", F.lit("application/http; msgtype=request"))],
         F.concat(F.lit("GET "), url, F.lit(f" HTTP/1.1{CRLF}{CRLF}")),
     )
     digest = ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1")))
@@ -98,13 +97,13 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     )
     revisit = _record(
         "revisit",
-        [("WARC-Record-ID", main_id), ("WARC-Target-URI", url), digest, ("WARC-Profile", F.lit(REVISIT_PROFILE)), ("WARC-Refers-To", record_id("capture", F.col("refers"))), ("Content-Type", F.lit("application/http; msgtype=response"))],
+        [("WARC-Record-ID", main_id), ("WARC-Target-URI", url), digest, ("WARC-Profile", F.lit(REVISIT_PROFILE)), ("WARC-Refers-To", record_id("capture", F.col("refers"), sha1)), ("Content-Type", F.lit("application/http; msgtype=response"))],
         http,
     )
     metadata = _record(
         "metadata",
-        [("WARC-Record-ID", record_id("metadata", page)), ("WARC-Target-URI", url), ("WARC-Concurrent-To", main_id), ("Content-Type", F.lit("application/warc-fields"))],
-        F.concat(F.lit("id: "), page.cast("string"), F.lit(CRLF)),
+        [("WARC-Record-ID", record_id("metadata", page, sha1)), ("WARC-Target-URI", url), ("WARC-Concurrent-To", main_id), ("Content-Type", F.lit("application/warc-fields"))],
+        F.concat(F.lit("id: "), F.coalesce(page.cast("string"), F.lit("")), F.lit(CRLF)),
     )
     records = F.array(request, F.when(F.col("refers").isNull(), response).otherwise(revisit), metadata)
     (
@@ -224,7 +223,8 @@ def transactions(records: DataFrame) -> DataFrame:
     originals = (
         records.filter(F.col("type") == "response")
         .join(named, "record_id", "left")
-        .select(F.col("record_id").alias("_original"), F.struct("record_id", "payload_bytes", "payload_sha1", F.col("named").alias("fields")).alias("original"))
+        .groupBy(F.col("record_id").alias("_original"))  # repeated rows write a record twice
+        .agg(F.min(F.struct("record_id", "payload_bytes", "payload_sha1", F.col("named").alias("fields"))).alias("original"))
     )
     return whole.withColumn("_original", F.col("main.refers_to")).join(originals, "_original", "left").drop("_original", "record_id")
 
@@ -239,4 +239,4 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
 def page_of(fields, kind: str):
     """The page id in a metadata record's block."""
-    return F.regexp_extract(fields, r"^id: ([^\r]*)", 1).cast(kind)
+    return F.regexp_extract(fields, r"^id: ([^\r]*)", 1).try_cast(kind)

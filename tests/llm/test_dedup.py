@@ -48,6 +48,8 @@ def test_exact_empty_and_repeated(spark):
     assert exact_dedup.dedup(frame(spark, [])).collect() == []
     rows = exact_dedup.dedup(frame(spark, [(1, "a"), (1, "a"), (2, "b")])).collect()
     assert Counter((r["doc_id"], r["keep_id"], r["group_size"]) for r in rows) == {(1, 1, 2): 2, (2, 2, 1): 1}
+    rows = exact_dedup.dedup(frame(spark, [(None, "a"), (1, "a"), (2, None)])).collect()
+    assert sorted((str(r["doc_id"]), str(r["keep_id"]), r["kept"]) for r in rows) == [("1", "None", False), ("2", "2", True), ("None", "None", True)]
 
 
 def test_exact_state_goes_on(spark, tmp_path):
@@ -101,6 +103,8 @@ def test_minhash_empty_and_repeated(spark):
     assert minhash_dedup.near_duplicates(frame(spark, [])).collect() == []
     rows = minhash_dedup.near_duplicates(frame(spark, [(1, "a b c d e f"), (1, "a b c d e f"), (2, None), (3, "")])).collect()
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in rows) == {(1, 2, 1, True): 2, (2, 0, 2, True): 1, (3, 0, 3, True): 1}
+    rows = minhash_dedup.near_duplicates(frame(spark, [(None, "a b c d e f"), (1, "a b c d e f"), (2, "A b c d e f")])).collect()
+    assert sorted((str(r["doc_id"]), str(r["component_id"]), r["kept"]) for r in rows) == [("1", "1", True), ("2", "1", False), ("None", "None", True)]
     assert minhash_dedup.keep(frame(spark, [(2, "a b c d e f"), (1, "A b c d e f"), (3, None)])).select("doc_id").orderBy("doc_id").collect() == [(1,), (3,)]
 
 
@@ -188,6 +192,9 @@ def test_repeats_empty(spark):
     assert suffix_dedup.repeats(frame(spark, [])).collect() == []
     rows = suffix_dedup.repeats(frame(spark, [(1, "a" * 500), (1, "a" * 500)])).collect()
     assert [(r["n_bytes"], bytes(r["kept"])) for r in rows] == [(500, b"")] * 2
+    words = sentence(random.Random(1), 300, 5000)
+    rows = suffix_dedup.repeats(frame(spark, [(None, words + " tail one"), (7, words + " end"), (None, None)])).collect()
+    assert sorted((r["n_bytes"], bytes(r["kept"] or b"")) for r in rows) == [(0, b""), (len(words) + 4, b"end"), (len(words) + 9, b"tail one")]
 
 
 def test_suffix_arrays_against_counts():

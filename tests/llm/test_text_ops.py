@@ -131,6 +131,8 @@ def test_pii_patterns_discover(spark):
         assert [(x["kind"], t[i][x["start"] : x["end"]]) for x in s] == [("email", f"jo77(at)mail{i - 60}.example")] and got[i]["base"] == []
     assert all(got[i]["spans"] == got[i]["base"] for i in range(60)) and all(got[i]["spans"] == [] for i in range(40, 60))
     out = {r["doc_id"]: r for r in pii.redact(frame(spark, enumerate(t))).collect()}
+    twice = pii.redact(frame(spark, [*enumerate(t), (61, t[61]), (61, "beta reach me: ab99(at)mail5.example today"), (None, t[61])]))
+    assert sum("<EMAIL>" in r["text"] for r in twice.collect()) == 40 + 3 + 3
     assert out[0]["text"] == t[0].replace("user0@mail0.example.org", "<EMAIL>") and "<EMAIL> today" in out[61]["text"] and out[45]["text"] == t[45] and out[0]["_ids"] == "x"
 
 
@@ -162,6 +164,8 @@ def test_warc_round_trip(spark):
         if top == i:
             assert bytes(r["main"]["payload"]) == raw
     assert warc.round_trip(pages(spark, [])).count() == 0
+    again = warc.round_trip(pages(spark, [(5, "u", big), (5, "u", big), (1, "u", big), (None, "v", None)])).collect()
+    assert sorted((r["main"]["type"], r["metadata"]["fields"].strip()) for r in again) == [("response", "id:"), ("response", "id: 5"), ("response", "id: 5"), ("revisit", "id: 1")]
 
 
 def test_warc_parser():
