@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -41,8 +43,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/strandlog-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path below the application's own folder in the shared one.
+
+    Results are read from there as long as the application runs; at a normal end of the
+    driver the folder goes.
+    """
+    own = f"{shared_dir(spark)}/strandlog-{spark.sparkContext.applicationId}"
+    if own not in _own_folders:
+        _own_folders.add(own)
+        path = spark._jvm.org.apache.hadoop.fs.Path(own)
+        atexit.register(_clear, path, path.getFileSystem(spark._jsc.hadoopConfiguration()))
+    return f"{own}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+_own_folders: set[str] = set()
+
+
+def _clear(path, files) -> None:
+    with contextlib.suppress(Exception):  # the JVM may have ended first
+        files.delete(path, True)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
