@@ -146,6 +146,10 @@ class Model:
             self._memo[w] = p
         return p
 
+    def forget(self) -> None:
+        """Drop the remembered words: the worker lives on when the task has ended."""
+        self._memo = {}
+
     def score(self, text: str | None) -> float:
         if self.constant is not None:
             return self.constant
@@ -185,6 +189,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         model = shared.value
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.score(t) for t in batch.column(1).to_pylist()], pa.float64())], [id_col, "score"])
+        model.forget()
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, score double")
 
@@ -209,5 +214,6 @@ def keep(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
             yield batch.filter(pa.array([model.score(t) < threshold for t in texts], pa.bool_()))
+        model.forget()
 
     return docs.mapInArrow(run, schema)
