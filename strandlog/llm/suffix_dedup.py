@@ -318,7 +318,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     text = F.coalesce(F.col(text_col), F.lit(""))
     sha = F.sha2(text.cast("binary"), 256)
     name = F.substring(F.unhex(sha), 1, 16)
-    rows = docs.select(F.col(id_col).alias("_id"), name.alias("_d"), text.alias("_text"))
+    # ids as text, so that a null id finds its row and one partitioning serves the join and what follows
+    id_text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    rows = docs.select(id_text(F.col(id_col)).alias("_k"), name.alias("_d"), text.alias("_text"))
     base = land(docs.select(F.col(id_col).alias("_id"), name.alias("_d"), F.octet_length(text).cast("long").alias("_n"), sha.alias("_sha")), "texts")
 
     def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,9 +336,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     again = found.groupBy("_key").agg(F.min(site).alias("_a"), F.max(site).alias("_b")).filter("_a <> _b").select("_key")
     lists = found.join(again, "_key", "left_semi").groupBy("_d").agg(F.collect_set(F.struct("_lo", "_hi", "_p")).alias("_own"))
     copies = base.groupBy("_d").agg(F.count(F.lit(1)).alias("_times"), F.min("_id").alias("_rep"))
-    wanted = lists.join(copies, "_d").select("_rep", F.col("_d").alias("_w"), "_times", "_own")
-    same = F.col("_id").eqNullSafe(F.col("_rep")) & (F.col("_d") == F.col("_w"))
-    suspects = land(rows.join(wanted, same).dropDuplicates(["_id", "_d"]).select("_d", "_times", "_own", "_text"), "suspects")
+    wanted = lists.join(copies, "_d").select(id_text(F.col("_rep")).alias("_k"), "_d", "_times", "_own")
+    suspects = land(rows.join(wanted, ["_k", "_d"]).dropDuplicates(["_k", "_d"]).select("_d", "_times", "_own", "_text"), "suspects")
 
     def name_extracts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
