@@ -4,7 +4,8 @@ Each document is the set of its word shingles. Documents with equal sets form on
 which takes part once. A class's signature is read in several orders (trees), each
 starting at another min-hash. In a tree's sorted order, neighbours whose longest common
 prefix reaches ``DEPTH`` min-hashes are one region, and candidates of each other. A region of
-more than ``REGION`` classes takes the deeper prefix ``DEEP`` instead.
+more than ``REGION`` classes is first taken apart by the deeper prefix ``DEEP``, which connects
+its closest members at little cost, and then as a whole like any other.
 
 Inside a region pairs are taken by falling estimated similarity and confirmed on the full
 shingle sets, rebuilt from the texts; a pair whose ends are already connected is passed
@@ -14,7 +15,7 @@ that still hold more than one component. A region of more than ``BLOCK`` classes
 worked off in blocks, one task per pair of blocks, so no group is unbounded.
 
 Recall: a pair at the threshold of 0.8 meets in a tree with probability 0.8**4, in one
-of 16 trees with 0.9998. Pairs are dropped unconfirmed only if their estimate lies below
+of 16 trees with 0.9998, whatever the regions' sizes. Pairs are dropped unconfirmed only if their estimate lies below
 ``LEAST`` of the threshold, over five standard deviations away.
 
 Defined results: null or wordless texts have no shingles and link with nothing, nor do rows with a null id; texts of
@@ -70,7 +71,11 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFra
 
 
 def regions(classes: DataFrame) -> DataFrame:
-    """(_tree, _key, _id): the regions of two classes or more, tree by tree."""
+    """(_tree, _key, _id, _hot, _part): the regions of two classes or more, tree by tree.
+
+    ``_hot`` regions hold more than ``REGION`` classes; they are there as a whole and in
+    parts (``_part``) by the deeper prefix.
+    """
     twice = F.concat("_sig", "_sig")
     width = 4 * SIGNATURE // TREES
     spots = F.array(*(
@@ -83,10 +88,11 @@ def regions(classes: DataFrame) -> DataFrame:
     ))
     rows = classes.select(F.col("_class").alias("_id"), F.explode(spots).alias("s")).select("_id", "s.*")
     many = rows.groupBy("_tree", "_short").agg(F.count(F.lit(1)).alias("_many")).filter("_many > 1")
-    met = rows.join(many, ["_tree", "_short"])
-    shallow = met.filter(F.col("_many") <= REGION).select("_tree", F.col("_short").alias("_key"), "_id")
-    deep = met.filter(F.col("_many") > REGION).select("_tree", F.col("_long").alias("_key"), "_id")
-    return land(shallow.unionByName(deep), "regions")
+    hot = F.col("_many") > REGION
+    whole = F.struct(F.col("_short").alias("_key"), F.lit(False).alias("_part"))
+    part = F.struct(F.col("_long").alias("_key"), F.lit(True).alias("_part"))
+    met = rows.join(many, ["_tree", "_short"]).select("_tree", "_id", hot.alias("_hot"), F.explode(F.when(hot, F.array(whole, part)).otherwise(F.array(whole))).alias("r"))
+    return land(met.select("_tree", "r._key", "_id", "_hot", "r._part"), "regions")
 
 
 def connect(sets: list[np.ndarray], comp: np.ndarray, side: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
@@ -179,8 +185,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(met.select("_id").distinct(), "_id").dropDuplicates(["_id"])
     texts = land(texts, "region-texts")
     links = comps = None
-    for trees in ROUNDS:
-        new = confirmed(met.filter(F.col("_tree").isin(*trees)), texts, comps, words, percent)
+    some = [(F.col("_hot") == F.col("_part")) & F.col("_tree").isin(*trees) for trees in ROUNDS]
+    whole = F.col("_hot") & ~F.col("_part")
+    if not met.filter(whole).isEmpty():
+        some += [whole & F.col("_tree").isin(*trees) for trees in ROUNDS]
+    for own in some:
+        new = confirmed(met.filter(own).select("_tree", "_key", "_id"), texts, comps, words, percent)
         links = new if links is None else links.unionByName(new)
         comps = components(links)
     told = classes.join(comps.select(F.col("node").alias("_class"), F.col("component").alias("_component")), "_class", "left").select(

@@ -99,6 +99,22 @@ def test_minhash(spark, corpus, monkeypatch, block, region):
         assert got == expected if region > 5 else sum(got[i] != expected[i] for i in got) <= len(got) // 10
 
 
+def test_minhash_hot_region_loses_no_link(spark, monkeypatch):
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(200)]
+    docs = [" ".join(base)]
+    for k in range(60):  # each is near the first only, at 0.80 to 0.83
+        w = list(base)
+        for at in rng.sample(range(8, 190, 9), 5):
+            w[at] = f"x{k}_{at}"
+        docs.append(" ".join(w))
+    docs = list(enumerate(docs))
+    monkeypatch.setattr(minhash_dedup, "REGION", 5)
+    expected = brute.near(docs, 4)
+    assert {c for _, c in expected.values()} == {0}
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash_dedup.near_duplicates(frame(spark, docs), words=4).collect()} == expected
+
+
 def test_minhash_empty_and_repeated(spark):
     assert minhash_dedup.near_duplicates(frame(spark, [])).collect() == []
     rows = minhash_dedup.near_duplicates(frame(spark, [(1, "a b c d e f"), (1, "a b c d e f"), (2, None), (3, "")])).collect()
