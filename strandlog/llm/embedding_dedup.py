@@ -7,9 +7,10 @@ the links found are united over the trees.
 
 What the driver holds is bounded: directions (trees x depth x dimension) and split points
 for the first levels, fitted on a bounded sample (``SAMPLE`` vectors); deeper levels split
-at zero. The number of trees follows from the depth and the margin so that a pair exactly
-at the threshold is missed by all trees with probability of about ``MISS``, and pairs
-above it far less.
+at zero. Spill margin and number of trees are fitted on pairs at about the threshold, in
+groups from the sample's densest vectors to its loneliest: the margin is the cheapest of a
+few, and trees are added until the worst group misses a pair in all trees with probability
+of about ``MISS``. Pairs above the threshold are missed far less.
 
 Equal vectors form one class, which takes part once and counts as often as it occurs. A
 leaf larger than ``LEAF_ROWS`` (a dense region that no split divides) is compared in
@@ -40,8 +41,38 @@ FITTED = 12
 LEAF_TARGET = 1024
 LEAF_ROWS = 2048
 MISS = 1e-5
-#: Spill margin in standard deviations of a threshold pair's projected difference.
-SPILL = 0.35
+#: Spill margins to choose from, in standard deviations of a threshold pair's projected difference.
+SPILLS = (0.2, 0.35, 0.5, 0.7, 1.0, 1.5, 2.5, 4.0)
+LEAST_TREES = 4
+#: Trees that judge a margin; pairs of each group they are judged on.
+PILOT = 4
+PROBES = 512
+#: A routed row costs as much as so many comparisons.
+ROW = 500
+
+
+def threshold_pairs(sample: np.ndarray, cosine: float, rng: np.random.Generator) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Groups of pairs at about the threshold, from the sample's densest vectors to its loneliest:
+    the sample's own pairs where it has enough, and pairs made around its vectors."""
+    n = len(sample)
+    few = sample[rng.permutation(n)[:2048]]
+    near = min(16, len(few))
+    dense = np.concatenate([np.partition(sample[k : k + 1024] @ few.T, -near, axis=1)[:, -near:].mean(axis=1) for k in range(0, n, 1024)])
+    order = np.argsort(-dense, kind="stable")
+    bounds = sorted({0, *(n >> k for k in range(7))})
+    groups = []
+    for lo, hi in zip(bounds[:-1], bounds[1:]):
+        own = sample[rng.choice(order[lo:hi], PROBES)]
+        r = rng.standard_normal(own.shape)
+        r -= (r * own).sum(axis=1, keepdims=True) * own
+        r /= np.maximum(np.linalg.norm(r, axis=1, keepdims=True), 1e-300)
+        groups.append((math.sqrt((1 + cosine) / 2) * own + math.sqrt((1 - cosine) / 2) * r, math.sqrt((1 + cosine) / 2) * own - math.sqrt((1 - cosine) / 2) * r))
+        c = own @ sample.T
+        i, j = np.nonzero((c >= cosine) & (c <= cosine + 0.1 * (1 - cosine)))
+        if len(i) >= 32:
+            some = rng.permutation(len(i))[:PROBES]
+            groups.append((own[i[some]], sample[j[some]]))
+    return groups
 
 
 class Forest:
@@ -51,18 +82,39 @@ class Forest:
         self.dim = dim
         depth = max(0, math.ceil(math.log2(max(1, n) / LEAF_TARGET)))
         sigma = math.sqrt(2 * (1 - cosine) / dim)
-        self.margin = SPILL * sigma
+        self.depth = depth
         rng = np.random.default_rng(seed)
         unit = lambda *shape: (lambda d: d / np.linalg.norm(d, axis=-1, keepdims=True))(rng.standard_normal(shape))
-        spread = float((sample @ unit(16, dim).T).std()) or 1 / math.sqrt(dim)
-        a = 2 * self.margin / sigma if sigma else 0.0
-        tail = 0.5 * math.erfc(a / math.sqrt(2))
-        lost = min(0.9, 2 * sigma * (math.exp(-a * a / 2) / math.sqrt(2 * math.pi) - a * tail) * 0.4 / spread)
-        found = (1 - lost) ** depth
-        self.trees = 1 if depth == 0 else max(4, math.ceil(math.log(MISS) / math.log1p(-found)))
-        self.depth = depth
-        self.directions = unit(self.trees, depth, dim) if depth else np.zeros((1, 0, dim))
-        self.splits = [self._fit(sample @ self.directions[t].T) for t in range(self.trees)]
+        self.directions, self.splits, self.margin = np.zeros((1, 0, dim)), [[]], 0.0
+        if depth:
+            pairs = threshold_pairs(sample, cosine, rng)
+            few = sample[rng.permutation(len(sample))[:PROBES]]
+            best = None
+            for spill in SPILLS:  # the margin that costs least, by a few trees
+                pilot = np.random.default_rng(seed).standard_normal((PILOT, depth, dim))
+                self.directions = pilot / np.linalg.norm(pilot, axis=-1, keepdims=True)
+                self.splits, self.margin = [self._fit(sample @ d.T) for d in self.directions], spill * sigma
+                missed = sum(self.missed(pairs, t) for t in range(PILOT)).max() / PILOT
+                leaves = [self.walk(few, t)[1] for t in range(PILOT)]
+                met = sum(float((np.bincount(x) ** 2.0).sum()) for x in leaves) * n / len(few) ** 2
+                cost = (ROW * sum(map(len, leaves)) / len(few) + met) * (math.log(MISS) / missed if missed else math.inf)
+                if best is None or cost < best[0]:
+                    best = cost, spill
+            self.margin = best[1] * sigma
+            self.directions, self.splits, missed = np.zeros((0, depth, dim)), [], np.zeros(len(pairs))
+            while len(self.splits) < LEAST_TREES or missed.max() > math.log(MISS):
+                self.directions = np.concatenate([self.directions, unit(1, depth, dim)])
+                self.splits.append(self._fit(sample @ self.directions[-1].T))
+                missed += self.missed(pairs, -1)
+        self.trees = len(self.splits)
+
+    def missed(self, pairs: list[tuple[np.ndarray, np.ndarray]], t: int) -> np.ndarray:
+        """The log of the share of each group's pairs that share no leaf of tree ``t``."""
+        out = []
+        for x, y in pairs:
+            meet = np.intersect1d(*((lambda row, leaf: row << 40 | leaf)(*self.walk(v, t)) for v in (x, y))) >> 40
+            out.append(math.log1p(-len(np.unique(meet)) / (len(x) + 1)))
+        return np.array(out)
 
     def _fit(self, proj: np.ndarray) -> list[np.ndarray]:
         """Medians of the sample, node by node, for the first levels."""
@@ -80,21 +132,22 @@ class Forest:
             node = 2 * node + (proj[:, level] > at[node])
         return out
 
+    def walk(self, unit: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row, leaf) for every leaf of tree ``t`` that a vector reaches."""
+        proj = unit @ self.directions[t].T
+        row, node = np.arange(len(unit)), np.zeros(len(unit), np.int64)
+        for level in range(self.depth):
+            at = self.splits[t][level][node] if level < len(self.splits[t]) else 0.0
+            off = proj[row, level] - at
+            left, right = off <= self.margin, off > -self.margin
+            row, node = np.concatenate([row[left], row[right]]), np.concatenate([2 * node[left], 2 * node[right] + 1])
+        return row, node
+
     def route(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, tree, leaf) for every leaf that a vector reaches."""
-        rows, trees, leaves = [], [], []
-        for t in range(self.trees):
-            proj = unit @ self.directions[t].T
-            row, node = np.arange(len(unit)), np.zeros(len(unit), np.int64)
-            for level in range(self.depth):
-                at = self.splits[t][level][node] if level < len(self.splits[t]) else 0.0
-                off = proj[row, level] - at
-                left, right = off <= self.margin, off > -self.margin
-                row, node = np.concatenate([row[left], row[right]]), np.concatenate([2 * node[left], 2 * node[right] + 1])
-            rows.append(row)
-            trees.append(np.full(len(row), t, np.int32))
-            leaves.append(node)
-        return np.concatenate(rows), np.concatenate(trees), np.concatenate(leaves)
+        walks = [self.walk(unit, t) for t in range(self.trees)]
+        rows, leaves = (np.concatenate(c) for c in zip(*walks))
+        return rows, np.repeat(np.arange(self.trees, dtype=np.int32), [len(r) for r, _ in walks]), leaves
 
 
 def to_unit(flat: np.ndarray, dim: int) -> np.ndarray:
@@ -144,13 +197,15 @@ def class_links(classes: DataFrame, cosine: float) -> DataFrame:
             for dim in np.unique(dims):
                 own = pa.array(np.flatnonzero(dims == dim))
                 if int(dim) in models:
-                    row, tree, leaf = models[int(dim)].route(_vectors(batch.column(1).take(own), int(dim)))
+                    model, unit = models[int(dim)], _vectors(batch.column(1).take(own), int(dim))
+                    walks = ((t, k, *model.walk(unit[k : k + 2048], t)) for t in range(model.trees) for k in range(0, len(own), 2048))
                 else:
-                    row, tree, leaf = np.arange(len(own)), np.zeros(len(own), np.int32), np.zeros(len(own), np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(own).take(pa.array(row)), pa.array(np.full(len(row), dim, np.int32)), pa.array(tree, pa.int32()), pa.array(leaf, pa.int64())],
-                    ["_class", "_dim", "_tree", "_leaf"],
-                )
+                    walks = iter([(0, 0, np.arange(len(own)), np.zeros(len(own), np.int64))])
+                for t, k, row, leaf in walks:
+                    yield pa.RecordBatch.from_arrays(
+                        [ids.take(own).take(pa.array(row + k)), pa.array(np.full(len(row), dim, np.int32)), pa.array(np.full(len(row), t, np.int32)), pa.array(leaf, pa.int64())],
+                        ["_class", "_dim", "_tree", "_leaf"],
+                    )
 
     kind = classes.schema["_class"].dataType.simpleString()
     routed = land(sized.mapInArrow(route, f"_class {kind}, _dim int, _tree int, _leaf long"), "leaves")

@@ -179,6 +179,22 @@ def test_forest_depth_and_trees():
     assert set(tree) == set(range(f.trees)) and leaf.max() < 1 << 10
 
 
+def test_forest_finds_pairs_inside_a_hot_cluster():
+    rng = np.random.default_rng(3)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    x = unit(rng.standard_normal((30_000, 64)))
+    x[:10_000] = unit(0.9**0.5 * unit(rng.standard_normal(64)) + 0.1**0.5 * unit(rng.standard_normal((10_000, 64))))
+    f = embedding_dedup.Forest(64, 1 << 20, x[rng.permutation(len(x))[: embedding_dedup.SAMPLE]], 0.9)
+    assert f.depth == 10
+    a, b = rng.integers(0, 10_000, (2, 30_000))
+    at = np.flatnonzero((abs((x[a] * x[b]).sum(axis=1) - 0.9015) < 0.0015) & (a != b))[:2000]
+    met = 0
+    for k in range(0, 2000, 100):
+        one, other = ({*zip(*(v.tolist() for v in f.route(x[i[at[k : k + 100]]])))} for i in (a, b))
+        met += len({r for r, _, _ in one & other})
+    assert len(at) == 2000 and met >= 1999
+
+
 @pytest.mark.parametrize("shard", [2 << 20, 3000])
 def test_repeats(spark, monkeypatch, shard):
     monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", shard)
