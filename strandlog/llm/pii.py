@@ -46,6 +46,8 @@ SUPPORT = 5
 #: Confidence from which patterns and values act.
 BAR = 0.8
 ROUNDS = 3
+#: Up to so many spans a text is cut by offsets, beyond by its characters, as a cut by offset counts from the start.
+FEW = 64
 
 
 def _digits(m: Column) -> Column:
@@ -81,10 +83,6 @@ def _gaps(text: Column, pattern: str) -> Column:
     return F.split(text, pattern, -1)
 
 
-def _marked(kind: str):
-    return lambda g, m: F.concat(g, F.when(m.isNull(), "").when(passes(kind, m), f"<{kind.upper()}>").otherwise(m))
-
-
 def _paired(order: int, none: Column):
     return lambda g, m: F.struct(F.lit(order).alias("o"), F.length(g).alias("g"), m.alias("m"), none.alias("tail"), none.alias("head"))
 
@@ -221,21 +219,37 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return scanned.select("_at", "_id").join(told, "_at", "left").select(F.col("_id").alias(id_col), shown("_base").alias("base"), shown("_spans").alias("spans"))
 
 
+def _replaced(text: Column, spans: Column) -> Column:
+    """``text`` with each of its disjoint, ordered spans (s, e, kind) replaced."""
+    begin = lambda i: F.when(i > 0, F.element_at(spans, i)["e"]).otherwise(0)
+    last = F.element_at(spans, -1)["e"]
+    cut = lambda a, n: F.substring(text, a + 1, n)
+    whole = lambda part: F.concat(
+        F.array_join(F.transform(spans, lambda x, i: F.concat(part(begin(i), x["s"] - begin(i)), F.lit("<"), F.upper(x["kind"]), F.lit(">"))), ""),
+        part(last, F.length(text) - last),
+    )
+    # bound as an argument, the characters are split once, not once a span
+    by_chars = F.transform(F.array(F.split(text, "", -1)), lambda chars: whole(lambda a, n: F.array_join(F.slice(chars, a + 1, n), "")))
+    return F.when(F.size(spans) <= FEW, whole(cut)).otherwise(by_chars[0])
+
+
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with personal data in the text replaced by ``<KIND>``; same columns."""
-    scanned, _, more = _found(docs, id_col, text_col)
-    more = land(more.select("_at", "i", "kind").join(scanned.select("_at", "_id", "_h"), "_at"), "pii-found")
-    out, t = docs, F.col(text_col)
-    if not more.isEmpty():
-        one = more.groupBy("_id", "_h", "i").agg(F.min("kind").alias("kind"))  # repeated rows say the same
-        places = one.groupBy("_id", "_h").agg(F.map_from_entries(F.collect_list(F.struct("i", F.upper("kind")))).alias("_places"))
-        places = places.select(F.col("_id").alias("_place_id"), F.col("_h").alias("_place_h"), "_places")
-        out = out.join(places, out[id_col].eqNullSafe(F.col("_place_id")) & (F.xxhash64(out[text_col]) == F.col("_place_h")), "left").drop("_place_id", "_place_h")
-        marked = F.transform(_all(t, TOKEN), lambda m, i: F.coalesce(F.concat(F.lit("<"), F.element_at("_places", i), F.lit(">")), m))
-        joined = F.array_join(F.zip_with(_gaps(t, TOKEN), marked, lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
-        out = out.withColumn(text_col, F.when(F.col("_places").isNull(), t).otherwise(joined)).drop("_places")
-    for kind in KINDS:
-        p = PATTERNS[kind]
-        may = t.contains(NEEDS[kind]) if kind in NEEDS else t.rlike("[0-9]")
-        out = out.withColumn(text_col, F.when(may, F.array_join(F.zip_with(_gaps(t, p), _all(t, p), _marked(kind)), "")).otherwise(t))
-    return out.select(*docs.columns)
+    """``docs`` with personal data in the text replaced by ``<KIND>``; same columns.
+
+    What goes are the spans that ``find`` reports, by their places in the original text;
+    spans that overlap go as one, under the kind of the longest.
+    """
+    scanned, base, more = _found(docs, id_col, text_col)
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), F.col("o") + 1)
+    spans = base.select("_at", "s", "e", kind.alias("kind")).unionByName(more.select("_at", "s", "e", "kind"))
+    placed = spans.join(scanned.select("_at", "_id", "_h"), "_at").select("_id", "_h", "s", "e", "kind").distinct()  # repeated rows say the same
+    order = Window.partitionBy("_id", "_h").orderBy("s", "e", "kind")
+    reach = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    groups = placed.withColumn("first", F.when(reach > F.col("s"), 0).otherwise(1)).withColumn("g", F.sum("first").over(order))
+    longest = F.max(F.struct(F.col("e") - F.col("s"), F.col("kind")))["kind"]
+    merged = groups.groupBy("_id", "_h", "g").agg(F.min("s").alias("s"), F.max("e").alias("e"), longest.alias("kind"))
+    places = merged.groupBy("_id", "_h").agg(F.array_sort(F.collect_list(F.struct("s", "e", "kind"))).alias("_places"))
+    places = land(places.select(F.col("_id").alias("_place_id"), F.col("_h").alias("_place_h"), "_places"), "pii-places")
+    out = docs.join(places, docs[id_col].eqNullSafe(F.col("_place_id")) & (F.xxhash64(docs[text_col]) == F.col("_place_h")), "left")
+    text = F.when(F.col("_places").isNull(), docs[text_col]).otherwise(_replaced(docs[text_col], F.col("_places")))
+    return out.select(*(text.alias(c) if c == text_col else docs[c] for c in docs.columns))

@@ -142,6 +142,29 @@ def test_pii_redacts_what_passes(spark):
     assert out == {0: "ip <IP> not 1.2.3.999", 1: "card <CARD> not 4111 1111 1111 1112", 2: "tel <PHONE>", 3: None, 4: ""}
 
 
+def test_pii_redacts_the_union_of_overlapping_spans(spark):
+    rng = random.Random(7)
+    bits = ["a", ".", "@", "+", "12", "25", " ", "é", "🙂", "4111 1111 1111 1111", "a@b.c", "1.2.3.4", "+33.1.42.68.53.00", "+49 (30) 123456", "\n", "\0"]
+    t = ["+33.1.42.68.53.00", "tel +33.1.42.68.53.00 é"] + ["".join(rng.choices(bits, k=rng.randrange(25))) for _ in range(300)] + ["🙂 a@b.c " * 500, "1.2.3.4 " * 20000]
+    found = {r["doc_id"]: r["spans"] for r in pii.find(frame(spark, enumerate(t))).collect()}
+    out = {r["doc_id"]: r["text"] for r in pii.redact(frame(spark, enumerate(t))).collect()}
+    assert out[0] == "<PHONE>" and out[1] == "tel <PHONE> é"
+    overlaps = 0
+    for i, x in enumerate(t):
+        groups = []
+        for s, e, kind in sorted((s["start"], s["end"], s["kind"]) for s in found[i]):
+            if groups and s < groups[-1][1]:
+                overlaps += 1
+                groups[-1] = (groups[-1][0], max(e, groups[-1][1]), max(groups[-1][2], (e - s, kind)))
+            else:
+                groups.append((s, e, (e - s, kind)))
+        said = x
+        for s, e, (_, kind) in reversed(groups):
+            said = f"{said[:s]}<{kind.upper()}>{said[e:]}"
+        assert out[i] == said, i
+    assert overlaps > 20
+
+
 def pages(spark, rows):
     return spark.createDataFrame([(i, u, h, "x", 1) for i, u, h in rows], "page_id long, url string, html string, type string, main int").repartition(2)
 
