@@ -15,7 +15,7 @@ def parser() -> argparse.ArgumentParser:
     sub = p.add_subparsers(dest="command", required=True)
     check = sub.add_parser("check", help="check a schema file")
     check.add_argument("schema")
-    for name, text in (("inspect", "what the tables hold"), ("build", "refresh snapshots"), ("compact", "rewrite live rows"), ("get", "a row by id"), ("get-by", "rows by lookup"), ("put", "put a record"), ("delete", "a tombstone"), ("search", "word search"), ("repair", "drop broken last lines of segments")):
+    for name, text in (("inspect", "what the tables hold"), ("build", "refresh snapshots"), ("compact", "rewrite live rows"), ("get", "a row by id"), ("get-by", "rows by lookup"), ("put", "put a record"), ("delete", "a tombstone"), ("index", "store a word index"), ("search", "word search"), ("vacuum", "delete what readers no longer need"), ("repair", "mend broken last lines of segments")):
         c = sub.add_parser(name, help=text)
         c.add_argument("root")
         c.add_argument("schema")
@@ -50,7 +50,6 @@ def _run(a: argparse.Namespace, schema) -> int:
     from pyspark.sql import functions as F
 
     from .database import Database
-    from .operators import search
     from .sources import segment
 
     spark = SparkSession.builder.getOrCreate()
@@ -58,7 +57,7 @@ def _run(a: argparse.Namespace, schema) -> int:
     show = lambda row: print(json.dumps(row.asDict(), ensure_ascii=False) if row else "null")
     if a.command == "inspect":
         s = db.manifest()["tables"].get(a.table, {})
-        print(json.dumps({"table": a.table, "rows": db.count(a.table), "batches": len(s.get("batches", [])), "snapshot": s.get("snapshot")}))
+        print(json.dumps({"table": a.table, "rows": db.count(a.table), "batches": len(s.get("batches", [])), "bytes": db.statistics(a.table)["bytes"], "snapshot": s.get("snapshot")}))
     elif a.command == "build":
         print(json.dumps({"refreshed": db.refresh(a.table)}))
     elif a.command == "compact":
@@ -74,13 +73,15 @@ def _run(a: argparse.Namespace, schema) -> int:
         print(db.upsert(a.table, json.loads(a.rest[0])).first_tx)
     elif a.command == "delete":
         print(db.delete(a.table, a.rest[0]).first_tx)
+    elif a.command == "index":
+        db.index_text(a.table, a.rest[0])
+    elif a.command == "vacuum":
+        print(db.vacuum())
     elif a.command == "search":
-        index = search.terms(db.live(a.table), a.rest[0])
-        for row in search.search(index, " ".join(a.rest[1:])).orderBy(F.desc("score"), "id").limit(100).collect():
+        for row in db.search(a.table, a.rest[0], " ".join(a.rest[1:])).orderBy(F.desc("score"), "id").limit(100).collect():
             show(row)
     elif a.command == "repair":
-        lines = segment.repair(segment.read_lines(spark, a.rest[0]), schema.table(a.table))
-        print(segment.decode(lines, schema.table(a.table)).count())
+        print(json.dumps(segment.repair_files(spark, a.rest[0], schema.table(a.table))))
     return 0
 
 

@@ -106,12 +106,11 @@ def numbered(rows: DataFrame, key: str = "id", name: str = "_pos", buckets: int
 
     No global window: rows fall into ranges of the key by a bounded sample, ranges are
     counted, and each row is numbered inside its range from where the smaller ranges end.
+    A row finds its range by binary search, so the work a row and the code generated stay
+    small at any number of ranges.
     """
     n = buckets or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    bucket = F.lit(0)
-    for b in _bounds(rows, key, n):
-        bucket = bucket + F.when(F.col(key) >= F.lit(b), 1).otherwise(0)
-    dealt = rows.withColumn("_b", bucket)
+    dealt = rows.withColumn("_b", _range_of(F.col(key), _bounds(rows, key, n)))
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     sizes = dealt.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
     starts = sizes.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"))
@@ -119,6 +118,16 @@ def numbered(rows: DataFrame, key: str = "id", name: str = "_pos", buckets: int
     return dealt.join(F.broadcast(starts), "_b").withColumn(name, at.cast("long")).drop("_b", "_from")  # a row per bucket
 
 
+def _range_of(key: Column, bounds: list) -> Column:
+    """How many of the ascending bounds are at most ``key``."""
+    if not bounds:
+        return F.lit(0)
+    all_ = F.array(*map(F.lit, bounds))
+    steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
+    # behind the last bound there is null, which is not at most anything
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when(F.try_element_at(all_, at + step) <= key, at + step).otherwise(at))
+
+
 def compacted(live: DataFrame, first_tx: int, id_col: str = "id", buckets: int | None = None) -> DataFrame:
     """Live rows as a fresh log: ids ascending, new transaction ids from ``first_tx`` on."""
     return numbered(live, id_col, "_pos", buckets).withColumn("_tx", (F.col("_pos") + first_tx).cast("long")).withColumn("_op", F.lit(PUT))

@@ -44,10 +44,16 @@ def unique_conflicts(batch: DataFrame, live: DataFrame, table: Table) -> DataFra
     return taken.unionByName(twice).distinct()
 
 
-def check_batch(batch: DataFrame, live: DataFrame, table: Table, insert_only: bool) -> None:
-    """Raise what forbids the batch. All conflicts come from one job."""
+def check_batch(batch: DataFrame, live: DataFrame, table: Table, insert_only: bool, touched: DataFrame | None = None, lost: DataFrame | None = None) -> None:
+    """Raise what forbids the batch. All conflicts come from one job.
+
+    ``touched`` are the ids of all its operations, if it does more than put rows; ``lost`` (id,
+    field, key) are changes whose row was not found.
+    """
     none = F.lit("")
-    found = [repeated_ids(batch).select(F.lit("twice").alias("why"), "id", none.alias("field"), none.alias("key"))]
+    found = [repeated_ids(batch if touched is None else touched).select(F.lit("twice").alias("why"), "id", none.alias("field"), none.alias("key"))]
+    if lost is not None:
+        found.append(lost.select(F.lit("without").alias("why"), "id", "field", "key"))
     if insert_only:
         found.append(insert_conflicts(batch, live).select(F.lit("exists").alias("why"), "id", none.alias("field"), none.alias("key")))
     if any(x.unique and x.field != "id" for x in table.all_lookups):
@@ -57,6 +63,8 @@ def check_batch(batch: DataFrame, live: DataFrame, table: Table, insert_only: bo
         b = bad[0]
         if b["why"] == "twice":
             raise InvalidInput(f"batch touches {table.name} {b['id']!r} more than once")
+        if b["why"] == "without":
+            raise NotFound(f"{table.name} has no row with {b['field']} = {b['key']!r}")
         what = f"id {b['id']!r}" if b["why"] == "exists" else f"{b['field']} = {b['key']!r}"
         raise AlreadyExists(f"{table.name} already has {what}")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = "[a-z0-9]+"
@@ -19,6 +19,16 @@ def dictionary(index: DataFrame) -> DataFrame:
     return index.groupBy("term").agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("occurrences"))
 
 
+def store(index: DataFrame, path: str) -> None:
+    """Keep an index as files sorted by term: a query reads the row groups of its terms only."""
+    index.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.option("parquet.bloom.filter.enabled#term", "true").option("parquet.bloom.filter.adaptive.enabled", "true").parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """A stored index."""
+    return spark.read.parquet(path)
+
+
 def search(index: DataFrame, query: str) -> DataFrame:
     """(id, score): ids that hold every word of the query, by their count of them."""
     import re

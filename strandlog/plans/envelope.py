@@ -22,6 +22,7 @@ class Plan:
     range: dict[str, Any] = field(default_factory=dict)
     limit: int | None = None
     cursor: str | None = None
+    after: str | None = None
 
     def __post_init__(self):
         if self.op not in READS + WRITES:
@@ -42,6 +43,9 @@ class Plan:
     def with_cursor(self, cursor: str | None) -> Plan:
         return replace(self, cursor=cursor)
 
+    def with_after(self, key: str | None) -> Plan:
+        return replace(self, after=key)
+
     @property
     def lookup_key(self) -> Any:
         if self.lookup is None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 from typing import Any, Protocol, runtime_checkable
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Row
 
 from ..operators.read import MAX_LIMIT
 from .envelope import Plan
@@ -13,14 +13,12 @@ from .envelope import Plan
 
 @dataclass(frozen=True)
 class Page:
-    """Rows as a DataFrame, and where the next page starts."""
+    """At most ``MAX_LIMIT`` rows, and where the next page starts: as an offset, and as the key of
+    the last row (``after``), which costs the same at any place."""
 
-    frame: DataFrame
+    rows: list[Row]
     next_cursor: str | None
-
-    @property
-    def rows(self) -> list[Row]:
-        return self.frame.collect()  # at most MAX_LIMIT
+    next_after: str | None = None
 
 
 @runtime_checkable
@@ -60,6 +58,9 @@ class GetMany:
     def cursor(self, c: str | None) -> GetMany:
         return replace(self, plan=self.plan.with_cursor(c))
 
+    def after(self, key: str | None) -> GetMany:
+        return replace(self, plan=self.plan.with_after(key))
+
     def into_plan(self) -> Plan:
         return self.plan if self.plan.limit is not None else self.plan.with_limit(MAX_LIMIT)
 
@@ -79,6 +80,9 @@ class GetPage:
     def cursor(self, c: str | None) -> GetPage:
         return replace(self, plan=self.plan.with_cursor(c))
 
+    def after(self, key: str | None) -> GetPage:
+        return replace(self, plan=self.plan.with_after(key))
+
     def into_plan(self) -> Plan:
         return self.plan
 

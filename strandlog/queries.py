@@ -11,7 +11,7 @@ from .operators import live, mutate, read, report, search
 from .plans import change, selector
 from .schema import DatabaseSchema, Table, table
 from .sources import jsonl, pack, segment
-from .sources.files import scratch
+from .sources.files import Files, scratch
 
 ORDERS = table("orders", "id: id", "o_custkey: int", "o_orderstatus: text", "o_totalprice: float", many=("o_custkey", "o_orderstatus"))
 CUSTOMERS = table("customers", "id: id", "c_name: text", "c_mktsegment: text", "c_acctbal: float", unique=("c_name",), many=("c_mktsegment",))
@@ -116,18 +116,15 @@ def incremental_apply(spark, sf):
     """Snapshot of the first half of the log, then the second half."""
     log = event_log(spark, sf)
     cols = ["id", "event_type", "value"]
-    cut = 500
+    cut = log.agg(F.max("_pos")).first()[0] // 2
     return live.apply_log(live.live_state(log.filter(F.col("_pos") < cut)).select(*cols), log.filter(F.col("_pos") >= cut))
 
 
 @query("SELECT max(event_id)::BIGINT AS max_tx, max(event_id)::BIGINT + 1 AS next_tx FROM events")
 def next_tx(spark, sf):
-    return event_log(spark, sf).agg(F.max("_tx").alias("max_tx")).withColumn("next_tx", F.col("max_tx") + 1)
-
-
-@query(f"WITH {LOG_SQL} SELECT count(*) AS operations, count(*) FILTER (_op = 'R') AS puts, count(*) FILTER (_op = 'D') AS tombstones, (sum(octet_length(encode(id))))::BIGINT AS bytes, count(DISTINCT event_type) AS chunks FROM log")
-def log_statistics(spark, sf):
-    return report.log_statistics(event_log(spark, sf).withColumn("_bytes", F.octet_length("id")).withColumn("_chunk", F.col("event_type")))
+    log = event_log(spark, sf)
+    top = live.max_tx(log.filter("_pos % 2 = 0"), log.filter("_pos % 2 = 1"))
+    return spark.createDataFrame([(top, top + 1)], "max_tx long, next_tx long")
 
 
 # -- reads -----------------------------------------------------------------------------
@@ -141,7 +138,7 @@ def get_by_id(spark, sf):
 @query(f"WITH {CUSTOMERS_SQL} SELECT * FROM c WHERE c_name = (SELECT min(c_name) FROM c)")
 def get_unique(spark, sf):
     c = customers(spark, sf)
-    return c.join(c.agg(F.min("c_name").alias("c_name")), "c_name", "left_semi")
+    return read.get(c, CUSTOMERS, "c_name", c.agg(F.min("c_name")).first()[0])
 
 
 @query(f"WITH {ORDERS_SQL} SELECT * FROM o WHERE o_custkey = 7")
@@ -171,7 +168,8 @@ def scan_page_after_key(spark, sf):
 
 @query(f"WITH {ORDERS_SQL} SELECT CASE WHEN 900 + 100 < count(*) THEN '1000' END AS next_cursor, count(*) AS total FROM o")
 def page_cursor(spark, sf):
-    return read.count(orders(spark, sf)).select(F.when(F.col("n") > 1000, "1000").alias("next_cursor"), F.col("n").alias("total"))
+    n = read.count(orders(spark, sf)).first()["n"]
+    return spark.createDataFrame([(read.next_cursor(read.checked_cursor("900"), read.checked_limit(None), n), n)], "next_cursor string, total long")
 
 
 @query(f"WITH {ORDERS_SQL} SELECT * FROM o ORDER BY id")
@@ -321,6 +319,17 @@ def segment_encode(spark, sf):
     return segment.encode(notes(spark, sf), NOTES).select("id", "line")
 
 
+@query(f"""WITH l AS (SELECT turn, CASE WHEN turn % 5 = 4 THEN 'D' || chr(9) || (turn + 1) || chr(9) || conv_id || ':' || turn
+ELSE 'R' || chr(9) || (turn + 1) || chr(9) || conv_id || ':' || turn || chr(9) || {_ESC('role')} || chr(9) || {_ESC("chr(92) || chr(9) || chr(13) || chr(10) || text")} || chr(9) || turn END AS line FROM conversations)
+SELECT count(*) AS operations, count(*) FILTER (turn % 5 <> 4) AS puts, count(*) FILTER (turn % 5 = 4) AS tombstones, sum(octet_length(encode(line)) + 1)::BIGINT AS bytes, count(DISTINCT turn) AS chunks FROM l""")
+def log_statistics(spark, sf):
+    """Bytes and chunks of a log as its segments hold them; a batch of turns each, a chunk of a batch each."""
+    log = notes(spark, sf)
+    log = log.withColumn("_batch", F.regexp_extract("id", "[0-9]+$", 0).cast("long"))
+    placed = segment.chunked(log, NOTES, 1)
+    return report.log_statistics(placed.withColumn("_op", F.substring("line", 1, 1)).withColumn("_bytes", F.octet_length("line") + 1).withColumnRenamed("_chunk_no", "_chunk"))
+
+
 @query("""SELECT conv_id || ':' || turn AS id, (turn + 1)::BIGINT AS _tx, CASE WHEN turn % 5 = 4 THEN 'D' ELSE 'R' END AS _op,
 CASE WHEN turn % 5 <> 4 THEN role END AS role, CASE WHEN turn % 5 <> 4 THEN chr(92) || chr(9) || chr(13) || chr(10) || text END AS body, CASE WHEN turn % 5 <> 4 THEN turn::BIGINT END AS turn FROM conversations""")
 def segment_decode(spark, sf):
@@ -358,9 +367,7 @@ def json_log_round_trip(spark, sf):
 def pack_round_trip(spark, sf):
     """Conversations to pack blocks and back."""
     c = _read(spark, sf, "conversations")
-    from pyspark.sql.window import Window
-
-    ids = c.select("conv_id").distinct().withColumn("cid", F.row_number().over(Window.orderBy("conv_id")).cast("long"))
+    ids = live.numbered(c.select("conv_id").distinct(), "conv_id", "cid").withColumn("cid", F.col("cid") + 1)
     said = c.join(ids, "conv_id").select("cid", F.col("turn").cast("long").alias("turn"), "role", "text")
     heads = ids.select("cid", *[F.lit(0).cast("long").alias(x) for x in ("source_id", "domain_id", "flags")])
     blocks = pack.encode(heads, said)
@@ -368,6 +375,41 @@ def pack_round_trip(spark, sf):
     return pack.messages(pack.records(lines))
 
 
+@query("""SELECT conv_id, kind, coalesce(turn, 0)::BIGINT AS turn, value FROM (
+SELECT conv_id, 'tag' AS kind, NULL AS turn, CAST(turn AS VARCHAR) AS value FROM conversations WHERE turn < 2
+UNION ALL SELECT conv_id, 'property', turn, role FROM conversations WHERE turn < 3 AND turn <> 1
+UNION ALL SELECT conv_id, 'property', turn, 'changed' FROM conversations WHERE turn = 1
+UNION ALL SELECT conv_id, 'call', turn, text FROM conversations WHERE turn = 1
+UNION ALL SELECT conv_id, 'result', turn, text FROM conversations WHERE turn = 2) t
+WHERE conv_id IN (SELECT conv_id FROM conversations WHERE turn = 0) AND NOT (kind = 'property' AND conv_id = (SELECT min(conv_id) FROM conversations))""")
+def pack_records(spark, sf):
+    """Tags, properties, calls and results written to pack files, updated, and read back."""
+    c = _read(spark, sf, "conversations").withColumn("turn", F.col("turn").cast("long"))
+    ids = live.numbered(c.filter("turn = 0").select("conv_id").distinct(), "conv_id", "cid")
+    said = c.join(ids, "conv_id")
+    first = c.agg(F.min("conv_id").alias("conv_id"))
+    folder = scratch(spark, "packs")
+    pack.write(
+        ids.select("cid", *[F.lit(0).cast("long").alias(x) for x in ("source_id", "domain_id", "flags")]), said.select("cid", "turn", "role", "text"), folder, {"role": {"u": "user"}},
+        tagged=said.filter("turn < 2").select("cid", F.col("turn").alias("tag_id")),
+        props=said.filter("turn < 3").select("cid", F.col("turn").cast("string").alias("key"), F.col("role").alias("value")),
+        called=said.filter("turn = 1").select("cid", "turn", F.lit(0).cast("long").alias("call"), F.lit(7).cast("long").alias("tool_id"), F.col("text").alias("args")),
+        told=said.filter("turn = 2").select("cid", "turn", F.lit(0).cast("long").alias("call"), "text"),
+    )
+    gone = ids.join(first, "conv_id", "left_semi").select("cid")
+    pack.write_updates(folder, said.filter("turn = 1").join(gone, "cid", "left_anti").select("cid", F.lit("P.1").alias("path"), F.lit("changed").alias("value")), gone)
+    r = pack.records(pack.lines(spark, folder))
+    _, props = pack.with_updates(r)
+    none = F.lit(0).cast("long")
+    found = (
+        pack.tags(r).select("cid", F.lit("tag").alias("kind"), none.alias("turn"), F.col("tag_id").cast("string").alias("value"))
+        .unionByName(props.select("cid", F.lit("property").alias("kind"), F.col("key").cast("long").alias("turn"), "value"))
+        .unionByName(pack.calls(r).select("cid", F.lit("call").alias("kind"), "turn", F.col("args").alias("value")))
+        .unionByName(pack.results(r).select("cid", F.lit("result").alias("kind"), "turn", F.col("text").alias("value")))
+    )
+    return found.join(ids, "cid").select("conv_id", "kind", "turn", "value")
+
+
 # -- reports and search ----------------------------------------------------------------
 
 
@@ -404,6 +446,14 @@ def text_search(spark, sf):
     return search.search(search.terms(_read(spark, sf, "documents"), "text", "doc_id"), "The that")
 
 
+@query(f"WITH {TERMS_SQL} SELECT id, sum(n)::BIGINT AS score FROM i WHERE term IN ('the', 'that') GROUP BY id HAVING count(*) = 2")
+def stored_text_search(spark, sf):
+    """The same from an index that is stored and read back."""
+    folder = scratch(spark, "index")
+    search.store(search.terms(_read(spark, sf, "documents"), "text", "doc_id"), folder)
+    return search.search(search.load(spark, folder), "The that")
+
+
 @query("SELECT doc_id, source FROM documents WHERE contains(text, 'License')")
 def substring_search(spark, sf):
     return read.contains(_read(spark, sf, "documents"), "text", "License").select("doc_id", "source")
@@ -445,6 +495,84 @@ def database_changes(spark, sf):
     return db.live("customers")
 
 
+@query(f"""WITH {CUSTOMERS_SQL} SELECT id, c_name, c_mktsegment, CASE WHEN CAST(id AS BIGINT) % 3 = 0 THEN 0.5 ELSE c_acctbal END AS c_acctbal FROM c WHERE CAST(id AS BIGINT) % 7 <> 0""")
+def database_frames(spark, sf):
+    """Patches and removes as DataFrames of any size."""
+    db = _database(spark, CUSTOMERS)
+    c = customers(spark, sf)
+    db.append_frame("customers", c)
+    k = F.col("id").cast("long")
+    db.patch_frame("customers", c.filter(k % 3 == 0).select("id", F.lit(0.5).alias("c_acctbal")))
+    db.remove_frame("customers", c.filter(k % 7 == 0))
+    return db.live("customers")
+
+
+@query(f"""WITH {CUSTOMERS_SQL} SELECT id, c_name, CASE WHEN CAST(id AS BIGINT) BETWEEN 1 AND 40 AND CAST(id AS BIGINT) % 2 = 0 THEN 'BY NAME' ELSE c_mktsegment END AS c_mktsegment,
+CASE WHEN CAST(id AS BIGINT) BETWEEN 1 AND 40 AND CAST(id AS BIGINT) % 2 = 1 THEN 0.25 ELSE c_acctbal END AS c_acctbal FROM c WHERE CAST(id AS BIGINT) NOT BETWEEN 41 AND 60""")
+def database_write_many(spark, sf):
+    """Sixty patches and removes, by id and by a unique lookup, as one batch; then batches until a snapshot is due."""
+    db = _database(spark, CUSTOMERS)
+    db.snapshot_every = 3
+    db.append_frame("customers", customers(spark, sf))
+    names = {r["id"]: r["c_name"] for r in db.live("customers").filter(F.col("id").cast("long") <= 60).collect()}
+    db.write_many(
+        [change.edit("customers", "c_name", names[str(i)], {"c_mktsegment": "BY NAME"}) if i % 2 == 0 else change.edit_id("customers", str(i), {"c_acctbal": 0.25}) for i in range(1, 41)]
+        + [change.remove("customers", "c_name", names[str(i)]) if i % 2 == 0 else change.remove_id("customers", str(i)) for i in range(41, 61)]
+    )
+    row = db.get(selector.id("customers", "1")).asDict()
+    db.write(change.set("customers", row))
+    assert db.manifest()["tables"]["customers"]["snapshot"] is not None
+    return db.live("customers")
+
+
+@query(f"WITH {CUSTOMERS_SQL} SELECT id, c_name, ((row_number() OVER (ORDER BY id) - 1) // 40)::BIGINT AS page FROM c ORDER BY id LIMIT 120")
+def database_pages(spark, sf):
+    """Three pages by key, each from where the last one ended."""
+    db = _database(spark, CUSTOMERS)
+    db.append_frame("customers", customers(spark, sf))
+    rows, after = [], None
+    for n in range(3):
+        page = db.get(selector.all("customers").limit(40).after(after))
+        rows += [(r["id"], r["c_name"], n) for r in page.rows]
+        after = page.next_after
+        if after is None:
+            break
+    return spark.createDataFrame(rows, "id string, c_name string, page long")
+
+
+@query(f"WITH {CUSTOMERS_SQL} SELECT id, 'now' AS what FROM c WHERE c_mktsegment = 'BUILDING' AND CAST(id AS BIGINT) % 2 = 0 UNION ALL SELECT id, 'left' FROM c WHERE c_mktsegment = 'BUILDING' AND CAST(id AS BIGINT) % 2 = 1")
+def database_watch(spark, sf):
+    """What a subscription to one market segment delivers when half of its rows move away and half change."""
+    db = _database(spark, CUSTOMERS)
+    c = customers(spark, sf)
+    db.append_frame("customers", c)
+    out, checkpoint = scratch(spark, "told"), scratch(spark, "check")
+
+    def deliver(rows, left, revision):
+        told = rows.select("id", F.lit("now").alias("what")).unionByName(left.select("id", F.lit("left").alias("what")))
+        told.withColumn("revision", F.lit(revision)).write.mode("append").parquet(out)
+
+    watching = selector.many("customers", "c_mktsegment", "BUILDING")
+    db.watch(watching, deliver, checkpoint, once=True).awaitTermination()
+    first = db.revision
+    odd = F.col("id").cast("long") % 2 == 1
+    db.patch_frame("customers", c.select("id", F.when(odd, F.lit("AWAY")).alias("c_mktsegment"), F.lit(1.0).alias("c_acctbal")))
+    db.watch(watching, deliver, checkpoint, once=True).awaitTermination()
+    return spark.read.parquet(out).filter(F.col("revision") > first).select("id", "what")
+
+
+@query("SELECT conv_id || ':' || turn AS id, (turn + 1)::BIGINT AS _tx FROM conversations WHERE NOT (conv_id = (SELECT max(conv_id) FROM conversations) AND turn = (SELECT max(turn) FROM conversations WHERE conv_id = (SELECT max(conv_id) FROM conversations)))")
+def segment_repair(spark, sf):
+    """Segments whose last line is torn, mended in place."""
+    folder = scratch(spark, "torn")
+    c = notes(spark, sf)
+    end = _read(spark, sf, "conversations").withColumn("id", F.concat_ws(":", "conv_id", "turn")).orderBy(F.desc("conv_id"), F.desc("turn")).limit(1).select("id")
+    segment.export(c.join(end, "id", "left_anti"), NOTES, "h", folder)
+    Files(spark, folder).create(f"{folder}/zzy.6", (segment.preamble(NOTES, "h") + "R\t9\tlast").encode())
+    segment.repair_files(spark, folder, NOTES)
+    return segment.load(spark, folder, NOTES).select("id", "_tx")
+
+
 @query(f"WITH {CUSTOMERS_SQL} SELECT id, c_name, (row_number() OVER (ORDER BY id) + count(*) OVER ())::BIGINT AS _tx FROM c")
 def database_compaction(spark, sf):
     """The log after compaction: rows by id, numbers from where the old log ended."""

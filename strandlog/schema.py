@@ -130,16 +130,25 @@ class Table:
         found += [f"lookup:{x.field}:{'unique' if x.unique else 'many'}" for x in (lookups or self.all_lookups)]
         return "|".join(found)
 
+    def layout(self) -> str:
+        """What stored rows depend on: fields in order, and which lookups are unique."""
+        unique = sorted(x.field for x in self.lookups if x.unique and x.field != "id")
+        return ", ".join([f"{f.name}: {f.kind}" for f in self.fields] + [f"{u} unique" for u in unique])
+
+    def check_values(self, values: dict[str, Any]) -> dict[str, Any]:
+        """Some fields' values, if each is of its field's kind."""
+        for name, value in values.items():
+            kind = self.kind(name)
+            if not fits(kind, value):
+                raise TypeMismatch(f"{self.name}.{name} takes {kind}, not {value!r}")
+        return values
+
     def check(self, record: dict[str, Any]) -> dict[str, Any]:
         """The record, if every declared field is there with its kind and nothing else is."""
         for name in ("id", *self.names):
             if name not in record:
                 raise MissingField(f"{self.name!r} needs field {name!r}")
-        for name, value in record.items():
-            kind = self.kind(name)
-            if not fits(kind, value):
-                raise TypeMismatch(f"{self.name}.{name} takes {kind}, not {value!r}")
-        return record
+        return self.check_values(record)
 
     def check_frame(self, df: DataFrame) -> DataFrame:
         """``df`` with the declared columns, failing on others, on types and at run time on nulls."""

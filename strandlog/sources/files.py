@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from ..errors import InvalidInput
+
 
 class Files:
     def __init__(self, spark: SparkSession, root: str):
@@ -25,6 +27,12 @@ class Files:
             return []
         return sorted(x.getPath().getName() for x in self.fs.listStatus(self._path(path)))
 
+    def times(self, path: str) -> dict[str, int]:
+        """Name and time of the last change, in milliseconds, of what a folder holds."""
+        if not self.exists(path):
+            return {}
+        return {x.getPath().getName(): x.getModificationTime() for x in self.fs.listStatus(self._path(path))}
+
     def size(self, path: str) -> int:
         return self.fs.getContentSummary(self._path(path)).getLength() if self.exists(path) else 0
 
@@ -41,8 +49,8 @@ class Files:
         finally:
             stream.close()
 
-    def create(self, path: str, data: bytes) -> bool:
-        """Write a file that must not exist; False if it does."""
+    def create(self, path: str, data: bytes, sync: bool = True) -> bool:
+        """Write a file that must not exist; False if it does. ``sync`` waits until it is on disk."""
         p = self._path(path)
         if self.fs.exists(p):
             return False
@@ -54,19 +62,24 @@ class Files:
             raise
         try:
             stream.write(bytearray(data))
-            stream.hsync()
+            stream.hsync() if sync else stream.hflush()
         finally:
             stream.close()
         return True
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder all executors reach: below ``spark.checkpoint.dir``, or a local one."""
+    """A fresh folder all executors reach, below ``spark.checkpoint.dir``; without that a local one,
+    which only a local master allows."""
     import tempfile
     import uuid
 
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        shared = current.get() if current.isDefined() else "file://" + tempfile.mkdtemp(prefix="strandlog-")
+        shared = current.get() if current.isDefined() else None
+    if not shared:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise InvalidInput("on a cluster, spark.checkpoint.dir names the folder that all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="strandlog-")
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"

@@ -7,11 +7,13 @@ many files of some megabytes.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import escape, unescape
+from ..functions.text import escape, escape_text, unescape
 
 #: Fixed values of the format: profile and record tags with their number of columns.
 PROFILE = "chatpack"
@@ -95,18 +97,57 @@ def with_updates(r: DataFrame) -> tuple[DataFrame, DataFrame]:
     return convs, props
 
 
-def encode(convs: DataFrame, msgs: DataFrame) -> DataFrame:
-    """(cid, block): each conversation as the text of one block."""
-    said = msgs.groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
-    line = lambda x: F.concat_ws("\t", F.lit("M"), x["turn"].cast("string"), x["role"], escape(x["text"]))
+def encode(convs: DataFrame, msgs: DataFrame, tagged: DataFrame | None = None, props: DataFrame | None = None, called: DataFrame | None = None, told: DataFrame | None = None) -> DataFrame:
+    """(cid, block): each conversation as the text of one block.
+
+    Takes what the readers give: ``tags``, ``properties``, ``calls`` and ``results`` besides messages.
+    """
+    text = lambda *c: F.concat_ws("\t", *c)
+    number = lambda c: F.col(c).cast("string")
+    parts = [msgs.select("cid", F.lit(0).alias("o"), F.col("turn").alias("a"), F.lit(0).cast("long").alias("b"), F.lit("").alias("c"), text(F.lit("M"), number("turn"), F.col("role"), escape(F.col("text"))).alias("line"))]
+    zero, no = F.lit(0).cast("long"), F.lit("")
+    if tagged is not None:
+        parts.append(tagged.select("cid", F.lit(1).alias("o"), F.col("tag_id").alias("a"), zero.alias("b"), no.alias("c"), text(F.lit("G"), number("tag_id")).alias("line")))
+    if props is not None:
+        parts.append(props.select("cid", F.lit(2).alias("o"), zero.alias("a"), zero.alias("b"), F.col("key").alias("c"), text(F.lit("P"), escape(F.col("key")), escape(F.col("value"))).alias("line")))
+    if called is not None:
+        parts.append(called.select("cid", F.lit(3).alias("o"), F.col("turn").alias("a"), F.col("call").alias("b"), no.alias("c"), text(F.lit("T"), number("turn"), number("call"), number("tool_id"), escape(F.col("args"))).alias("line")))
+    if told is not None:
+        parts.append(told.select("cid", F.lit(4).alias("o"), F.col("turn").alias("a"), F.col("call").alias("b"), no.alias("c"), text(F.lit("R"), number("turn"), number("call"), escape(F.col("text"))).alias("line")))
+    rows = reduce(DataFrame.unionByName, parts)
+    said = rows.groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("o", "a", "b", "c", "line"))).alias("m"))
     head = F.concat_ws("\t", F.lit("C"), *[F.col(c).cast("string") for c in ("cid", "source_id", "domain_id", "flags")])
     none = F.array().cast("array<string>")
-    return convs.join(said, "cid", "left").select("cid", F.array_join(F.concat(F.array(head), F.coalesce(F.transform("m", line), none)), "\n").alias("block"))
+    return convs.join(said, "cid", "left").select("cid", F.array_join(F.concat(F.array(head), F.coalesce(F.transform("m", lambda x: x["line"]), none)), "\n").alias("block"))
+
+
+def encode_updates(updates: DataFrame | None = None, gone: DataFrame | None = None) -> DataFrame:
+    """(cid, line): field updates (cid, path, value) and tombstones (cid) as records."""
+    out = []
+    if updates is not None:
+        out.append(updates.select("cid", F.concat_ws("\t", F.lit("U"), F.col("cid").cast("string"), escape(F.col("path")), escape(F.col("value"))).alias("line")))
+    if gone is not None:
+        out.append(gone.select("cid", F.concat_ws("\t", F.lit("D"), F.col("cid").cast("string")).alias("line")))
+    return reduce(DataFrame.unionByName, out)
 
 
-def write(convs: DataFrame, msgs: DataFrame, path: str) -> None:
-    """Packs below ``path``, one file per task, each with its magic line."""
-    blocks = encode(convs, msgs)
-    head = f"SIX\t1\t{PROFILE}\tstrandlog\n"
+def preamble(entries: dict[str, dict[str, str]] | None = None) -> str:
+    """The magic line and the entries of dictionaries: {"role": {"u": "user"}}."""
+    rows = [f"SIX\t1\t{PROFILE}\tstrandlog"]
+    rows += ["\t".join([f"@{name}", escape_text(code), escape_text(value)]) for name, codes in (entries or {}).items() for code, value in codes.items()]
+    return "\n".join(rows) + "\n"
+
+
+def write(convs: DataFrame, msgs: DataFrame, path: str, entries: dict[str, dict[str, str]] | None = None, **more: DataFrame) -> None:
+    """Packs below ``path``, one file per task, each with its magic line and dictionaries;
+    ``more`` are the further records that ``encode`` takes."""
+    blocks = encode(convs, msgs, **more)
     first = F.row_number().over(Window.partitionBy(F.spark_partition_id()).orderBy("cid")) == 1
-    blocks.select(F.when(first, F.concat(F.lit(head), F.col("block"))).otherwise(F.col("block")).alias("value")).write.text(path)
+    blocks.select(F.when(first, F.concat(F.lit(preamble(entries)), F.col("block"))).otherwise(F.col("block")).alias("value")).write.text(path)
+
+
+def write_updates(path: str, updates: DataFrame | None = None, gone: DataFrame | None = None) -> None:
+    """Update records as further files of a pack."""
+    lines_ = encode_updates(updates, gone)
+    first = F.row_number().over(Window.partitionBy(F.spark_partition_id()).orderBy("cid", "line")) == 1
+    lines_.select(F.when(first, F.concat(F.lit(preamble()), F.col("line"))).otherwise(F.col("line")).alias("value")).write.mode("append").text(path)

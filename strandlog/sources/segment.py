@@ -7,6 +7,8 @@ Chunks are named in base 36 counting down, so descending names are oldest first.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ from .files import Files
 MAGIC, VERSION, PROFILE, SUFFIX = "SIX", 1, "table", ".6"
 #: A chunk takes no further batch beyond this size.
 CHUNK_BYTES = 1 << 20
+#: A batch of more than so many caps is written as parts of its own, in order.
+WHOLE = 64
 
 
 def header(table: Table) -> str:
@@ -111,36 +115,54 @@ def plan_chunks(sizes: list[int], cap: int = CHUNK_BYTES, first: int = 0, room:
 
 def chunked(log: DataFrame, table: Table, cap: int = CHUNK_BYTES) -> DataFrame:
     """(_chunk_no, _batch, _pos, line): where export puts each operation."""
+    return _chunked(log, table, cap)[0]
+
+
+def _chunked(log: DataFrame, table: Table, cap: int) -> tuple[DataFrame, int]:
+    """As ``chunked``, and the number of chunks.
+
+    A batch beyond ``WHOLE`` caps (a bulk load, a compacted table) falls into parts of equal
+    ranges of its positions, each planned as a batch; chunks in order are the log in order.
+    """
     lines = encode(log, table).select("_batch", "_pos", "line")
-    sizes = lines.groupBy("_batch").agg(F.sum(F.octet_length("line") + 1).alias("n")).orderBy("_batch").collect()  # one row per batch
-    chunks = plan_chunks([r["n"] for r in sizes], cap)
+    size = F.sum(F.octet_length("line") + 1).alias("n")
+    # one row per batch
+    sizes = lines.groupBy("_batch").agg(size, F.min("_pos").alias("lo"), F.max("_pos").alias("hi")).orderBy("_batch").collect()
+    planned, parts = [], []
+    for r in sizes:
+        k = -(-r["n"] // (cap * WHOLE)) if r["n"] > cap * WHOLE else 1
+        parts.append((r["_batch"], r["lo"], (r["hi"] - r["lo"] + 1) / k, len(planned)))
+        planned += [r["n"] // k] * k
+    chunks = plan_chunks(planned, cap)
     spark = log.sparkSession
-    where = spark.createDataFrame([(r["_batch"], c) for r, c in zip(sizes, chunks)], "_batch long, _chunk_no int")
-    return lines.join(where, "_batch")
+    where = spark.createDataFrame([(b, lo, width, at) for b, lo, width, at in parts], "_batch long, _lo long, _width double, _at long")
+    of = spark.createDataFrame(list(enumerate(chunks)), "_part long, _chunk_no int")
+    placed = lines.join(where, "_batch").withColumn("_part", F.col("_at") + F.floor((F.col("_pos") - F.col("_lo")) / F.col("_width")).cast("long"))
+    return placed.join(of, "_part").select("_chunk_no", "_batch", "_pos", "line"), max(chunks, default=-1) + 1
 
 
 def export(log: DataFrame, table: Table, schema_hash: str, folder: str, cap: int = CHUNK_BYTES) -> int:
     """Write a log as segments below ``folder``; the number of chunks.
 
-    Every chunk is one task's rows, sorted by batch and position; a chunk is about the
-    cap, so a task's rows are bounded by it and the largest batch.
+    Every chunk is a task's rows in order, written line by line, so no chunk is held in memory.
     """
     spark = log.sparkSession
-    placed = chunked(log, table, cap)
-    chunks = [r[0] for r in placed.select("_chunk_no").distinct().collect()]
-    text = placed.groupBy("_chunk_no").agg(F.array_sort(F.collect_list(F.struct("_batch", "_pos", "line"))).alias("l"))
-    body = F.concat(F.lit(preamble(table, schema_hash)), F.array_join(F.transform("l", lambda x: x["line"]), "\n"))
+    placed, n = _chunked(log, table, cap)
     files = Files(spark, folder)
-    work = files.at("_writing")
-    text.select(body.alias("value"), F.concat(F.lit("c"), F.col("_chunk_no").cast("string")).alias("_name")).write.mode("overwrite").partitionBy("_name").text(work)
-    for c in chunks:
-        part = next(n for n in files.names(f"{work}/_name=c{c}") if n.startswith("part-"))
+    work = files.at(f"_writing-{uuid.uuid4().hex[:12]}")
+    heads = spark.createDataFrame([(c, -1, -1, preamble(table, schema_hash)[:-1]) for c in range(n)], "_chunk_no int, _batch long, _pos long, line string")
+    name = F.concat(F.lit("c"), F.col("_chunk_no").cast("string")).alias("_name")
+    # the writer keeps the order inside a file as long as it starts with the file's name
+    rows = placed.unionByName(heads).withColumn("_name", name).repartition(max(1, n), "_name").sortWithinPartitions("_name", "_batch", "_pos")
+    rows.select(F.col("line").alias("value"), "_name").write.partitionBy("_name").text(work)
+    for c in range(n):
+        part = next(x for x in files.names(f"{work}/_name=c{c}") if x.startswith("part-"))
         target = files.at(chunk_name_text(c) + SUFFIX)
         if files.exists(target):
             raise FormatError(f"{target} exists")
         files.rename(f"{work}/_name=c{c}/{part}", target)
     files.delete(work)
-    return len(chunks)
+    return n
 
 
 def load(spark: SparkSession, folder: str, table: Table, check: bool = True) -> DataFrame:
@@ -151,9 +173,58 @@ def load(spark: SparkSession, folder: str, table: Table, check: bool = True) ->
     return decode(lines, table)
 
 
+def broken_end(line: Column, table: Table) -> Column:
+    """Whether a last line without its line break is no whole operation.
+
+    What parses is kept: a line break alone may be what is missing.
+    """
+    head = F.split(line, "\t", 3)
+    put = F.split(F.try_element_at(head, F.lit(3)), "\t", -1)
+    whole = F.lit(True)
+    for i, f in enumerate(table.fields):
+        cell = F.try_element_at(put, F.lit(i + 1))
+        pattern = {"int": r"^[+-]?[0-9]+\z", "float": r"^[+-]?([0-9]+\.?[0-9]*([eE][+-]?[0-9]+)?|\.[0-9]+([eE][+-]?[0-9]+)?|(?i:inf|infinity|nan))\z", "bool": r"^(true|false)\z"}.get(f.kind)
+        sound = ~F.regexp_replace(cell, r"\\[\\tnr]", "").contains("\\")
+        whole &= (cell.rlike(pattern) if pattern else sound)
+    tx = F.try_element_at(head, F.lit(2)).rlike(r"^[0-9]+\z")
+    told = F.when(line.startswith("R\t"), tx & (F.size(put) == len(table.fields)) & F.coalesce(whole, F.lit(False)))
+    gone = F.when(line.startswith("D\t"), tx & (F.length(F.try_element_at(head, F.lit(3))) > 0))
+    return ~F.coalesce(told, gone, F.lit(False))
+
+
 def repair(lines: DataFrame, table: Table) -> DataFrame:
-    """``lines`` without broken last lines: those that lack their line break."""
+    """``lines`` without broken last lines: those without a line break that are no whole operation."""
     from pyspark.sql.window import Window
 
     last = F.row_number().over(Window.partitionBy("_chunk").orderBy(F.col("_pos").desc())) == 1
-    return lines.withColumn("_last", last).filter(~(F.col("_last") & (F.col("line") != ""))).drop("_last")
+    dropped = F.col("_last") & (F.col("line") != "") & broken_end(F.col("line"), table)
+    return lines.withColumn("_last", last).filter(~dropped).drop("_last")
+
+
+def repair_files(spark: SparkSession, folder: str, table: Table) -> dict[str, int]:
+    """Rewrite the segments of a folder whose last line is broken or lacks its line break.
+
+    Every line that stays must decode, or nothing is changed. Returns the number of files
+    rewritten, the operations left and the next transaction id. A mended file is written whole
+    beside the old one before it takes its place.
+    """
+    found = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter=f"*{SUFFIX}")
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1)
+    open_ = found.filter((F.length("value") > 0) & ~F.col("value").endswith("\n")).select(name.alias("_file"), "value")
+    lines = repair(read_lines(spark, folder), table)
+    check_header(lines, table)
+    left, top = decode(lines, table).agg(F.count(F.lit(1)), F.max("_tx")).first()
+    end = F.substring_index("value", "\n", -1)  # the writer ends the last line that stays
+    mended = open_.withColumn("_end", end).withColumn(
+        "value", F.when(broken_end(F.col("_end"), table), F.expr("substring(value, 1, length(value) - length(_end) - 1)")).otherwise(F.col("value"))
+    )
+    files = Files(spark, folder)
+    work = files.at(f"_mending-{uuid.uuid4().hex[:12]}")
+    mended.select(F.col("_file").alias("_name"), "value").repartition("_name").write.partitionBy("_name").text(work)
+    names = [x.split("=", 1)[1] for x in files.names(work) if "=" in x]
+    for n in names:
+        part = next(x for x in files.names(f"{work}/_name={n}") if x.startswith("part-"))
+        files.rename(files.at(n), f"{work}/{n}.old")
+        files.rename(f"{work}/_name={n}/{part}", files.at(n))
+    files.delete(work)
+    return {"files": len(names), "operations": left, "next_tx": (top or 0) + 1}

@@ -110,6 +110,32 @@ def test_header_check_and_repair(spark):
         segment.check_header(df, MESSAGES)
     ok = spark.createDataFrame([("zzz", 0, "D\t1\ta"), ("zzz", 1, "D\t"), ("zzy", 0, "D\t2\tb"), ("zzy", 1, "")], "_chunk string, _pos int, line string")
     assert segment.decode(segment.repair(ok, MESSAGES), MESSAGES).count() == 2
+    ends = {"R\t1\ta\tb\t1": True, "R\t1\ta\tb\t": False, "R\t1\ta\tb": False, "R\t1\ta\tb\\\t1": False, "R\t1\ta\t\\t\t1": True, "D\t1\ta": True, "D\t1\t": False, "D\t": False, "R": False}
+    rows = spark.createDataFrame([(f"c{i}", 0, x) for i, x in enumerate(ends)], "_chunk string, _pos int, line string")
+    assert {r["line"] for r in segment.repair(rows, MESSAGES).collect()} == {x for x, whole in ends.items() if whole}
+
+
+def test_repair_rewrites_files(spark, tmp_path):
+    log = _log(spark, [(0, 0, 1, "R", "a", "x", 1), (0, 1, 2, "R", "b", "y", 2)], MESSAGES)
+    folder = "file://" + str(tmp_path / "s")
+    segment.export(log, MESSAGES, "h", folder)
+    whole = (tmp_path / "s" / "zzz.6").read_text()
+    head = segment.preamble(MESSAGES, "h")
+    for name, text in (("zzy.6", head + "R\t7\tc\tz\t3"), ("zzx.6", head + "R\t9\td\thalf"), ("zzw.6", head)):
+        (tmp_path / "s" / name).write_text(text)
+    assert segment.repair_files(spark, folder, MESSAGES) == {"files": 2, "operations": 3, "next_tx": 8}
+    assert (tmp_path / "s" / "zzz.6").read_text() == whole and (tmp_path / "s" / "zzy.6").read_text().endswith("\tz\t3\n") and (tmp_path / "s" / "zzx.6").read_text() == head
+    assert sorted(r["id"] for r in segment.load(spark, folder, MESSAGES).collect()) == ["a", "b", "c"]
+    assert segment.repair_files(spark, folder, MESSAGES)["files"] == 0
+
+
+def test_a_large_batch_is_split_in_order(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(segment, "WHOLE", 2)
+    log = _log(spark, [(0, p, p + 1, "R", f"k{p:03d}", "x" * 20, p) for p in range(200)] + [(1, 0, 300, "R", "k000", "last", 7)], MESSAGES)
+    assert segment.export(log, MESSAGES, "h", "file://" + str(tmp_path / "s"), cap=1000) > 3
+    back = segment.load(spark, str(tmp_path / "s"), MESSAGES).orderBy("_batch", "_pos").collect()
+    assert [r["_tx"] for r in back] == [*range(1, 201), 300]
+
 
 
 def test_json_log(spark):
@@ -147,6 +173,26 @@ def test_pack_turn_twice(spark):
         pack.messages(_records(spark, "C\t1\t1\t2\t0", "M\t0\tu\ta", "M\t0\ta\tb")).collect()
 
 
+def test_pack_writes_all_records(spark, tmp_path):
+    convs = spark.createDataFrame([(i, 0, 0, i) for i in range(3)], "cid long, source_id long, domain_id long, flags long")
+    msgs = spark.createDataFrame([(i, 0, "u", "x") for i in range(3)], "cid long, turn long, role string, text string")
+    tags = spark.createDataFrame([(0, 4), (0, 5)], "cid long, tag_id long")
+    props = spark.createDataFrame([(0, "license", "a\tb"), (2, "k", "v")], "cid long, key string, value string")
+    calls = spark.createDataFrame([(1, 1, 0, 7, "x=1\n")], "cid long, turn long, call long, tool_id long, args string")
+    results = spark.createDataFrame([(1, 2, 0, "228")], "cid long, turn long, call long, text string")
+    path = str(tmp_path / "p")
+    pack.write(convs, msgs, path, {"role": {"u": "us\ter"}, "tag": {"4": "four"}}, tagged=tags, props=props, called=calls, told=results)
+    updates = spark.createDataFrame([(0, "P.license", "open"), (1, "flags", "9")], "cid long, path string, value string")
+    pack.write_updates(path, updates, spark.createDataFrame([(2,)], "cid long"))
+    found = pack.lines(spark, path)
+    r = pack.records(found)
+    same = lambda a, b: sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    assert same(pack.tags(r), tags) and same(pack.calls(r), calls) and same(pack.results(r), results) and same(pack.properties(r), props)
+    assert {tuple(x) for x in pack.dictionaries(found).collect()} == {("role", "u", "us\ter"), ("tag", "4", "four")}
+    convs2, props2 = pack.with_updates(r)
+    assert sorted((x["cid"], x["flags"]) for x in convs2.collect()) == [(0, 0), (1, 9)] and [tuple(x) for x in props2.collect()] == [(0, "license", "open")]
+
+
 def test_pack_files(spark, tmp_path):
     convs = spark.createDataFrame([(i, 0, 0, i) for i in range(20)], "cid long, source_id long, domain_id long, flags long")
     msgs = spark.createDataFrame([(i, t, "u", f"x\n{t}") for i in range(20) for t in range(3)], "cid long, turn long, role string, text string")
