@@ -15,7 +15,8 @@ length that a third of all pieces have is not one task's work, and the plan turn
 rank) into sequence and offset by arithmetic.
 
 Defined results: null and empty texts are one piece of the end id alone; repeated ids and
-texts are packed each for itself; an empty table gives no rows; extra columns are ignored.
+texts are packed each for itself; strings of added tokens in a text are those tokens, as the
+tokenizers library has it; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ CAPACITY = 1024
 END_ID = 2
 #: Shares a length's pieces are ranked in, at least.
 SALTS = 64
+#: Rows that are worked on at once.
+SLICE = 256
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -48,31 +51,32 @@ def byte_alphabet() -> dict[str, int]:
 
 
 def ranks_of(path: str) -> tuple[dict[bytes, int], dict[str, int]]:
-    """(ranks by bytes, special ids) of a byte-level vocabulary file in JSON.
+    """(ranks by bytes, ids of added tokens) of a byte-level vocabulary file in JSON.
 
     Its ids follow the order of its merges, so an id is a rank as well.
     """
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    special = {x["content"]: x["id"] for x in spec.get("added_tokens", []) if x.get("special")}
+    added = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
     back = byte_alphabet()
-    return {bytes(back[c] for c in k): v for k, v in spec["model"]["vocab"].items() if k not in special}, special
+    return {bytes(back[c] for c in k): v for k, v in spec["model"]["vocab"].items() if k not in added}, added
 
 
 class Tokens:
     """Ids of a text by the vocabulary, as unsigned 32-bit integers.
 
     The merge loop is tiktoken's over the same vocabulary, several times faster than the tokenizers
-    library and equal to it id by id (tests compare them); a text on which its pattern
-    engine gives up goes through the tokenizers library.
+    library and equal to it id by id (tests compare them). A text that holds the string of an added
+    token, or on which the pattern engine gives up, goes through the tokenizers library.
     """
 
     def __init__(self, path: str):
         self.path = path
         self._fast = self._slow = None
+        self._added: list[str] = []
 
     def __getstate__(self):
-        return {"path": self.path, "_fast": None, "_slow": None}
+        return {"path": self.path, "_fast": None, "_slow": None, "_added": []}
 
     def ids(self, text: str) -> np.ndarray:
         if self._fast is None:
@@ -80,18 +84,19 @@ class Tokens:
 
             from .bpe import PATTERN
 
-            ranks, _ = ranks_of(self.path)
+            ranks, added = ranks_of(self.path)
+            self._added = list(added)
             self._fast = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        try:
-            return self._fast.encode_to_numpy(text, disallowed_special=())
-        except BaseException as e:  # the engine's panic is no Exception
-            if not isinstance(e, ValueError) and type(e).__name__ != "PanicException":
-                raise
+        if not any(a in text for a in self._added):
+            try:
+                return self._fast.encode_to_numpy(text, disallowed_special=())
+            except BaseException as e:  # the engine's panic is no Exception
+                if not isinstance(e, ValueError) and type(e).__name__ != "PanicException":
+                    raise
         if self._slow is None:
             from tokenizers import Tokenizer
 
             self._slow = Tokenizer.from_file(self.path)
-            self._slow.encode_special_tokens = True
         return np.array(self._slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
@@ -118,9 +123,10 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = _tokens.setdefault(path, Tokens(path))
         end = np.array([end_id], "<u4")
-        for batch in batches:
+        for batch in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
             row, piece, start, length, crc, ids = [], [], [], [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
+            for i, text in enumerate(batch.column(1)):
+                text = text.as_py()
                 x = np.concatenate([tok.ids(text or "").astype("<u4"), end])
                 at, cut = 0, (len(x) - 1) % capacity + 1
                 k = 0

@@ -17,18 +17,20 @@ _WHITE[[9, 10, 11, 12, 13, 32]] = True
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INVERSE = pow(_P, -1, 1 << 64)
 #: Bytes of text that are hashed at once.
-STEP = 4 << 20
-_powers: dict[str, np.ndarray] = {}
+STEP = 1 << 18
+_powers: dict[int, np.ndarray] = {}
 
 
 def _power(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    key = str(base)
-    if key not in _powers or len(_powers[key]) < n:
-        out = np.full(max(n, STEP + 1), base, np.uint64)
+    """base**0 .. base**(n-1) modulo 2**64; a worker keeps no more of them than ``STEP`` needs."""
+    have = _powers.get(base)
+    if have is None or len(have) < n:
+        out = np.full(n if n > 2 * STEP else 1 << (n - 1).bit_length(), base, np.uint64)
         out[0] = 1
-        _powers[key] = np.multiply.accumulate(out)
-    return _powers[key][:n]
+        have = np.multiply.accumulate(out)
+        if n <= 2 * STEP:
+            _powers[base] = have
+    return have[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
