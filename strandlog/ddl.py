@@ -86,7 +86,7 @@ def parse(text: str) -> list[TableText]:
     out = []
     while r.peek() != "}":
         if r.peek() is None:
-            raise SchemaError("unexpected end of input while parsing schema")
+            raise SchemaError("the schema text breaks off")
         t = TableText(r.word(), [], [])
         r.take("{")
         while r.peek() not in ("}", None):
@@ -116,27 +116,27 @@ def check(tables: list[TableText]) -> None:
     seen: set[str] = set()
     for t in tables:
         if not snake(t.name):
-            raise SchemaError(f"invalid table name: {t.name}")
+            raise SchemaError(f"{t.name!r} cannot name a table")
         if t.name in seen:
-            raise SchemaError(f"duplicate table name: {t.name}")
+            raise SchemaError(f"a second table is called {t.name!r}")
         seen.add(t.name)
         names: set[str] = set()
         for n, _ in t.fields:
             if n.startswith("_"):
-                raise SchemaError(f"field name cannot start with '_': {n}")
+                raise SchemaError(f"{n!r} of {t.name!r}: names that begin with an underscore are reserved")
             if not snake(n):
-                raise SchemaError(f"invalid field name: {n}")
+                raise SchemaError(f"{n!r} cannot name a field of {t.name!r}")
             if n in names:
-                raise SchemaError(f"duplicate field in table {t.name}: {n}")
+                raise SchemaError(f"{t.name!r} declares {n!r} twice")
             names.add(n)
         if "id" not in names:
-            raise SchemaError(f"table {t.name!r} is missing required field 'id'")
+            raise SchemaError(f"every table has an id, {t.name!r} has none")
         keys: set[str] = set()
         for k, _ in t.lookups:
             if k not in names:
-                raise SchemaError(f"lookup {k!r} refers to a missing field in table {t.name!r}")
+                raise SchemaError(f"{t.name!r} has no field {k!r} to look up")
             if k in keys:
-                raise SchemaError(f"duplicate lookup on {k!r} in table {t.name!r}")
+                raise SchemaError(f"{t.name!r} declares its lookup on {k!r} twice")
             keys.add(k)
 
 

@@ -32,17 +32,17 @@ def test_compiles_all_kinds():
     "text,line,why",
     [
         ("schema! { users { id uuid } }", 1, "unknown type"),
-        ("schema! { users { id id; id int } }", 0, "duplicate field"),
-        ("schema! { users { id id }\n users { id id } }", 0, "duplicate table"),
-        ("schema! { users { name text } }", 0, "missing required field"),
-        ("schema! { users { id id; lookup email } }", 0, "missing field"),
-        ("schema! { users { id id; lookup id; lookup id } }", 0, "duplicate lookup"),
-        ("schema! { users { id id; _tx int } }", 0, "cannot start"),
-        ("schema! { Users { id id } }", 0, "invalid table name"),
-        ("schema! { users { id id; a__b int } }", 0, "invalid field name"),
+        ("schema! { users { id id; id int } }", 0, "declares .id. twice"),
+        ("schema! { users { id id }\n users { id id } }", 0, "second table"),
+        ("schema! { users { name text } }", 0, "has none"),
+        ("schema! { users { id id; lookup email } }", 0, "to look up"),
+        ("schema! { users { id id; lookup id; lookup id } }", 0, "its lookup on"),
+        ("schema! { users { id id; _tx int } }", 0, "reserved"),
+        ("schema! { Users { id id } }", 0, "cannot name a table"),
+        ("schema! { users { id id; a__b int } }", 0, "cannot name a field"),
         ("schema! {\n users { id: id } }", 2, "unexpected character"),
-        ("users { id id }", 0, "end of input"),
-        ("schema! { users { id id }", 0, "end of input"),
+        ("users { id id }", 0, "breaks off"),
+        ("schema! { users { id id }", 0, "breaks off"),
         ("schema! { / }", 1, "unexpected character"),
         ("schema! { users id }", 1, "expected"),
     ],
