@@ -10,7 +10,9 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def ship(spark: SparkSession) -> None:
@@ -37,6 +39,8 @@ def shared_dir(spark: SparkSession) -> str:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = current.get() if current.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("on a cluster, spark.checkpoint.dir names the folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="strandlog-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -83,6 +87,62 @@ def land(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def unland(*frames: DataFrame) -> None:
+    """Delete the files of landed frames that nothing reads any more."""
+    for df in frames:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if any(path.startswith(own) or path.startswith(own.replace("file://", "file:")) for own in _own_folders):
+                drop_path(df.sparkSession, path)
+
+
+def fresh(name: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def row_key(id_: Column, *more: Column) -> Column:
+    """One text that tells rows apart by their id, which may be null, and more columns."""
+    told = F.when(id_.isNull(), F.lit("n")).otherwise(F.concat(F.lit("i"), id_.cast("string")))
+    return F.concat_ws(":", *(c.cast("string") for c in more), told)
+
+
+def once(rows: DataFrame, key: str) -> DataFrame:
+    """One row for each ``key``; repeated ones go before the shuffle, task by task."""
+    n = fresh("_nth", rows)
+    return rows.withColumn(n, F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(*rows.columns)))).filter(F.col(n) == 1).drop(n)
+
+
+#: A key with more than this share of a table's rows is dealt over ``SALTS`` tasks.
+HEAVY_SHARE, SALTS = 1 / 1000, 64
+
+
+def heavy_keys(counts: DataFrame, count: str = "_rows", least: int = 1000) -> DataFrame | None:
+    """The keys of ``counts`` (key columns and their number of rows) with over ``HEAVY_SHARE`` of all rows; None without any.
+
+    There are fewer than 1 / ``HEAVY_SHARE`` of them in any table, so they can be broadcast.
+    """
+    total, most = counts.agg(F.sum(count), F.max(count)).first()
+    bound = max(least, int((total or 0) * HEAVY_SHARE))
+    return counts.filter(F.col(count) > bound).drop(count) if (most or 0) > bound else None
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], heavy: DataFrame | None, how: str = "inner", by: list[str] | None = None) -> DataFrame:
+    """``left`` joined with ``right``, which holds few rows per key, on ``on``; rows of heavy keys are dealt over ``SALTS``
+    tasks by a hash of their columns ``by`` (all), and meet a copy of the right rows in each."""
+    if heavy is None:
+        return left.join(right, on, how)
+    flag, salt = fresh("_heavy", left, right), fresh("_salt", left, right)
+    marked = F.broadcast(heavy.select(*on).distinct().withColumn(flag, F.lit(True)))  # fewer than 1 / HEAVY_SHARE rows
+    share = F.pmod(F.xxhash64(*(by or left.columns)), F.lit(SALTS)).cast("int")
+    one = left.join(marked, on, "left").withColumn(salt, F.when(F.col(flag), share).otherwise(0)).drop(flag)
+    copies = F.when(F.col(flag), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    other = right.join(marked, on, "left").withColumn(salt, F.explode(copies)).drop(flag)
+    return one.join(other, [*on, salt], how).drop(salt)
+
+
 def broadcast_bytes(spark: SparkSession, value):
     """Broadcast a value whose size the caller has bounded."""
     ship(spark)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import land
+from ._common import land, unland
 
 
 def _signature(e: DataFrame):
@@ -35,7 +35,8 @@ def components(links: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     e = land(links.filter(s != d).select(F.greatest(s, d).alias("a"), F.least(s, d).alias("b")).distinct(), "links")
     before = _signature(e)
     while before[0]:
-        e = land(_small(_large(e)), "stars")
+        last, e = e, land(_small(_large(e)), "stars")
+        unland(last)
         now = _signature(e)
         if now == before:
             break

@@ -93,3 +93,74 @@ def exact(docs: list[tuple[int, str | None]]) -> dict[int, tuple[int, int]]:
     for i, t in docs:
         groups[re.sub(r"[\x20\x09-\x0D]+", " ", t or "")].append(i)
     return {i: (min(g), len(g)) for g in groups.values() for i in g}
+
+
+def passages(texts: list[str | None], k: int) -> list[int]:
+    """Maximal runs of at least k words that another text holds too, per text."""
+    held = [words(t) for t in texts]
+    where: dict[tuple, set[int]] = {}
+    for i, w in enumerate(held):
+        for a in range(len(w) - k + 1):
+            where.setdefault(tuple(w[a : a + k]), set()).add(i)
+    out = []
+    for i, w in enumerate(held):
+        n, end = 0, -1
+        for a in range(len(w) - k + 1):
+            if len(where[tuple(w[a : a + k])]) > 1:
+                n += a > end
+                end = a + k
+        out.append(n)
+    return out
+
+
+def posteriors(rows: list[tuple[str, str, float]]) -> dict[tuple[str, str], tuple[float, float]]:
+    """{(host, path): (host posterior, path posterior)} of evidence, shrunk by the method of moments."""
+    import numpy as np
+
+    def strength(groups: list[tuple[np.ndarray, float]]) -> float:
+        n = sum(len(x) for x, _ in groups)
+        if not n or len(groups) < 2:
+            return 1e6
+        within = sum(len(x) * x.var() for x, _ in groups) / n
+        spread = sum(len(x) * (x.mean() - prior) ** 2 for x, prior in groups)
+        effective = n - sum(len(x) ** 2 for x, _ in groups) / n
+        between = max(0.0, (spread - (len(groups) - 1) * within) / effective) if effective > 0 else 0.0
+        return min(1e6, within / between) if between > 0 else 1e6
+
+    hosts, paths = {}, {}
+    for h, p, e in rows:
+        hosts.setdefault(h, []).append(e)
+        paths.setdefault((h, p), []).append(e)
+    hosts, paths = ({k: np.array(v) for k, v in x.items()} for x in (hosts, paths))
+    overall = float(np.mean([e for _, _, e in rows]))
+    s = strength([(x, overall) for x in hosts.values()])
+    host = {h: (x.sum() + s * overall) / (len(x) + s) for h, x in hosts.items()}
+    s = strength([(x, host[k[0]]) for k, x in paths.items()])
+    return {k: (host[k[0]], (x.sum() + s * host[k[0]]) / (len(x) + s)) for k, x in paths.items()}
+
+
+def packed(rows: list, ids: dict[int, list[int]], capacity: int = 1024) -> int:
+    """Check pieces against their documents' ids; the number of sequences."""
+    import zlib
+    from collections import defaultdict
+
+    import numpy as np
+
+    by_doc, by_seq = defaultdict(list), defaultdict(list)
+    for r in rows:
+        by_doc[r["doc_id"]].append(r)
+        by_seq[r["sequence_id"]].append(r)
+        own = np.array(ids[r["doc_id"]][r["start"] : r["start"] + r["length"]], "<u4").tobytes()
+        assert r["ids_crc32"] == zlib.crc32(own)
+    assert set(by_doc) == set(ids)
+    for i, x in ids.items():
+        p = sorted(by_doc[i], key=lambda r: r["piece"])
+        assert [r["piece"] for r in p] == list(range(-(-len(x) // capacity))) and p[0]["start"] == 0
+        assert all(b["start"] == a["start"] + a["length"] for a, b in zip(p, p[1:])) and all(r["length"] == capacity for r in p[1:]) and sum(r["length"] for r in p) == len(x)
+    for p in by_seq.values():
+        at = 0
+        for r in sorted(p, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= capacity
+    return len(by_seq)

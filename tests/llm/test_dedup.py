@@ -32,7 +32,7 @@ def corpus():
                 w[rng.randrange(60)] = f"x{rng.randrange(9999)}"
             docs.append(" ".join(w))
     docs += [docs[0], docs[0].upper(), docs[0].replace(" ", "\t\n "), "", None, "one two", "one two", "one\ttwo", "ONE two", " ", "é ß é ß é", "a b c d e f"]
-    docs += ["lone " * 3000, "lone " * 3000]
+    docs += ["lone " * 3000, "lone " * 3000, "very long " * 60_000, "very  long\t" * 60_000]
     return list(enumerate(docs, 10))
 
 
@@ -62,15 +62,45 @@ def test_exact_state_goes_on(spark, tmp_path):
         assert state == ([(5, 1), (6, 1)] if n == 0 else [(3, 3), (6, 1)])
 
 
-def test_exact_digest_clash_is_split(spark):
-    docs = frame(spark, [(1, "a"), (2, "a"), (3, "b")])
-    rows = exact_dedup.dedup(docs)
-    out = rows.select(F.col("doc_id").alias("_id"), F.col("keep_id").alias("_keep_id"), F.col("group_size").alias("_size"), F.col("text_sha256").alias("_digest"), F.col("locator").alias("_at"))
-    differing = out.filter("_id = 1").select("_digest")
-    mended = exact_dedup.split_clashes(docs, out, differing, "doc_id", "text").collect()
-    assert sorted((r["_id"], r["_keep_id"], r["_size"]) for r in mended) == [(1, 1, 2), (2, 1, 2), (3, 3, 1)]
-    state = spark.createDataFrame([(out.filter("_id = 1").first()["_digest"], 3, 3)], "_digest string, _keep long, _rows long")
-    assert exact_dedup.differing_hits(docs, state.withColumn("_keep", F.lit(1)), "doc_id", "text").count() == 0
+def test_exact_digest_clash_is_split(spark, tmp_path):
+    exact_dedup.keyed(frame(spark, [(1, "a"), (2, "a"), (3, "b"), (4, "c"), (5, "c")], 1)).withColumn("_digest", F.when(F.col("_id") < 4, "clash").otherwise("c")).write.parquet(str(tmp_path / "in"))
+    landed = spark.read.parquet(str(tmp_path / "in"))
+    s = exact_dedup.StreamDedup(spark)
+    s.feed(str(tmp_path / "in"), landed.schema)
+    state, none = s.state(), spark.createDataFrame([], "_digest string")
+    differing = exact_dedup.differing_hits(landed, state, none)
+    assert [r[0] for r in differing.collect()] == ["clash"]
+    assert [r[0] for r in exact_dedup.differing_hits(landed, state, state.select("_digest")).collect()] == ["clash"]
+    out = landed.join(state, "_digest").select("_id", F.col("_keep").alias("_keep_id"), F.col("_rows").alias("_size"), "_digest", F.lit("").alias("_at"))
+    mended = exact_dedup.split_clashes(landed, out, differing).collect()
+    assert sorted((r["_id"], r["_keep_id"], r["_size"]) for r in mended) == [(1, 1, 2), (2, 1, 2), (3, 3, 1), (4, 4, 2), (5, 4, 2)]
+
+
+def test_exact_locator_leads_to_the_content(spark, tmp_path):
+    landed = exact_dedup.keyed(frame(spark, [(7, "a  b"), (3, "a b"), (5, "c")]))
+    landed.write.parquet(str(tmp_path / "in"))
+    s = exact_dedup.StreamDedup(spark)
+    s.feed(str(tmp_path / "in"), landed.schema)
+    rows = spark.read.parquet(str(tmp_path / "in")).select("_norm", "_id", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row")).collect()
+    at = {(r["file"], r["row"]): (r["_id"], r["_norm"]) for r in rows}
+    assert sorted(at[tuple(r["_locator"])] for r in s.state().collect()) == [(3, "a b"), (5, "c")]
+
+
+def test_exact_leaves_the_session_alone(spark):
+    before = dict(spark.conf.getAll)
+    exact_dedup.dedup(frame(spark, [(1, "a")])).collect()
+    assert {k: v for k, v in spark.conf.getAll.items() if "stateStore" in k or "noDataMicro" in k} == {k: v for k, v in before.items() if "stateStore" in k or "noDataMicro" in k}
+
+
+@pytest.mark.parametrize("keep", [exact_dedup.keep, minhash_dedup.keep])
+def test_keep_keeps_rows_not_ids(spark, keep):
+    long = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, "x y z a b c", 0), (1, long, 1), (0, long, 2), (0, long, 2), (0, long, 3), (None, "n n n n n n", 4), (None, "n n n n n n", 4), (5, None, 5)], "doc_id long, text string, _kept_id int")
+    docs = docs.withColumn("_row_key", F.lit(1)).withColumn("_nth", F.lit(1))
+    got = keep(docs)
+    assert got.columns == docs.columns
+    assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == {(1, "x y z a b c"): 1, (0, long): 1, (None, "n n n n n n"): 1, (5, None): 1}
+    assert keep(docs.limit(0)).collect() == []
 
 
 def test_words_and_shingles():
@@ -88,15 +118,49 @@ def test_long_texts_hash_as_short_ones(monkeypatch):
     assert (shingles.shingle_sets([t, t], 4)[1] == whole).all()
 
 
-@pytest.mark.parametrize("block,region", [(2048, 4096), (4, 4096), (2048, 5)])
+@pytest.mark.parametrize("block,region", [(1024, 1024), (4, 1024), (1024, 5), (3, 3)])
 def test_minhash(spark, corpus, monkeypatch, block, region):
     monkeypatch.setattr(minhash_dedup, "BLOCK", block)
     monkeypatch.setattr(minhash_dedup, "REGION", region)
     for k in (4, 5):
         got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash_dedup.near_duplicates(frame(spark, corpus), words=k).collect()}
-        expected = brute.near(corpus, k)
-        assert {i: n for i, (n, _) in got.items()} == {i: n for i, (n, _) in expected.items()}
-        assert got == expected if region > 5 else sum(got[i] != expected[i] for i in got) <= len(got) // 10
+        assert got == brute.near(corpus, k)
+
+
+def test_minhash_blocks_by_bytes(spark, corpus, monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "BLOCK_BYTES", 900)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash_dedup.near_duplicates(frame(spark, corpus), words=4).collect()}
+    assert got == brute.near(corpus, 4)
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_minhash_recall_at_the_threshold(spark, monkeypatch, hot):
+    """Pairs at exactly 0.8, alone or inside a family whose members share long prefixes."""
+    monkeypatch.setattr(minhash_dedup, "REGION", 40)
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 100)
+    rng, family, docs = random.Random(8), [f"f{i}" for i in range(140)], []
+
+    def text(common, own):
+        w = common + [f"u{len(docs)}_{i}" for i in range(own)]
+        rng.shuffle(w)
+        return " ".join(w)
+
+    for p in range(400):
+        common = (family + [f"p{p}_{i}" for i in range(20)]) if hot else [f"p{p}_{i}" for i in range(160)]
+        for _ in range(2):
+            docs.append(text(common, 20))
+    if hot:
+        for _ in range(1500):
+            docs.append(text(family, 60))
+    rows = minhash_dedup.near_duplicates(frame(spark, list(enumerate(docs)), 4), words=1).collect()
+    got = {r["doc_id"]: r["component_id"] for r in rows}
+    assert sum(got[2 * p + 1] == 2 * p for p in range(400)) >= 396
+    assert all(got[i] == i for i in got if i >= 800 or i % 2 == 0)
+
+
+def test_forest_orders_start_apart():
+    o = minhash_dedup.orders()
+    assert o.shape == (16, 16) and sorted(o[:, :4].ravel().tolist()) == list(range(64)) and all(len(set(x)) == 16 for x in o.tolist())
 
 
 def test_minhash_hot_region_loses_no_link(spark, monkeypatch):
@@ -150,9 +214,11 @@ def brute_vectors(rows):
     return Counter((r[0], degree[n], reach[r[0]]) for n, r in enumerate(rows))
 
 
-@pytest.mark.parametrize("target,block", [(1024, 2048), (16, 16), (16, 8)])
-def test_vectors(spark, monkeypatch, target, block):
+@pytest.mark.parametrize("target,block,dims", [(512, 2048, 64), (16, 16, 64), (16, 8, 64), (16, 2048, 0)])
+def test_vectors(spark, monkeypatch, target, block, dims):
     monkeypatch.setattr(embedding_dedup, "LEAF_TARGET", target)
+    if dims == 0:
+        monkeypatch.setattr(embedding_dedup, "FITTED_DIMS", 1)
     monkeypatch.setattr(embedding_dedup, "LEAF_ROWS", block)
     rng = np.random.default_rng(8)
     rows = []
@@ -173,18 +239,42 @@ def test_vectors_empty(spark):
 
 
 def test_forest_depth_and_trees():
-    f = embedding_dedup.Forest(64, 1 << 20, np.random.default_rng(1).standard_normal((4096, 64)) / 8, 0.9)
+    f = embedding_dedup.Forest(64, 1 << 19, np.random.default_rng(1).standard_normal((4096, 64)) / 8, 0.9)
+    assert embedding_dedup.Forest(64, 500, np.random.default_rng(1).standard_normal((500, 64)) / 8, 0.9).depth >= 2
     assert f.depth == 10 and f.trees >= 8 and len(f.splits[0]) == 10
     row, tree, leaf = f.route(np.eye(64)[:5])
     assert set(tree) == set(range(f.trees)) and leaf.max() < 1 << 10
 
 
+def test_a_pair_is_reported_once():
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((400, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    f = embedding_dedup.Forest(32, 1 << 14, x, 0.9)
+    a, b = np.triu_indices(400, 1)
+    seen = Counter()
+    for t in range(min(f.trees, 6)):
+        row, leaf = f.walk(x, t)
+        for v in np.unique(leaf):
+            own = row[leaf == v]
+            i, j = np.triu_indices(len(own), 1)
+            i, j = own[i], own[j]
+            some = rng.permutation(400)  # another batch gives the same leaves
+            back = np.argsort(some)
+            for k in embedding_dedup.first_met(f, x[some], back[i], back[j], t, int(v)).tolist():
+                seen[int(min(i[k], j[k])), int(max(i[k], j[k]))] += 1
+    met = {(p, q) for t in range(min(f.trees, 6)) for row, leaf in [f.walk(x, t)] for v in np.unique(leaf) for own in [np.sort(row[leaf == v])] for n, p in enumerate(own.tolist()) for q in own[n + 1 :].tolist()}
+    assert set(seen) == met and set(seen.values()) == {1} and len(a) >= len(met)
+    r = embedding_dedup.smallest(8, np.array([5, 3, 6]), np.array([3, 1, 7]))
+    assert r.tolist() == [0, 1, 2, 1, 4, 1, 6, 6]
+
+
 def test_forest_finds_pairs_inside_a_hot_cluster():
     rng = np.random.default_rng(3)
     unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
     x = unit(rng.standard_normal((30_000, 64)))
     x[:10_000] = unit(0.9**0.5 * unit(rng.standard_normal(64)) + 0.1**0.5 * unit(rng.standard_normal((10_000, 64))))
-    f = embedding_dedup.Forest(64, 1 << 20, x[rng.permutation(len(x))[: embedding_dedup.SAMPLE]], 0.9)
+    f = embedding_dedup.Forest(64, 1 << 19, x[rng.permutation(len(x))[: embedding_dedup.SAMPLE]], 0.9)
     assert f.depth == 10
     a, b = rng.integers(0, 10_000, (2, 30_000))
     at = np.flatnonzero((abs((x[a] * x[b]).sum(axis=1) - 0.9015) < 0.0015) & (a != b))[:2000]
@@ -218,6 +308,8 @@ def test_repeats(spark, monkeypatch, shard):
         import hashlib
 
         assert hashlib.sha256(raw if r["kept"] is None else bytes(r["kept"])).hexdigest() == kept
+    shared = brute.passages(docs, suffix_dedup.PASSAGE)
+    assert [got[i]["n_passages"] for i, _ in rows] == shared and sum(shared) > 20
 
 
 def test_repeats_empty(spark):
