@@ -2,22 +2,31 @@
 
 Every tree splits the unit vectors recursively along random directions, one direction per
 level. Vectors whose projection lies within the spill margin of a split go to both sides.
-Vectors that meet in a leaf of any tree are compared exactly, in double precision, and
-the links found are united over the trees.
+Vectors that meet in a leaf of any tree are compared exactly, in double precision. Of all
+the leaves a linked pair shares, only the first one (by tree, then by leaf) reports it, so a
+leaf's task adds up its part of every vector's number of links and hands on one row per vector: its
+links there, and the smallest vector it is connected with there. Pairs themselves never travel.
+
+Unit vectors and directions are rounded to multiples of 2**-15 before they are multiplied, which
+makes projections exact in double precision: every task that asks for a vector's leaves gets
+the same ones.
 
 What the driver holds is bounded: directions (trees x depth x dimension) and split points
 for the first levels, fitted on a bounded sample (``SAMPLE`` vectors); deeper levels split
 at zero. Spill margin and number of trees are fitted on pairs at about the threshold, in
 groups from the sample's densest vectors to its loneliest: the margin is the cheapest of a
 few, and trees are added until the worst group misses a pair in all trees with probability
-of about ``MISS``. Pairs above the threshold are missed far less.
+of about ``MISS``. Pairs above the threshold are missed far less. This goes for the ``FITTED_DIMS`` commonest
+dimensions of a table; others get trees by rule: splits at zero and a margin that a threshold pair
+overruns with about 1e-6 a level.
 
-Equal vectors form one class, which takes part once and counts as often as it occurs. A
+Equal vectors form one class, found by a 128-bit digest, which takes part once and counts as often as it occurs. A
 leaf larger than ``LEAF_ROWS`` (a dense region that no split divides) is compared in
 blocks of that size, one task per pair of blocks, so no group is unbounded.
 
 Defined results: vectors that are null, zero or hold null or non-finite components link
-with nothing; vectors of different lengths never link; repeated rows count one by one; an
+with nothing, nor do rows with a null id; vectors of different lengths never link; repeated rows count one by one, and rows
+of one id with different vectors take part each for itself; an
 empty table gives no rows; labels and other columns are ignored.
 """
 
@@ -31,15 +40,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import broadcast_bytes, land
+from ._common import broadcast_bytes, heavy_keys, land, spread_join
 from .components import components
 
 #: Vectors the split points are fitted on, at most.
 SAMPLE = 16_384
 #: Levels with fitted split points, at most.
 FITTED = 12
-LEAF_TARGET = 1024
+#: Dimensions with fitted trees; vectors of rarer ones get trees by rule, of this margin (as ``SPILLS``) and number.
+FITTED_DIMS = 64
+RULE_SPILL, RULE_TREES = 2.5, 3
+#: Vectors in a leaf, about; every table is split ``LEAST_DEPTH`` times at least.
+LEAF_TARGET = 512
+LEAST_DEPTH = 2
 LEAF_ROWS = 2048
+#: Vectors and directions are rounded to multiples of 1 / GRID.
+GRID = float(1 << 15)
 MISS = 1e-5
 #: Spill margins to choose from, in standard deviations of a threshold pair's projected difference.
 SPILLS = (0.2, 0.35, 0.5, 0.7, 1.0, 1.5, 2.5, 4.0)
@@ -78,21 +94,21 @@ def threshold_pairs(sample: np.ndarray, cosine: float, rng: np.random.Generator)
 class Forest:
     """Trees for the vectors of one dimension."""
 
-    def __init__(self, dim: int, n: int, sample: np.ndarray, cosine: float, seed: int = 7):
+    def __init__(self, dim: int, n: int, sample: np.ndarray | None, cosine: float, seed: int = 7):
         self.dim = dim
-        depth = max(0, math.ceil(math.log2(max(1, n) / LEAF_TARGET)))
+        self.depth = depth = max(LEAST_DEPTH, math.ceil(math.log2(max(1, n) / LEAF_TARGET)))
         sigma = math.sqrt(2 * (1 - cosine) / dim)
-        self.depth = depth
         rng = np.random.default_rng(seed)
-        unit = lambda *shape: (lambda d: d / np.linalg.norm(d, axis=-1, keepdims=True))(rng.standard_normal(shape))
-        self.directions, self.splits, self.margin = np.zeros((1, 0, dim)), [[]], 0.0
-        if depth:
+        unit = lambda *shape: (lambda d: np.rint(GRID * d / np.linalg.norm(d, axis=-1, keepdims=True)) / GRID)(rng.standard_normal(shape))
+        if sample is None:
+            self.directions, self.splits, self.margin = unit(RULE_TREES, depth, dim), [[]] * RULE_TREES, RULE_SPILL * sigma
+        else:
             pairs = threshold_pairs(sample, cosine, rng)
             few = sample[rng.permutation(len(sample))[:PROBES]]
             best = None
             for spill in SPILLS:  # the margin that costs least, by a few trees
                 pilot = np.random.default_rng(seed).standard_normal((PILOT, depth, dim))
-                self.directions = pilot / np.linalg.norm(pilot, axis=-1, keepdims=True)
+                self.directions = np.rint(GRID * pilot / np.linalg.norm(pilot, axis=-1, keepdims=True)) / GRID
                 self.splits, self.margin = [self._fit(sample @ d.T) for d in self.directions], spill * sigma
                 missed = sum(self.missed(pairs, t) for t in range(PILOT)).max() / PILOT
                 leaves = [self.walk(few, t)[1] for t in range(PILOT)]
@@ -134,7 +150,7 @@ class Forest:
 
     def walk(self, unit: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) for every leaf of tree ``t`` that a vector reaches."""
-        proj = unit @ self.directions[t].T
+        proj = np.rint(unit * GRID) / GRID @ self.directions[t].T  # exact, whatever the order of the sums
         row, node = np.arange(len(unit)), np.zeros(len(unit), np.int64)
         for level in range(self.depth):
             at = self.splits[t][level][node] if level < len(self.splits[t]) else 0.0
@@ -172,70 +188,114 @@ def _vectors(column: pa.Array, dim: int) -> np.ndarray:
     return to_unit(np.asarray(column.flatten().to_numpy(zero_copy_only=False)), dim)
 
 
+def first_met(model: Forest, unit: np.ndarray, a: np.ndarray, b: np.ndarray, tree: int, leaf: int) -> np.ndarray:
+    """Of the pairs (a, b), which meet in ``leaf`` of ``tree``, those that share no leaf before it."""
+    open_ = np.arange(len(a))
+    for t in range(tree + 1):
+        if not len(open_):
+            break
+        used, at = np.unique(np.concatenate([a[open_], b[open_]]), return_inverse=True)
+        row, node = model.walk(unit[used], t)
+        leaves, node = np.unique(node, return_inverse=True)
+        if t == tree:  # smaller leaves of the same tree only
+            row, node = row[leaves[node] < leaf], node[leaves[node] < leaf]
+        if not len(row):
+            continue
+        held = np.zeros((len(used), len(leaves)), bool)
+        held[row, node] = True
+        held = np.packbits(held, axis=1)
+        x, y = at[: len(open_)], at[len(open_) :]
+        met = np.concatenate([(held[x[k : k + 65536]] & held[y[k : k + 65536]]).any(axis=1) for k in range(0, len(x), 65536)])
+        open_ = open_[~met]
+    return open_
+
+
+def smallest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n places the smallest one it is connected with by the pairs (a, b)."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
 def class_links(classes: DataFrame, cosine: float) -> DataFrame:
-    """(src, dst): linked classes, src < dst. ``classes`` has _class and _v (clean arrays)."""
+    """(_node, _links, _least): for each leaf and each of its classes that links there, the rows it
+    links with for the first time and the smallest class it is connected with. ``classes`` has
+    _node, _times and _v (clean arrays)."""
     spark = classes.sparkSession
-    sized = classes.select("_class", "_v", F.size("_v").alias("_dim"))
-    counts = {r["_dim"]: r["n"] for r in sized.groupBy("_dim").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n")).limit(64).collect()}
-    total = sum(counts.values())
+    sized = classes.select("_node", "_v", F.size("_v").alias("_dim"))
+    sizes = land(sized.groupBy("_dim").agg(F.count(F.lit(1)).alias("_many")), "vector-dims")
     models = {}
-    for dim, n in counts.items():  # the 64 commonest dimensions; vectors of others share one leaf of their own
-        own = sized.filter(F.col("_dim") == dim)
-        if n > LEAF_TARGET:
-            share = min(1.0, 1.2 * SAMPLE / max(1, total))
-            picked = own.sample(share, 11).limit(SAMPLE).select("_v").toArrow()["_v"].combine_chunks()
-            sample = _vectors(picked, dim) if len(picked) else np.zeros((0, dim))
-        else:
-            sample = np.zeros((0, dim))
-        models[dim] = Forest(dim, n, sample if len(sample) else np.eye(1, dim), cosine)
+    for r in sizes.orderBy(F.desc("_many"), "_dim").limit(FITTED_DIMS).collect():
+        dim, n = r["_dim"], r["_many"]
+        picked = sized.filter(F.col("_dim") == dim)
+        if n > SAMPLE:
+            picked = picked.sample(min(1.0, 1.2 * SAMPLE / n), 11).limit(SAMPLE)
+        sample = picked.select("_node", "_v").toArrow().sort_by("_node").column("_v").combine_chunks()
+        models[dim] = Forest(dim, n, _vectors(sample, dim) if len(sample) else None, cosine)
     shared = broadcast_bytes(spark, models)
 
+    def model_of(dim: int, many: int) -> Forest:
+        return shared.value.get(dim) or Forest(dim, many, None, cosine)
+
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = shared.value
         for batch in batches:
-            ids, dims = batch.column(0), batch.column(2).to_numpy(zero_copy_only=False)
-            for dim in np.unique(dims):
-                own = pa.array(np.flatnonzero(dims == dim))
-                if int(dim) in models:
-                    model, unit = models[int(dim)], _vectors(batch.column(1).take(own), int(dim))
-                    walks = ((t, k, *model.walk(unit[k : k + 2048], t)) for t in range(model.trees) for k in range(0, len(own), 2048))
-                else:
-                    walks = iter([(0, 0, np.arange(len(own)), np.zeros(len(own), np.int64))])
-                for t, k, row, leaf in walks:
-                    yield pa.RecordBatch.from_arrays(
-                        [ids.take(own).take(pa.array(row + k)), pa.array(np.full(len(row), dim, np.int32)), pa.array(np.full(len(row), t, np.int32)), pa.array(leaf, pa.int64())],
-                        ["_class", "_dim", "_tree", "_leaf"],
-                    )
-
-    kind = classes.schema["_class"].dataType.simpleString()
-    routed = land(sized.mapInArrow(route, f"_class {kind}, _dim int, _tree int, _leaf long"), "leaves")
+            ids, dims, many = batch.column(0), *(batch.column(c).to_numpy(zero_copy_only=False) for c in (2, 3))
+            for dim in np.unique(dims).tolist():
+                at = np.flatnonzero(dims == dim)
+                own = pa.array(at)
+                model, unit = model_of(dim, int(many[at[0]])), _vectors(batch.column(1).take(own), dim)
+                mine = ids.take(own)
+                for t in range(model.trees):
+                    for k in range(0, len(own), 2048):
+                        row, leaf = model.walk(unit[k : k + 2048], t)
+                        yield pa.RecordBatch.from_arrays(
+                            [mine.take(pa.array(row + k)), pa.array(np.full(len(row), dim, np.int32)), pa.array(np.full(len(row), t, np.int32)), pa.array(leaf, pa.int64())],
+                            ["_node", "_dim", "_tree", "_leaf"],
+                        )
+
+    dealt = sized.join(F.broadcast(sizes), "_dim") if sizes.count() <= 4096 else sized.join(sizes, "_dim")
+    routed = land(dealt.select("_node", "_v", "_dim", "_many").mapInArrow(route, "_node long, _dim int, _tree int, _leaf long"), "leaves")
     leaf = ["_dim", "_tree", "_leaf"]
-    sizes = routed.groupBy(*leaf).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").withColumn("_blocks", F.ceil(F.col("_n") / LEAF_ROWS).cast("int"))
-    own = F.pmod(F.xxhash64("_class"), F.col("_blocks")).cast("int")
+    counts = land(routed.groupBy(*leaf).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1"), "leaf-sizes")
+    blocks = counts.withColumn("_blocks", F.ceil(F.col("_n") / LEAF_ROWS).cast("int"))
     placed = (
-        routed.join(sizes, leaf)
-        .withColumn("_own", own)
+        spread_join(routed, blocks.drop("_n"), leaf, heavy_keys(counts, "_n"))
+        .withColumn("_own", F.pmod(F.xxhash64("_node"), F.col("_blocks")).cast("int"))
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-        .select("_class", *leaf, "_own", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"))
+        .select("_node", *leaf, "_own", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"))
     )
-    pairs_schema = f"src {kind}, dst {kind}"
+    many = sizes.select("_dim", "_many")
 
     def compare(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        dim, i, j = (group.column(c)[0].as_py() for c in ("_dim", "_i", "_j"))
-        x, ids, own = _vectors(group.column("_v").combine_chunks(), dim), group.column("_class"), group.column("_own").to_numpy()
+        dim, tree, at, i, j, n = (group.column(c)[0].as_py() for c in ("_dim", "_tree", "_leaf", "_i", "_j", "_many"))
+        x, ids, own = _vectors(group.column("_v").combine_chunks(), dim), group.column("_node").to_numpy(), group.column("_own").to_numpy()
         if i == j:
             a, b = linked(x, None, cosine)
         else:
             left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
             a, b = linked(x[left], x[right], cosine) if len(left) and len(right) else (np.zeros(0, int), np.zeros(0, int))
             a, b = left[a], right[b]
-        ids = ids.to_numpy()
-        a, b = ids[a], ids[b]
-        return pa.table({"src": np.minimum(a, b), "dst": np.maximum(a, b)})
+        new = first_met(model_of(dim, n), x, a, b, tree, at)
+        a, b = a[new], b[new]
+        times = group.column("_times").to_numpy()
+        links = np.bincount(a, times[b], len(ids)) + np.bincount(b, times[a], len(ids))
+        order = np.argsort(ids, kind="stable")
+        place = np.empty(len(ids), int)
+        place[order] = np.arange(len(ids))
+        least = ids[order][smallest(len(ids), place[a], place[b])[place]]
+        hit = np.flatnonzero(links > 0)
+        return pa.table({"_node": ids[hit], "_links": links[hit].astype(np.int64), "_least": least[hit]})
 
-    met = placed.join(classes.select("_class", "_v"), "_class").groupBy(*leaf, "_i", "_j").applyInArrow(compare, pairs_schema)
-    return land(met.distinct(), "vector-links")
+    met = placed.join(classes.select("_node", "_times", "_v"), "_node").join(F.broadcast(many) if sizes.count() <= 4096 else many, "_dim")
+    return land(met.groupBy(*leaf, "_i", "_j").applyInArrow(compare, "_node long, _links long, _least long"), "vector-links")
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.9) -> DataFrame:
@@ -243,20 +303,24 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     v, i = F.col(vector_col), F.col(id_col)
     finite = lambda x: x.isNotNull() & (F.abs(x) < F.lit(float("inf"))) & ~F.isnan(x)
     clean = v.isNotNull() & (F.size(v) > 0) & F.forall(v, finite) & F.exists(v, lambda x: x != 0) & i.isNotNull()
+    digest = [F.xxhash64("_v").alias("_k1"), F.xxhash64(F.lit(0x5EED), F.col("_v"), F.lit(1)).alias("_k2")]
     rows = vectors.select(i.alias("_id"), v.alias("_v"), F.coalesce(clean, F.lit(False)).alias("_clean"))
-    usable = rows.filter("_clean").drop("_clean")
-    classes = land(usable.groupBy("_v").agg(F.min("_id").alias("_class"), F.count(F.lit(1)).alias("_times")).select("_class", "_times", "_v"), "vector-classes")
+    usable = rows.filter("_clean").select("_id", "_v", *digest)
+    key = ["_k1", "_k2"]
+    grouped = usable.groupBy(*key).agg(F.min("_id").alias("_class"), F.count(F.lit(1)).alias("_times"), F.any_value("_v").alias("_v"))
+    classes = land(grouped.select(F.monotonically_increasing_id().alias("_node"), *key, "_class", "_times", "_v"), "vector-classes")
     links = class_links(classes, cosine)
-    both = links.select("src", "dst").unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    times = classes.select(F.col("_class").alias("dst"), "_times")
-    degree = both.join(times, "dst").groupBy(F.col("src").alias("_class")).agg(F.sum("_times").alias("_degree"))
-    reach = components(links).select(F.col("node").alias("_class"), F.col("component").alias("_component"))
-    told = classes.join(degree, "_class", "left").join(reach, "_class", "left").select(
-        "_v", "_class",
-        (F.coalesce("_degree", F.lit(0)) + F.col("_times") - 1).cast("long").alias("_links"),
-        F.coalesce("_component", "_class").alias("_component"),
+    degree = links.groupBy("_node").agg(F.sum("_links").alias("_degree"))
+    reach = components(links.select(F.col("_node").alias("src"), F.col("_least").alias("dst"))).select(F.col("node").alias("_node"), F.col("component").alias("_root"))
+    placed = classes.drop("_v").join(reach, "_node", "left").withColumn("_root", F.coalesce("_root", "_node"))
+    least = placed.groupBy("_root").agg(F.min("_class").alias("_component"))
+    told = land(
+        placed.join(least, "_root").join(degree, "_node", "left")
+        .select(*key, "_class", "_times", (F.coalesce("_degree", F.lit(0)) + F.col("_times") - 1).cast("long").alias("_links"), "_component"),
+        "vector-told",
     )
-    with_class = usable.join(told, "_v").select("_id", "_links", "_component", "_class")
+    heavy = heavy_keys(told.select(*key, F.col("_times").alias("_rows")))
+    with_class = spread_join(usable.select("_id", *key), told.drop("_times"), key, heavy).select("_id", "_links", "_component", "_class")
     rest = rows.filter(~F.col("_clean")).select("_id", F.lit(0).cast("long").alias("_links"), F.col("_id").alias("_component"), F.col("_id").alias("_class"))
     return with_class.unionByName(rest).select(
         F.col("_id").alias(id_col), F.col("_links").alias("n_links"), F.col("_component").alias("component_id"),
