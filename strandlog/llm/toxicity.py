@@ -19,10 +19,7 @@ id count each; without two classes to learn from every score is the share of lab
 
 from __future__ import annotations
 
-import math
 import re
-import zlib
-from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -38,16 +35,47 @@ BUCKETS = 1 << 17
 DIM = 8
 GRAMS = (3, 4, 5)
 STEPS = 120
-#: Word scores a worker remembers.
-MEMO = 500_000
-WORD = re.compile(r"\w+")
-
-
-def grams(word: str) -> list[int]:
-    """Buckets of a word's character n-grams."""
-    w = f"<{word}>"
-    out = [zlib.crc32(w[i : i + n].encode("utf-8", "surrogatepass")) % BUCKETS for n in GRAMS for i in range(len(w) - n + 1)]
-    return out or [zlib.crc32(w.encode("utf-8", "surrogatepass")) % BUCKETS]
+#: Characters of text that are worked on at once.
+STEP = 1 << 17
+WORD, GAP = re.compile(r"\w+"), re.compile(r"\W")
+_FACTORS = np.random.default_rng(21).integers(1, 1 << 63, 1 + max(GRAMS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_wordy: list[np.ndarray] = []
+
+
+def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of some texts, lower-cased: their characters one word after the other, their lengths, and
+    the text each is of. A word is a run of letters, digits and underscores, as in ``WORD``."""
+    if not _wordy:
+        _wordy.append(np.array([chr(c).isalnum() or c == 95 for c in range(0x110000)]))
+    low = [t.lower() for t in texts]
+    codes = np.frombuffer("\n".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
+    ink = _wordy[0][codes]
+    edge = np.flatnonzero(np.diff(ink, prepend=False, append=False))
+    starts, ends = edge[::2], edge[1::2]
+    stops = np.cumsum(np.array([len(t) + 1 for t in low], np.int64)) if low else np.zeros(0, np.int64)
+    return codes[ink], ends - starts, np.searchsorted(stops, starts, side="right")
+
+
+def grams(codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, word) of the character n-grams of words, with edge marks; every word has one at least."""
+    n = len(lengths)
+    marked = np.zeros(len(codes) + 2 * n, np.uint64)
+    word = np.repeat(np.arange(n), lengths + 2)
+    first = np.cumsum(lengths + 2) - lengths - 2
+    marked[first], marked[first + lengths + 1] = 60, 62  # < and >
+    inner = np.ones(len(marked), bool)
+    inner[first] = inner[first + lengths + 1] = False
+    marked[inner] = codes
+    out, of = [], []
+    for g in GRAMS:
+        own = np.flatnonzero(word[: len(word) - g + 1] == word[g - 1 :]) if len(word) >= g else np.zeros(0, np.int64)
+        h = np.full(len(own), int(_FACTORS[0]) * g % (1 << 64), np.uint64)
+        for k in range(g):
+            h += marked[own + k] * _FACTORS[1 + k]
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        out.append((h >> np.uint64(64 - 17)).astype(np.int32))
+        of.append(word[own])
+    return np.concatenate(out), np.concatenate(of)
 
 
 class Model:
@@ -61,11 +89,9 @@ class Model:
         self.scale, self.offset = np.float32(3.0), np.float32(-4.0)
         self.length = np.float32(0.0)
         self.constant: float | None = None
-        self._memo: dict[str, float] = {}
-        self._u: np.ndarray | None = None
 
     def __getstate__(self):
-        return {**self.__dict__, "_memo": {}, "_u": None, "e": None, "margin": self.e @ (self.w[:, 1] - self.w[:, 0])} if self.e is not None else self.__dict__
+        return {**self.__dict__, "e": None, "margin": self.e @ (self.w[:, 1] - self.w[:, 0])} if self.e is not None else self.__dict__
 
     def fit(self, texts: Iterable[str | None], labels: np.ndarray, steps: int = STEPS, l2: float = 2e-6, rate: float = 0.05, log=None) -> Model:
         if len(set(labels.tolist())) < 2:
@@ -81,14 +107,17 @@ class Model:
             counts.append(times.astype(np.float32))
         doc, word, count = np.concatenate(docs), np.concatenate(ids), np.concatenate(counts)
         del docs, ids, counts
-        bag, sizes = array("i"), array("i")  # flat, as millions of integers are kept
-        for w in vocabulary:
-            g = grams(w)
-            bag.extend(g)
-            sizes.append(len(g))
-        flat, sizes = np.frombuffer(bag, np.int32), np.frombuffer(sizes, np.int32)
-        ends = np.cumsum(sizes, dtype=np.int64)
+        flat, sizes, known = [], [], list(vocabulary)
         del vocabulary
+        for at in range(0, len(known), 1 << 14):
+            codes, lengths, _ = words(known[at : at + (1 << 14)])
+            buckets, of = grams(codes, lengths)
+            order = np.argsort(of, kind="stable")  # word by word
+            flat.append(buckets[order])
+            sizes.append(np.bincount(of, minlength=len(lengths)).astype(np.int32))
+        flat, sizes = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (flat, sizes))
+        ends = np.cumsum(sizes, dtype=np.int64)
+        del known
         # words by parts of about a million n-grams, so that no step needs arrays of them all
         cuts = [0, *np.unique(np.searchsorted(ends, np.arange(1 << 20, int(ends[-1]) if len(ends) else 0, 1 << 20))).tolist(), len(sizes)]
         parts = [(a, b, slice(int(ends[a] - sizes[a]), int(ends[b - 1]))) for a, b in zip(cuts[:-1], cuts[1:]) if b > a]
@@ -131,35 +160,53 @@ class Model:
             self.offset = np.float32(adam("offset", np.array([self.offset]), np.array([dz.sum()]), t, rate)[0])
         return self
 
-    def word(self, w: str) -> float:
-        """How toxic a word is, from 0 to 1."""
-        if self._u is None:
-            self._u = self.margin if self.e is None else self.e @ (self.w[:, 1] - self.w[:, 0])
-            self._u = self._u.tolist()
-        g = grams(w)
-        u = self._u
-        s = sum([u[x] for x in g]) / len(g) + float(self.b)
-        p = 1 / (1 + math.exp(-s)) if s > -30 else 0.0
-        if len(self._memo) >= MEMO:
-            self._memo.clear()
-        if len(w) <= 64:
-            self._memo[w] = p
-        return p
-
-    def forget(self) -> None:
-        """Drop the remembered words: the worker lives on when the task has ended."""
-        self._memo = {}
+    def scores(self, texts: Iterable[str | None]) -> np.ndarray:
+        """The chance of label 1 of each text."""
+        held = [t or "" for t in texts]
+        if self.constant is not None:
+            return np.full(len(held), self.constant)
+        toxic, many = np.zeros(len(held)), np.zeros(len(held))
+        part: list[str] = []
+        owners: list[int] = []
+        size = 0
+        for i, t in enumerate([*held, None]):
+            if t is None or (part and size + len(t) > STEP):
+                self._add(part, owners, toxic, many)
+                part, owners, size = [], [], 0
+            for piece in cut(t) if t else ():
+                if len(t) > STEP:  # piece by piece, so that no text of any length is worked on whole
+                    self._add([piece], [i], toxic, many)
+                else:
+                    part.append(piece)
+                    owners.append(i)
+                    size += len(piece) + 1
+        z = float(self.scale) * toxic + float(self.offset) + float(self.length) * np.log1p(many)
+        return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+
+    def _add(self, texts: list[str], owners: list[int], toxic: np.ndarray, many: np.ndarray) -> None:
+        """Add the texts' expected numbers of toxic words, and of words, to those of their owners."""
+        codes, lengths, text = words(texts)
+        if not len(lengths):
+            return
+        u = self.margin if self.e is None else self.e @ (self.w[:, 1] - self.w[:, 0])
+        buckets, of = grams(codes, lengths)
+        s = np.bincount(of, u[buckets].astype(np.float64), len(lengths)) / np.bincount(of, minlength=len(lengths)) + float(self.b)
+        owner = np.array(owners)[text]
+        toxic += np.bincount(owner, 1 / (1 + np.exp(-np.clip(s, -500, 500))), len(toxic))
+        many += np.bincount(owner, minlength=len(many))
 
     def score(self, text: str | None) -> float:
-        if self.constant is not None:
-            return self.constant
-        get, word = self._memo.get, self.word
-        f, words = 0.0, WORD.findall((text or "").lower())
-        for w in words:
-            p = get(w)
-            f += word(w) if p is None else p
-        z = float(self.scale) * f + float(self.offset) + float(self.length) * math.log1p(len(words))
-        return 1 / (1 + math.exp(-z)) if z > -500 else 0.0
+        return float(self.scores([text])[0])
+
+
+def cut(text: str) -> Iterator[str]:
+    """A text in pieces of about ``STEP`` characters, no word cut."""
+    at = 0
+    while at < len(text):
+        gap = GAP.search(text, at + STEP) if len(text) > at + STEP else None
+        end = gap.start() if gap else len(text)
+        yield text[at:end]
+        at = end
 
 
 def held_out(doc_id):
@@ -180,6 +227,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return Model().fit((t.as_py() for t in rows["_text"]), np.array(rows["_label"].to_pylist(), int))
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for at in range(0, whole.num_rows, rows):
+            yield whole.slice(at, rows)
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col`` and score of every whole text."""
     shared = broadcast_bytes(docs.sparkSession, model)
@@ -187,9 +240,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.score(t) for t in batch.column(1).to_pylist()], pa.float64())], [id_col, "score"])
-        model.forget()
+        for batch in sliced(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(batch.column(1).to_pylist()), pa.float64())], [id_col, "score"])
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, score double")
 
@@ -211,9 +263,8 @@ def keep(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            yield batch.filter(pa.array([model.score(t) < threshold for t in texts], pa.bool_()))
-        model.forget()
+            yield batch.filter(pa.array(model.scores(texts) < threshold, pa.bool_()))
 
     return docs.mapInArrow(run, schema)
