@@ -4,16 +4,21 @@ The documents run through a Structured Streaming aggregation keyed by the digest
 their normalised text. Its state lives in RocksDB, has no watermark and so never
 expires, and keeps per digest the smallest document id (the stable identifier), the
 number of rows, and the locator (landed file and row) of the content that id stands for.
+The documents are landed once, with their normalised text, so the locator leads to the bytes.
 The finished state is read back as a table with Spark's state reader. Digests seen more
-than once are hits; every hit is compared over its full normalised bytes with the row
-its class keeps, and members whose bytes differ (a digest collision) form classes of
+than once are hits; the bytes of every hit are compared in full with those at its class's
+locator, and members whose bytes differ (a digest collision) form classes of
 their own by (digest, bytes).
 
+The stream runs in a session of its own, so its settings touch no other query. A state folder
+given by the caller is kept, and a later run goes on from it; otherwise it goes with the run.
+
 Everything here is DataFrame and SQL work inside the JVM.
 
 Defined results: null text counts as empty; a null id counts as the smallest; equal ids with equal text count twice in
 ``group_size``, and all rows of that id are reported; an empty table gives no rows;
-columns besides the id and the text are ignored, whatever they are called.
+columns besides the id and the text are ignored, whatever they are called. ``keep`` keeps one row of
+each class, also where the same row occurs several times.
 """
 
 from __future__ import annotations
@@ -21,10 +26,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import drop_path, land, work_path
+from ._common import drop_path, fresh, heavy_keys, land, once, row_key, spread_join, unland, work_path
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: Settings of the stateful query, restored afterwards.
+#: Settings of the stateful query's own session.
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
@@ -43,11 +48,9 @@ def normalised(text):
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_id, _digest, _n): id, SHA-256 of the normalised text, its length in bytes."""
-    norm = normalised(docs[text_col])
-    return docs.select(
-        docs[id_col].alias("_id"), F.sha2(norm.cast("binary"), 256).alias("_digest"), F.octet_length(norm).alias("_n")
-    )
+    """(_id, _digest, _norm): id, SHA-256 of the normalised text, the text itself."""
+    norm = docs.select(docs[id_col].alias("_id"), normalised(docs[text_col]).alias("_norm"))
+    return norm.select("_id", F.sha2(F.col("_norm").cast("binary"), 256).alias("_digest"), "_norm")
 
 
 class StreamDedup:
@@ -64,29 +67,25 @@ class StreamDedup:
 
     def feed(self, folder: str, schema) -> None:
         """Take in the files of ``folder`` not seen so far."""
-        conf = self.spark.conf
-        before = {k: conf.get(k, None) for k in STATE_CONF}
-        for k, v in STATE_CONF.items():
-            conf.set(k, v)
-        try:
-            rows = (
-                self.spark.readStream.schema(schema)
-                .option("maxBytesPerTrigger", self.max_bytes)
-                .parquet(folder)
-                .select("_digest", "_id", F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row")).alias("_at"))
-            )
-            keyed_state = rows.groupBy("_digest").agg(F.min(F.struct("_id", "_at")).alias("_first"), F.count(F.lit(1)).alias("_rows"))
-            query = (
-                keyed_state.writeStream.outputMode("update")
-                .format("noop")
-                .option("checkpointLocation", self.checkpoint)
-                .trigger(availableNow=True)
-                .start()
-            )
-            query.awaitTermination()
-        finally:
-            for k, v in before.items():
-                conf.unset(k) if v is None else conf.set(k, v)
+        own = self.spark.newSession()
+        for k, v in {**self.spark.conf.getAll, **STATE_CONF}.items():
+            if self.spark.conf.isModifiable(k):
+                own.conf.set(k, v)
+        rows = (
+            own.readStream.schema(schema)
+            .option("maxBytesPerTrigger", self.max_bytes)
+            .parquet(folder)
+            .select("_digest", "_id", F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row")).alias("_at"))
+        )
+        keyed_state = rows.groupBy("_digest").agg(F.min(F.struct("_id", "_at")).alias("_first"), F.count(F.lit(1)).alias("_rows"))
+        query = (
+            keyed_state.writeStream.outputMode("update")
+            .format("noop")
+            .option("checkpointLocation", self.checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
 
     def state(self) -> DataFrame:
         """(_digest, keep, at, rows): what the state retains for each digest."""
@@ -101,68 +100,74 @@ class StreamDedup:
         )
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", checkpoint: str | None = None) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256, locator.
 
-    ``locator`` names the landed file and row that hold the digest of the kept row.
+    ``locator`` names the landed file and row that hold the kept row's content.
     """
     spark = docs.sparkSession
-    schema = "_id {}, _digest string, _n int".format(docs.schema[id_col].dataType.simpleString())
     landing = work_path(spark, "dedup-in")
-    keyed(docs, id_col, text_col).write.parquet(landing)
-    landed = spark.read.schema(schema).parquet(landing)
+    rows = keyed(docs, id_col, text_col)
+    rows.write.parquet(landing)
+    landed = spark.read.schema(rows.schema).parquet(landing)
     if landed.isEmpty():
         return landed.select(
             F.col("_id").alias(id_col), F.col("_id").alias("keep_id"), F.lit(0).cast("long").alias("group_size"),
             F.lit(True).alias("kept"), F.col("_digest").alias("text_sha256"), F.lit("").alias("locator"),
         )
-    stream = StreamDedup(spark)
+    stream = StreamDedup(spark, checkpoint)
     stream.feed(landing, landed.schema)
     state = land(stream.state(), "dedup-classes")
-    drop_path(spark, stream.checkpoint)
+    if checkpoint is None:
+        drop_path(spark, stream.checkpoint)
 
-    differing = differing_hits(docs, state, id_col, text_col)
+    heavy = heavy_keys(state.select("_digest", "_rows"))
+    differing = differing_hits(landed, state, heavy)
     clash = not differing.isEmpty()
-    out = landed.join(state, "_digest").select(
+    out = spread_join(landed.select("_id", "_digest"), state, ["_digest"], heavy).select(
         "_id", F.col("_keep").alias("_keep_id"), F.col("_rows").alias("_size"), "_digest",
         F.concat_ws(":", F.col("_locator.file"), F.col("_locator.row").cast("string")).alias("_at"),
     )
     if clash:
-        out = split_clashes(docs, out, differing, id_col, text_col)
+        out = split_clashes(landed, out, differing)
     return out.select(
         F.col("_id").alias(id_col), F.col("_keep_id").alias("keep_id"), F.col("_size").alias("group_size"),
         F.col("_id").eqNullSafe(F.col("_keep_id")).alias("kept"), F.col("_digest").alias("text_sha256"), F.col("_at").alias("locator"),
     )
 
 
-def differing_hits(docs: DataFrame, state: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def differing_hits(landed: DataFrame, state: DataFrame, heavy: DataFrame) -> DataFrame:
     """(_digest): digests whose members are not all equal byte for byte.
 
-    Only rows of digests seen more than once travel with their text; each is compared
-    with the text of the row its class keeps. One hot class is one key on the wide side
-    of both joins, which adaptive execution splits.
+    The rows of digests seen more than once are held against the content at their class's
+    locator; those of a hot class are dealt over many tasks.
     """
-    norm = normalised(docs[text_col])
-    texts = docs.select(docs[id_col].alias("_id"), F.sha2(norm.cast("binary"), 256).alias("_digest"), norm.cast("binary").alias("_bytes"))
-    hits = state.filter(F.col("_rows") > 1).select("_digest", "_keep")
-    found = land(texts.join(hits, "_digest"), "dedup-hits")
-    first = found.filter(F.col("_id").eqNullSafe(F.col("_keep"))).groupBy("_digest").agg(F.min("_bytes").alias("_kept_bytes"))
-    first = land(first, "dedup-kept")  # a plain shuffle on this side lets a hot class be split on the other
-    # landed as it comes: grouping right above the join would keep a hot class in one task
-    return land(found.join(first, "_digest").filter(F.col("_bytes") != F.col("_kept_bytes")).select("_digest"), "dedup-differing").distinct()
-
-
-def split_clashes(docs: DataFrame, out: DataFrame, differing: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    at = F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    hits = state.filter(F.col("_rows") > 1).select("_digest", "_locator")
+    placed = landed.select("_digest", at.alias("_place"), F.col("_norm").cast("binary").alias("_bytes"))
+    found = land(spread_join(placed, hits, ["_digest"], heavy, by=["_place"]), "dedup-hits")
+    kept = land(found.filter(F.col("_place") == F.col("_locator")).select("_digest", F.col("_bytes").alias("_kept")), "dedup-kept")
+    others = found.filter(F.col("_place") != F.col("_locator")).select("_digest", "_place", "_bytes")
+    differing = land(spread_join(others, kept, ["_digest"], heavy, by=["_place"]).filter(F.col("_bytes") != F.col("_kept")).select("_digest"), "dedup-differing").distinct()
+    unland(found, kept)
+    return differing
+
+
+def split_clashes(landed: DataFrame, out: DataFrame, differing: DataFrame) -> DataFrame:
     """Reassign the classes of digests whose members differ, by digest and bytes."""
-    norm = normalised(docs[text_col])
-    texts = docs.select(F.sha2(norm.cast("binary"), 256).alias("_digest"), docs[id_col].alias("_id"), norm.alias("_norm"))
-    members = texts.join(differing, "_digest", "left_semi")
+    members = landed.select("_digest", "_id", "_norm").join(differing, "_digest", "left_semi")
     classes = members.groupBy("_digest", "_norm").agg(F.min("_id").alias("_keep_id"), F.count(F.lit(1)).alias("_size"))
     mended = members.join(classes, ["_digest", "_norm"]).select("_id", "_keep_id", "_size", "_digest", F.lit(None).cast("string").alias("_at"))
     return out.join(differing, "_digest", "left_anti").select("_id", "_keep_id", "_size", "_digest", "_at").unionByName(mended)
 
 
 def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with their own columns."""
-    kept = dedup(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("_kept_id"))
-    return docs.join(kept.distinct(), docs[id_col].eqNullSafe(F.col("_kept_id")), "left_semi")
+    """The rows of ``docs`` that stay, with their own columns: one of each class.
+
+    A row is found by its id and its normalised text, so an id that stays for one text
+    does not keep the rows it has with others.
+    """
+    key = fresh("_row_key", docs)
+    kept = dedup(docs, id_col, text_col).filter("kept").select(row_key(F.col(id_col), F.col("text_sha256")).alias(key)).distinct()
+    digest = F.sha2(normalised(F.col(text_col)).cast("binary"), 256)
+    return once(docs.withColumn(key, row_key(F.col(id_col), digest)), key).join(kept, key, "left_semi").select(*docs.columns)
