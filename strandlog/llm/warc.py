@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import land, ship, work_path
+from ._common import heavy_keys, land, ship, spread_join, work_path
 
 MIN_REVISIT = 1000
 #: Record layout; fixed values of the format.
@@ -38,8 +38,10 @@ VERSION = "WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CRLF = "\r\n"
 DATE = "2024-01-01T00:00:00Z"
-#: Records per archive file, at most.
-FILE_RECORDS = 60_000
+#: Bytes of payloads per archive file, at most (but for a single one that is larger).
+FILE_BYTES = 256 << 20
+#: Bounds of the classes of payload size.
+SIZES = (16 << 10, 1 << 20, 32 << 20)
 
 
 def record_id(kind: str, page, sha1):
@@ -70,16 +72,32 @@ def captures(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
         F.sha2(html.cast("binary"), 256).alias("sha256"),
     )
     light = rows.filter(F.col("size") >= MIN_REVISIT).select("page", "size", "sha256")
-    first = light.groupBy("sha256", "size").agg(F.max("page").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    counts = land(light.groupBy("sha256", "size").agg(F.max("page").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "warc-payloads")
+    heavy = heavy_keys(counts.select("sha256", "size", "n"), "n")
     return (
-        rows.join(first, ["sha256", "size"], "left")
+        spread_join(rows, counts.drop("n"), ["sha256", "size"], heavy, "left", ["page", "url"])
         .withColumn("refers", F.when(F.col("first") != F.col("page"), F.col("first")))
         .drop("sha256", "first")
     )
 
 
 def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
-    """Write the archives of ``pages`` below ``path``."""
+    """Write the archives of ``pages`` below ``path``.
+
+    Files roll by bytes, as a file is one binary cell when it is read: captures are written by
+    classes of payload size, so many to a file that even the largest of the class stay within
+    ``FILE_BYTES``. Equal payloads are of one class, so each class is written for itself.
+    """
+    size = F.coalesce(F.octet_length(html_col), F.lit(0))
+    bounds = [0, *(b for b in SIZES), None]
+    inside = [(size >= lo) & (F.lit(True) if hi is None else size < hi) for lo, hi in zip(bounds[:-1], bounds[1:])]
+    counts = pages.agg(*(F.count_if(x).alias(str(k)) for k, x in enumerate(inside))).first()
+    for k, x in enumerate(inside):
+        if k == 0 or counts[k]:
+            _write(pages.filter(x), f"{path}/class={k}", id_col, url_col, html_col, 3 * max(1, FILE_BYTES // bounds[k + 1]) if bounds[k + 1] else 3)
+
+
+def _write(pages: DataFrame, path: str, id_col: str, url_col: str, html_col: str, per_file: int) -> None:
     c = captures(pages, id_col, url_col, html_col)
     page, url, sha1 = F.col("page"), F.col("url"), F.col("sha1")
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("size").cast("string"), F.lit(CRLF + CRLF))
@@ -106,13 +124,7 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
         F.concat(F.lit("id: "), F.coalesce(page.cast("string"), F.lit("")), F.lit(CRLF)),
     )
     records = F.array(request, F.when(F.col("refers").isNull(), response).otherwise(revisit), metadata)
-    (
-        c.select(F.explode(records).alias("value"))
-        .write.option("lineSep", CRLF + CRLF)
-        .option("compression", "gzip")
-        .option("maxRecordsPerFile", FILE_RECORDS)
-        .text(path)
-    )
+    c.select(F.explode(records).alias("value")).write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
 
 def parse(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -197,7 +209,7 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORDS)
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content").mapInArrow(run, RECORDS)
 
 
 def transactions(records: DataFrame) -> DataFrame:
@@ -220,13 +232,21 @@ def transactions(records: DataFrame) -> DataFrame:
     )
     whole = main.join(side, "record_id", "left")
     named = records.filter(F.col("type") == "metadata").groupBy(F.col("concurrent_to").alias("record_id")).agg(F.min("fields").alias("named"))
+    # only what a revisit refers to, and only revisits look for it: a page that a third of all captures repeat is
+    # one heavy key among the revisits, dealt over many tasks
+    refers = land(records.filter(F.col("type") == "revisit").groupBy(F.col("refers_to").alias("record_id")).agg(F.count(F.lit(1)).alias("_rows")), "warc-refers")
     originals = (
         records.filter(F.col("type") == "response")
+        .join(refers.select("record_id"), "record_id", "left_semi")
         .join(named, "record_id", "left")
         .groupBy(F.col("record_id").alias("_original"))  # repeated rows write a record twice
         .agg(F.min(F.struct("record_id", "payload_bytes", "payload_sha1", F.col("named").alias("fields"))).alias("original"))
     )
-    return whole.withColumn("_original", F.col("main.refers_to")).join(originals, "_original", "left").drop("_original", "record_id")
+    heavy = heavy_keys(refers.withColumnRenamed("record_id", "_original"))
+    revisits = whole.filter(F.col("main.type") == "revisit").withColumn("_original", F.col("main.refers_to"))
+    revisits = spread_join(revisits, originals, ["_original"], heavy, "left", ["record_id"]).drop("_original", "record_id")
+    responses = whole.filter(F.col("main.type") == "response").drop("record_id").withColumn("original", F.lit(None).cast(originals.schema["original"].dataType))
+    return revisits.unionByName(responses)
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", payloads: bool = False) -> DataFrame:
