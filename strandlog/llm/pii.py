@@ -4,13 +4,17 @@ Base. Emails, IPv4 addresses, payment cards and phone numbers are the leftmost
 non-overlapping matches of a pattern per kind, kept if they pass its check.
 
 Bootstrap. Tokens of identifier shape (they hold a digit or an at sign) are instances; those
-that touch a base span are seeds of its kind. The words around instances induce lexical
-patterns (two words to the left; one to each side). Patterns and instances form a graph
-on which scores move to and fro: a pattern's confidence in a kind is the share of that
-kind among the distinct values it meets, given enough distinct seeds; a value's is the
+that touch a base span are seeds of its kind, and hexadecimal strings of at least 32 digits are seeds
+of a fifth kind, ``secret``, which only context can make a span. The words around instances induce lexical
+patterns (two words to the left; one to each side; words are read from the last 96 characters before an
+instance and the first 48 after it). Patterns and instances form a graph
+on which scores move to and fro: a pattern's confidence in a kind is the score of that
+kind among the distinct values it meets, over the scores of all kinds and the values known to be no
+identifiers (under six characters, or with fewer than two digits and no at sign); values that nothing is known of are neutral,
+but at least half of all values must speak for the kind, and enough distinct seeds. A value's score is the
 noisy-or of its patterns. Values above the bar act as soft seeds of the next round. In the end,
 instances that no base span touches, whose value and one of whose patterns are above the
-bar, are added as spans of the pattern's kind.
+bar, are added as spans of the pattern's kind. An instance right after another one has no words to its left.
 
 Patterns are possessive and anchored where that leaves the matches as they are, so long
 runs cost linear time and no stack. Offsets are in code points, ends exclusive.
@@ -26,9 +30,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import land
+from ._common import fresh, land, row_key
 
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds that only context finds, by the shape of their seeds.
+SHAPES = {"secret": r"^(?=[0-9]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{32,}$"}
+ALL_KINDS = (*KINDS, *SHAPES)
 #: The patterns of the contract, written so that Java's engine needs no backtracking.
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -45,6 +52,8 @@ TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 SUPPORT = 5
 #: Confidence from which patterns and values act.
 BAR = 0.8
+#: Share of a pattern's values that must speak for its kind.
+KNOWN = 0.5
 ROUNDS = 3
 #: Up to so many spans a text is cut by offsets, beyond by its characters, as a cut by offset counts from the start.
 FEW = 64
@@ -143,9 +152,10 @@ def base_of(found: DataFrame) -> DataFrame:
 
 
 def instances(found: DataFrame, base: DataFrame) -> DataFrame:
-    """One row per token: place, index, value, span, seed kind or null, patterns.
+    """One row per token: place, index, value, span, seed kind or null, whether a base span touches it,
+    whether it is known to be no identifier, patterns.
 
-    A token is a seed if the base spans that start before its end reach beyond its start;
+    A token is a base seed if the base spans that start before its end reach beyond its start;
     a running maximum over the text tells.
     """
     none = F.lit(None).cast("string")
@@ -164,40 +174,64 @@ def instances(found: DataFrame, base: DataFrame) -> DataFrame:
         F.array(F.concat(F.lit("2:"), some(before), F.lit(" "), some(last)), F.concat(F.lit("1:"), some(last), F.lit(" _ "), some(F.lower("right")))),
         lambda p: p.isNotNull(),
     )
-    return rows.select(
+    told = rows.select(
         "_at", "_id", F.col("n").alias("i"), F.lower(core).alias("value"), (start + lead).alias("s"), (start + lead + F.length(core)).alias("e"),
-        F.when(F.col("reach.e") > start, F.col("reach.kind")).alias("seed"), patterns.alias("patterns"),
+        F.when(F.col("reach.e") > start, F.col("reach.kind")).alias("base"), patterns.alias("patterns"),
     )
+    seed = F.col("base")
+    for kind, shape in SHAPES.items():
+        seed = F.coalesce(seed, F.when(F.col("value").rlike(shape), kind))
+    candidate = (F.length("value") >= 6) & F.col("value").rlike("[0-9].*[0-9]|@")
+    return told.withColumn("seed", seed).withColumn("plain", F.col("seed").isNull() & ~candidate).withColumn("base", F.col("base").isNotNull())
 
 
 def discover(found: DataFrame, support: int = SUPPORT, bar: float = BAR, rounds: int = ROUNDS) -> DataFrame:
     """(_at, i, s, e, kind): instances that patterns of high confidence add."""
     edges = land(
-        found.select(F.explode("patterns").alias("pattern"), "value", "seed").groupBy("pattern", "value").agg(F.max("seed").alias("seed")),
+        found.select(F.explode("patterns").alias("pattern"), "value", "seed", "plain").groupBy("pattern", "value").agg(F.max("seed").alias("seed"), F.min("plain").alias("plain")),
         "pii-edges",
     )
-    total = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
+    total = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.count_if("plain").alias("plain"), F.count_if(F.col("seed").isNotNull()).alias("seeds"))
+    total = land(total.filter(F.col("seeds") >= support), "pii-totals")  # scores only grow from seeds
+    open_edges = edges.filter(~F.col("plain")).select("pattern", "value", "seed").join(total.select("pattern"), "pattern", "left_semi")
+    open_edges = land(open_edges, "pii-open-edges")
     seeds = edges.filter("seed is not null").groupBy("value").agg(F.max("seed").alias("kind")).withColumn("score", F.lit(1.0))
     values = land(seeds, "pii-values")
     strong = None
     for _ in range(rounds):
-        met = edges.select("pattern", "value").join(values, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("sum"), F.count(F.lit(1)).alias("seen"))
+        met = open_edges.select("pattern", "value").join(values, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("sum"), F.count(F.lit(1)).alias("seen"))
+        among = met.groupBy("pattern").agg(F.sum("sum").alias("all"))
+        confidence = F.col("sum") / (F.col("all") + F.col("plain"))
         strong = land(
-            met.join(total, "pattern").withColumn("confidence", F.col("sum") / F.col("n")).filter((F.col("seen") >= support) & (F.col("confidence") >= bar)).select("pattern", "kind", "confidence"),
+            met.join(among, "pattern").join(total, "pattern").withColumn("confidence", confidence)
+            .filter((F.col("seen") >= support) & (F.col("confidence") >= bar) & (F.col("sum") >= KNOWN * F.col("n"))).select("pattern", "kind", "confidence"),
             "pii-patterns",
         )
         # a value whose patterns all agree with confidence c has 1 - prod(1 - c)
         doubt = F.exp(F.sum(F.log1p(-F.least("confidence", F.lit(0.999)))))
-        fresh = (
-            edges.filter("seed is null").select("pattern", "value").join(strong, "pattern").groupBy("value", "kind").agg((1 - doubt).alias("score"))
+        new = (
+            open_edges.filter("seed is null").select("pattern", "value").join(strong, "pattern").groupBy("value", "kind").agg((1 - doubt).alias("score"))
             .filter(F.col("score") >= bar).groupBy("value").agg(F.max(F.struct("score", "kind")).alias("b")).select("value", F.col("b.kind").alias("kind"), F.col("b.score").alias("score"))
         )
-        values = land(seeds.unionByName(fresh.join(seeds.select("value"), "value", "left_anti")), "pii-values")
-    open_ = found.filter(F.col("seed").isNull() & (F.length("value") >= 6) & F.col("value").rlike("[0-9].*[0-9]|@"))
+        values = land(seeds.unionByName(new.join(seeds.select("value"), "value", "left_anti")), "pii-values")
+    open_ = found.filter(~F.col("base") & ~F.col("plain"))
     hits = open_.select("_at", "_id", "i", "s", "e", "value", F.explode("patterns").alias("pattern")).join(strong, "pattern").join(values.select("value", "kind"), ["value", "kind"])
     return hits.groupBy("_at", "_id", "i", "s", "e").agg(F.max(F.struct("confidence", "kind")).alias("b")).select("_at", "_id", "i", "s", "e", F.col("b.kind").alias("kind"))
 
 
+def held_out(docs: DataFrame, share: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per kind: seeds hidden by a hash of their value, and how many come back as the right and
+    as a wrong kind. It measures the discovery on any corpus without labels."""
+    found = land(matches(scan(docs, id_col, text_col)), "pii-matches")
+    told = land(instances(found, base_of(found)), "pii-instances")
+    hidden = F.col("seed").isNotNull() & (F.pmod(F.xxhash64("value"), F.lit(1000)) < int(1000 * share))
+    blind = told.withColumn("truth", F.when(hidden, F.col("seed"))).withColumn("seed", F.when(~hidden, F.col("seed"))).withColumn("base", F.col("base") & F.col("truth").isNull())
+    blind = land(blind, "pii-blind")
+    back = discover(blind).select("_at", "i", F.col("kind").alias("_kind"))
+    asked = blind.filter("truth is not null").select("_at", "i", "truth").join(back, ["_at", "i"], "left")
+    return asked.groupBy(F.col("truth").alias("kind")).agg(F.count(F.lit(1)).alias("hidden"), F.count_if(F.col("_kind") == F.col("truth")).alias("right"), F.count_if(F.col("_kind") != F.col("truth")).alias("wrong"))
+
+
 def _found(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(scan, base spans, added spans)."""
     scanned = scan(docs, id_col, text_col)
@@ -209,11 +243,11 @@ def _found(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Data
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, base and spans, arrays of (kind, start, end), in order."""
     scanned, base, more = _found(docs, id_col, text_col)
-    order = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))])
+    order = F.create_map(*[x for i, k in enumerate(ALL_KINDS) for x in (F.lit(k), F.lit(i))])
     rows = base.select("_at", "o", "s", "e", F.lit(True).alias("b")).unionByName(more.select("_at", order[F.col("kind")].alias("o"), "s", "e", F.lit(False).alias("b")))
     span = F.struct("o", "s", "e")
     told = rows.groupBy("_at").agg(F.array_sort(F.collect_list(F.when(F.col("b"), span))).alias("_base"), F.array_sort(F.collect_list(span)).alias("_spans"))
-    names = F.array(*map(F.lit, KINDS))
+    names = F.array(*map(F.lit, ALL_KINDS))
     none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
     shown = lambda c: F.coalesce(F.transform(c, lambda x: F.struct(F.element_at(names, x["o"] + 1).alias("kind"), x["s"].alias("start"), x["e"].alias("end"))), none)
     return scanned.select("_at", "_id").join(told, "_at", "left").select(F.col("_id").alias(id_col), shown("_base").alias("base"), shown("_spans").alias("spans"))
@@ -248,8 +282,9 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     groups = placed.withColumn("first", F.when(reach > F.col("s"), 0).otherwise(1)).withColumn("g", F.sum("first").over(order))
     longest = F.max(F.struct(F.col("e") - F.col("s"), F.col("kind")))["kind"]
     merged = groups.groupBy("_id", "_h", "g").agg(F.min("s").alias("s"), F.max("e").alias("e"), longest.alias("kind"))
-    places = merged.groupBy("_id", "_h").agg(F.array_sort(F.collect_list(F.struct("s", "e", "kind"))).alias("_places"))
-    places = land(places.select(F.col("_id").alias("_place_id"), F.col("_h").alias("_place_h"), "_places"), "pii-places")
-    out = docs.join(places, docs[id_col].eqNullSafe(F.col("_place_id")) & (F.xxhash64(docs[text_col]) == F.col("_place_h")), "left")
-    text = F.when(F.col("_places").isNull(), docs[text_col]).otherwise(_replaced(docs[text_col], F.col("_places")))
-    return out.select(*(text.alias(c) if c == text_col else docs[c] for c in docs.columns))
+    own, at, put = fresh("_own_id", docs), fresh("_own_h", docs), fresh("_places", docs)
+    places = merged.groupBy("_id", "_h").agg(F.array_sort(F.collect_list(F.struct("s", "e", "kind"))).alias(put))
+    places = land(places.select(row_key(F.col("_id"), F.col("_h")).alias(own), put), "pii-places")
+    out = docs.withColumn(at, row_key(F.col(id_col), F.xxhash64(text_col))).join(places, F.col(at) == F.col(own), "left")
+    text = F.when(F.col(put).isNull(), F.col(text_col)).otherwise(_replaced(F.col(text_col), F.col(put)))
+    return out.select(*(text.alias(c) if c == text_col else F.col(c) for c in docs.columns))
