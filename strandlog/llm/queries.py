@@ -20,7 +20,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
     told = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
-    return found.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2(told("base"), 256).alias("base_sha256"), told("spans").alias("spans"))
+    return found.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2(told("base"), 256).alias("base_sha256"), told("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +72,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(removed, F.lit(0)).cast("long").alias("n_removed"),
         F.when(F.col("spans").isNull(), 0).otherwise(F.size("spans")).cast("long").alias("n_spans"),
         F.coalesce(F.sha2("kept", 256), F.col("text_sha256")).alias("kept_sha256"),
+        "n_passages",
     )
 
 
@@ -141,6 +142,39 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.co
 FROM documents d JOIN c ON d.doc_id = c.node LEFT JOIN n ON d.doc_id = n.doc_id
 """
 
+OP9_SQL = r"""
+WITH b AS (
+  SELECT doc_id, coalesce(text, '') AS t, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), w AS (
+  SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 800)) AS k FROM (SELECT doc_id, h, unnest(range(n - 399)) AS i FROM b WHERE n >= 400)
+), r AS (
+  SELECT doc_id, i FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)
+), g AS (
+  SELECT doc_id, i, sum(CASE WHEN i > before + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run
+  FROM (SELECT doc_id, i, coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -1000) AS before FROM r)
+), s AS (
+  SELECT doc_id, run, min(i) AS a, max(i) + 400 AS z FROM g GROUP BY doc_id, run
+), o AS (
+  SELECT doc_id, run, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY run), 0) AS from_, lead(a) OVER (PARTITION BY doc_id ORDER BY run) IS NULL AS last_ FROM s
+), k AS (
+  SELECT o.doc_id, count(*) AS n_spans, sum(z - a)::BIGINT AS n_removed,
+         string_agg(substr(h, 2 * from_ + 1, 2 * (a - from_)), '' ORDER BY run) || max(CASE WHEN last_ THEN substr(h, 2 * z + 1) END) AS kept
+  FROM o JOIN b ON o.doc_id = b.doc_id GROUP BY o.doc_id
+), q AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM b
+), v AS (
+  SELECT doc_id, i, md5_number(array_to_string(ws[i:i + 50], ' ')) AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 49)) AS i FROM q WHERE len(ws) >= 51)
+), vr AS (
+  SELECT doc_id, i FROM v WHERE k IN (SELECT k FROM v GROUP BY k HAVING min(doc_id) <> max(doc_id))
+), p AS (
+  SELECT doc_id, sum(CASE WHEN i > before + 51 THEN 1 ELSE 0 END)::BIGINT AS n_passages
+  FROM (SELECT doc_id, i, coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -1000) AS before FROM vr) GROUP BY doc_id
+)
+SELECT b.doc_id, b.n::BIGINT AS n_bytes, coalesce(k.n_removed, 0)::BIGINT AS n_removed, coalesce(k.n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(k.kept, h))) AS kept_sha256, coalesce(p.n_passages, 0)::BIGINT AS n_passages
+FROM b LEFT JOIN k ON b.doc_id = k.doc_id LEFT JOIN p ON b.doc_id = p.doc_id
+"""
+
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_pii": op2_pii,
@@ -159,4 +193,5 @@ ORACLES = {
     "op1_embedding_dedup": OP1_SQL,
     "op3_exact_dedup": OP3_SQL,
     "op4_warc": OP4_SQL,
+    "op9_suffix_dedup": OP9_SQL,
 }

@@ -19,7 +19,13 @@ A byte goes if a string of ``WIDTH`` bytes that covers it also starts anywhere e
    at random; each pair of these is merged by binary search of the one's suffixes in the
    other's array.
 
-Equal texts are one text with a weight all along. Nothing is collected on the driver.
+Equal texts are one text with a weight all along. Nothing is collected on the driver. Anchors and cores
+that very many rows share are dealt over many tasks wherever they are joined.
+
+Beside the bytes, ``n_passages`` counts the maximal runs of at least ``PASSAGE`` words of a document that occur in
+another document too, words compared without the case of A-Z and runs of white space alike. It reports, also
+where a passage is shorter than WIDTH, and removes nothing. Winnowing over words sieves first; hashes of all the
+strings of ``PASSAGE`` words that the anchors left own are then counted.
 
 Defined results: null counts as empty; texts shorter than WIDTH lose nothing; repeated rows
 are equal texts, so each loses all its bytes if it has WIDTH of them; overlapping
@@ -36,11 +42,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import land, ship
-from .shingles import _P, _P_INVERSE, _power, mix
+from ._common import heavy_keys, land, ship, spread_join, unland
+from .shingles import _P, _P_INVERSE, _power, mix, words
 
 WIDTH = 400
 GRAM = 32
+#: Words of a passage, at least, and of the grams that sieve passages.
+PASSAGE, WORD_GRAM = 51, 12
 SHARD_BYTES = 2 << 20
 #: Bytes of text that are sieved at once.
 CHUNK = 1 << 18
@@ -115,6 +123,77 @@ def _anchors(b: np.ndarray, width: int, ends: np.ndarray):
 _BYTE_CASED = np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def _winnow(h: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first start, last start, place) of the smallest hash (the last of equal ones) of every ``span`` in a row."""
+    m = np.lib.stride_tricks.sliding_window_view(h[::-1], span)
+    chosen = len(h) - 1 - (np.arange(len(m)) + m.argmin(axis=1))
+    chosen = chosen[::-1]
+    new = np.flatnonzero(np.diff(chosen, prepend=-1))
+    return new, np.append(new[1:], len(chosen)) - 1, chosen[new]
+
+
+def _sums(w: np.ndarray, k: int) -> np.ndarray:
+    """A hash of every ``k`` words in a row, from the words' hashes."""
+    n = len(w)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(w * _power(_P, n), out=total[1:])
+    return mix((total[k:] - total[:-k]) * _power(_P_INVERSE, n + 1)[: n - k + 1])
+
+
+def passages(rows: DataFrame, copies: DataFrame, k: int = PASSAGE) -> DataFrame:
+    """(_d, _passages): texts with runs of at least ``k`` words that another document holds too.
+
+    ``rows`` has _k, _d and _text, ``copies`` _d, _times and the _k of a row with that text.
+    """
+
+    def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, lo, hi, key = [], [], [], []
+            for i, t in enumerate(batch.column(1)):
+                w = words(_raw(t.as_py()))
+                if len(w) >= k:
+                    h = _sums(w, WORD_GRAM)
+                    a, b, p = _winnow(h, k - WORD_GRAM + 1)
+                    of.append(np.full(len(a), i))
+                    lo.append(a)
+                    hi.append(b)
+                    key.append(h[p])
+            if of:
+                of = pa.array(np.concatenate(of))
+                ints = (pa.array(np.concatenate(x).astype(np.int32)) for x in (lo, hi))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(of), *ints, pa.array(np.concatenate(key).view(np.int64))], ["_d", "_lo", "_hi", "_key"])
+
+    found = land(rows.select("_d", "_text").mapInArrow(sieve, "_d binary, _lo int, _hi int, _key long"), "word-anchors")
+    counts = found.groupBy("_key").agg(F.min("_d").alias("_a"), F.max("_d").alias("_b"), F.count(F.lit(1)).alias("_rows"))
+    again = land(counts.filter("_a <> _b").select("_key", "_rows"), "word-keys")
+    held = spread_join(found, again.select("_key"), ["_key"], heavy_keys(again), "left_semi")
+    own = held.groupBy("_d").agg(F.collect_set(F.struct("_lo", "_hi")).alias("_own"))
+    asked = own.join(copies, "_d").select("_k", "_d", "_own")
+
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (whole.slice(i, 64) for whole in batches for i in range(0, whole.num_rows, 64)):
+            of, places, hashes = [], [], []
+            for i, (own, t) in enumerate(zip(batch.column(1), batch.column(2))):
+                h = _sums(words(_raw(t.as_py())), k)
+                at = np.unique(np.concatenate([np.arange(x["_lo"], x["_hi"] + 1) for x in own.as_py()]))
+                of.append(np.full(len(at), i))
+                places.append(at.astype(np.int32))
+                hashes.append(h[at].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(of))), pa.array(np.concatenate(places)), pa.array(np.concatenate(hashes))], ["_d", "_at", "_h"])
+
+    texts = rows.join(asked, ["_k", "_d"]).dropDuplicates(["_d"]).select("_d", "_own", "_text")
+    seen = land(texts.mapInArrow(strings, "_d binary, _at int, _h long"), "word-strings")
+    twice = land(seen.groupBy("_h").agg(F.min("_d").alias("_a"), F.max("_d").alias("_b"), F.count(F.lit(1)).alias("_rows")).filter("_a <> _b").select("_h", "_rows"), "word-strings-again")
+    shared = spread_join(seen, twice.select("_h"), ["_h"], heavy_keys(twice), "left_semi", ["_d", "_at"])
+    starts = shared.groupBy("_d").agg(F.sort_array(F.collect_set("_at")).alias("_at"))
+    step = lambda acc, x: F.struct((acc["n"] + F.when(x > acc["last"] + k, 1).otherwise(0)).alias("n"), x.alias("last"))
+    runs_ = F.aggregate("_at", F.struct(F.lit(0).alias("n"), F.lit(-k - 1).alias("last")), step)["n"].cast("long")
+    # a text that occurs several times is one run throughout; single ones are told by their strings
+    whole = found.select("_d").distinct().join(copies.filter("_times > 1").select("_d"), "_d").select("_d", F.lit(1).cast("long").alias("_passages"))
+    single = starts.join(copies.filter("_times = 1").select("_d"), "_d").select("_d", runs_.alias("_passages"))
+    return single.unionByName(whole)
+
+
 def halves(lo: int, hi: int, p: int, width: int) -> list[tuple[int, int, tuple[int, int]]]:
     """The starts lo..hi of the anchor at p as (first, last, core) of each half.
 
@@ -308,7 +387,7 @@ def _shard_runs(group: pa.Table, width: int) -> list[tuple[int, list[tuple[int,
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """One row per document: id, n_bytes, text_sha256, spans, kept.
+    """One row per document: id, n_bytes, text_sha256, spans, kept, n_passages.
 
     ``spans`` are the maximal runs removed, as byte offsets (start, end exclusive);
     ``kept`` holds the remaining bytes where something was removed, else null.
@@ -333,12 +412,15 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
 
     found = land(rows.select("_d", "_text").mapInArrow(sieve, "_d binary, _lo int, _hi int, _p int, _key long"), "anchors")
     site = F.xxhash64("_d", "_lo")
-    again = found.groupBy("_key").agg(F.min(site).alias("_a"), F.max(site).alias("_b")).filter("_a <> _b").select("_key")
-    lists = found.join(again, "_key", "left_semi").groupBy("_d").agg(F.collect_set(F.struct("_lo", "_hi", "_p")).alias("_own"))
-    copies = base.groupBy("_d").agg(F.count(F.lit(1)).alias("_times"), F.min("_id").alias("_rep"))
-    wanted = lists.join(copies, "_d").select(id_text(F.col("_rep")).alias("_k"), "_d", "_times", "_own")
+    again = found.groupBy("_key").agg(F.min(site).alias("_a"), F.max(site).alias("_b"), F.count(F.lit(1)).alias("_rows")).filter("_a <> _b").select("_key", "_rows")
+    again = land(again, "anchor-keys")
+    lists = spread_join(found, again.select("_key"), ["_key"], heavy_keys(again), "left_semi", ["_d", "_lo"]).groupBy("_d").agg(F.collect_set(F.struct("_lo", "_hi", "_p")).alias("_own"))
+    copies = land(base.groupBy("_d").agg(F.count(F.lit(1)).alias("_times"), F.min("_id").alias("_rep")).select("_d", "_times", id_text(F.col("_rep")).alias("_k")), "text-counts")
+    wanted = lists.join(copies, "_d").select("_k", "_d", "_times", "_own")
     suspects = land(rows.join(wanted, ["_k", "_d"]).dropDuplicates(["_k", "_d"]).select("_d", "_times", "_own", "_text"), "suspects")
 
+    unland(found)
+
     def name_extracts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             of, lo, hi, key, name = [], [], [], [], []
@@ -361,9 +443,12 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
 
     named = land(suspects.mapInArrow(name_extracts, "_d binary, _times long, _lo int, _hi int, _key long, _e binary"), "extract-sites")
     e = F.xxhash64("_e")
-    cores = named.groupBy("_key").agg(F.sum("_times").alias("_all"), F.min(e).alias("_a"), F.max(e).alias("_b")).filter("_all > 1")
-    alone = cores.filter("_a = _b").select("_key")
-    sites = named.join(cores.filter("_a <> _b").select("_key"), "_key", "left_semi")
+    cores = named.groupBy("_key").agg(F.sum("_times").alias("_all"), F.min(e).alias("_a"), F.max(e).alias("_b"), F.count(F.lit(1)).alias("_rows")).filter("_all > 1")
+    cores = land(cores.select("_key", "_rows", (F.col("_a") == F.col("_b")).alias("_alone")), "core-keys")
+    heavy = heavy_keys(cores.select("_key", "_rows"))
+    sited = land(spread_join(named, cores.drop("_rows"), ["_key"], heavy, by=["_d", "_lo"]), "cored-sites")
+    unland(named)
+    sites = sited.filter(~F.col("_alone")).drop("_alone")
     extracts = sites.groupBy("_key", "_e").agg(F.sum("_times").alias("_weight"), F.min(F.struct("_d", "_lo", "_hi")).alias("_at"))
     picked = extracts.groupBy(F.col("_at._d").alias("_d")).agg(F.collect_list(F.struct("_key", "_e", "_weight", F.col("_at._lo").alias("_lo"), F.col("_at._hi").alias("_hi"))).alias("_take"))
 
@@ -397,9 +482,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
         return pa.table({"_key": group.column("_key").take(at), "_e": group.column("_e").take(at), "_runs": pa.array(flat, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))})
 
     told = land(placed.groupBy("_shard", "_i", "_j").applyInArrow(work, "_key long, _e binary, _runs array<struct<a: long, b: long>>"), "repeats")
-    spots = sites.join(told, ["_key", "_e"]).select("_d", F.transform("_runs", lambda r: F.struct((r["a"] + F.col("_lo")).alias("a"), (r["b"] + F.col("_lo") + width).alias("b"))).alias("_runs"))
+    often = land(sites.groupBy("_key", "_e").agg(F.count(F.lit(1)).alias("_rows")), "extract-counts")
+    spots = spread_join(sites, told, ["_key", "_e"], heavy_keys(often), by=["_d", "_lo"]).select("_d", F.transform("_runs", lambda r: F.struct((r["a"] + F.col("_lo")).alias("a"), (r["b"] + F.col("_lo") + width).alias("b"))).alias("_runs"))
     full = F.array(F.struct(F.col("_lo").cast("long").alias("a"), (F.col("_hi") + width).cast("long").alias("b")))
-    spots = spots.unionByName(named.join(alone, "_key", "left_semi").select("_d", full.alias("_runs")))
+    spots = spots.unionByName(sited.filter("_alone").select("_d", full.alias("_runs")))
     covered = spots.groupBy("_d").agg(F.flatten(F.collect_list("_runs")).alias("_runs"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -423,6 +509,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     whole = base.filter(F.col("_n") >= width).groupBy("_d", "_n").agg(F.count(F.lit(1)).alias("_times")).filter("_times > 1").select(
         "_d", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("_n").alias("end"))).alias("_spans"), F.lit(b"").cast("binary").alias("_kept")
     )
-    return base.join(cuts.unionByName(whole), "_d", "left").select(
-        F.col("_id").alias(id_col), F.col("_n").alias("n_bytes"), F.col("_sha").alias("text_sha256"), F.col("_spans").alias("spans"), F.col("_kept").alias("kept")
+    told = cuts.unionByName(whole).join(passages(rows, copies), "_d", "full")
+    heavy = heavy_keys(copies.select("_d", F.col("_times").alias("_rows")))
+    return spread_join(base, told, ["_d"], heavy, "left", ["_id"]).select(
+        F.col("_id").alias(id_col), F.col("_n").alias("n_bytes"), F.col("_sha").alias("text_sha256"), F.col("_spans").alias("spans"), F.col("_kept").alias("kept"),
+        F.coalesce("_passages", F.lit(0)).cast("long").alias("n_passages"),
     )
