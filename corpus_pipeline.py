@@ -1,8 +1,13 @@
 """A corpus pipeline over ``documents``: filter, deduplicate, redact, pack.
 
 Each stage takes what its predecessor kept and returns the columns of ``documents``; the
-last returns the packed pieces. ``run`` writes every stage's rows to the shared folder as
+last returns the packed pieces with their ids. ``run`` writes every stage's rows to the shared folder as
 Parquet and reads them again, so a lost executor costs at most one stage's tasks.
+
+Defined results: null and empty texts are not toxic, equal to each other (one of them stays), near nothing, hold no personal
+data and are one piece of the end id. Rows with a null id are scored and compared like others. Of rows that
+are repeated, under one id or several, one stays; an id with several texts keeps one row per text that
+stays. An empty table gives no rows. Further columns of ``documents`` ride along up to the packing, whatever they are called.
 """
 
 from __future__ import annotations
@@ -38,8 +43,8 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their sequence and offset."""
-    return packing.pack(docs, keep_ids=False)
+    """Token pieces with their ids, sequence and offset."""
+    return packing.pack(docs)
 
 
 STAGES = [

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import broadcast_bytes, tokenizer_path
+from ._common import broadcast_bytes, fresh, tokenizer_path
 
 #: Pre-token pattern of the public byte-level vocabularies; fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -218,5 +218,6 @@ def encode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", path: st
 def decode(df: DataFrame, ids_col: str = "ids", bytes_col: str = "bytes", path: str | None = None, shared: _Shared | None = None, keep_ids: bool = True) -> DataFrame:
     """``df`` with the bytes of its ids; null ids decode to no bytes."""
     shared = shared or shared_codec(df, path)
-    held = df.withColumn("_ids", F.col(ids_col)) if keep_ids else df.withColumnRenamed(ids_col, "_ids")
-    return _mapped(held, "_ids", bytes_col, lambda: (lambda x, d=shared.get().decode: d(x or b"")))
+    source = fresh("_ids", df)
+    held = df.withColumn(source, F.col(ids_col)) if keep_ids else df.withColumnRenamed(ids_col, source)
+    return _mapped(held, source, bytes_col, lambda: (lambda x, d=shared.get().decode: d(x or b"")))

@@ -8,7 +8,8 @@ Hosts and paths get posteriors from the evidence of all their documents: the mea
 evidence of a host shrinks toward the global mean, that of a path toward its host's
 posterior, each with a prior strength estimated from the data (method of moments over
 the groups), so sparse sites say little and large ones speak for themselves. The final
-log-odds add the document's own to the path posterior's shift from the global mean.
+log-odds combine the document's own with the path posterior's shift from the global mean; how
+much each of them counts is fitted on the labelled sample.
 
 Groups are aggregated by partial sums and counts only; a host with a third of all rows
 costs one row per task before the shuffle.
@@ -29,12 +30,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import broadcast_bytes, land
+from ._common import broadcast_bytes, heavy_keys, land, spread_join
 
 SAMPLE = 4000
 FOLDS = 5
-#: The site's shift enters the final log-odds with this weight.
-SITE_WEIGHT = 0.5
 
 
 _PLAIN = re.compile(r"[\w\s.,;:'\"()!?-]+").findall
@@ -102,15 +101,34 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(FOLDS)) == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int = SAMPLE) -> Shape:
+def labelled(labels: DataFrame, id_col: str, label_col: str, sample: int = SAMPLE) -> DataFrame:
+    """(_id, _label): at most ``sample`` labelled ids outside the held-out fold, by a hash."""
     i = F.col(id_col)
-    picked = (
+    return (
         labels.filter(i.isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(i))
         .select(i.alias("_id"), F.col(label_col).cast("int").alias("_label"))
         .orderBy(F.xxhash64("_id"), "_id", "_label")
         .limit(sample)
     )
-    rows = docs.select(i.alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(picked), "_id").select("_text", "_label").toArrow()
+
+
+def weigh(own: np.ndarray, site: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights of a document's own log-odds and its site's shift, and an offset, by penalised
+    likelihood: without labels to tell, one, one and zero."""
+    prior = np.array([1.0, 1.0, 0.0])
+    if len(y) < 2 or len(set(y.tolist())) < 2:
+        return prior
+    x, w = np.stack([own, site, np.ones(len(y))], 1), prior.copy()
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        h = (x * (p * (1 - p))[:, None]).T @ x + np.eye(3)
+        w = w - np.clip(np.linalg.solve(h, x.T @ (p - y) + (w - prior)), -1, 1)
+    return np.array([max(w[0], 0.0), max(w[1], 0.0), w[2]])
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int = SAMPLE) -> Shape:
+    picked, i = labelled(labels, id_col, label_col, sample), F.col(id_col)
+    rows = docs.select(i.alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(picked), "_id").orderBy("_id", "_label", F.sha2("_text", 256)).select("_text", "_label").toArrow()
     return Shape.fit(rows["_text"].to_pylist(), np.array(rows["_label"].to_pylist(), int))
 
 
@@ -162,9 +180,14 @@ def classify(
     nested = nested.select("_host", "_path", "host_posterior", ((F.col("s") + path_strength * F.col("host_posterior")) / (F.col("n") + path_strength)).alias("path_posterior"))
     clip = lambda p: F.least(F.lit(1 - 1e-6), F.greatest(F.lit(1e-6), p))
     odds = lambda p: F.log(clip(p) / (1 - clip(p)))
-    z = odds(F.col("_p")) + SITE_WEIGHT * (odds(F.col("path_posterior")) - odds(F.lit(overall)))
+    nested = land(nested, "quality-posteriors")
+    joined = spread_join(seen, nested, ["_host", "_path"], heavy_keys(paths.select("_host", "_path", "n"), "n"), by=["_id", "_p"])
+    joined = joined.withColumn("_own", odds(F.col("_p"))).withColumn("_site", odds(F.col("path_posterior")) - odds(F.lit(overall)))
+    fitted = joined.select("_id", "_own", "_site").join(F.broadcast(labelled(labels, id_col, label_col)), "_id").orderBy("_id", "_label", "_own", "_site").toArrow()
+    own, site, offset = weigh(fitted["_own"].to_numpy(), fitted["_site"].to_numpy(), fitted["_label"].to_numpy()).tolist()
+    z = own * F.col("_own") + site * F.col("_site") + offset
     score = 1 / (1 + F.exp(-z))
-    return seen.join(nested, ["_host", "_path"]).select(
+    return joined.select(
         F.col("_id").alias(id_col), F.coalesce(held_out(F.col("_id")), F.lit(False)).alias("held_out"), F.col("_p").alias("evidence"),
         "host_posterior", "path_posterior", score.alias("score"), (score >= threshold).alias("kept"),
     )
