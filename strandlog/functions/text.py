@@ -42,6 +42,11 @@ def escape_text(s: str) -> str:
     return "".join(ESCAPES.get(ch, ch) for ch in s)
 
 
+def toml_text(s: str) -> str:
+    """Text for a quoted TOML value: quotes and backslashes get a backslash."""
+    return "".join("\\" + ch if ch in '"\\' else ch for ch in s)
+
+
 def unescape_text(s: str) -> str:
     back = {v[1]: k for k, v in ESCAPES.items()}
     out, chars = [], iter(s)

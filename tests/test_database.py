@@ -351,6 +351,29 @@ def test_schema_changes(db, spark, tmp_path):
     assert grown.count("tags") == 1 and grown.count("users") == 2
 
 
+def test_a_schema_grows_in_three_steps(spark, tmp_path):
+    """Notebooks, then notes, then tags; rows of earlier steps stay, lookups of later ones work."""
+    v1 = "notebooks { id id; title text; created_at int; lookup title; }"
+    v2 = v1 + " notes { id id; notebook_id id; title text; body text; updated_at int; lookup notebook_id; lookup updated_at; }"
+    v3 = v2 + " tags { id id; note_id id; label text; created_at int; lookup note_id; lookup label; }"
+    at = lambda text: Database(spark, "file://" + str(tmp_path), "ws", compile_schema("schema! { " + text + " }")).init()
+    db = at(v1)
+    db.insert("notebooks", {"id": "b1", "title": "first", "created_at": 1})
+    db = at(v2)
+    assert db.get(selector.many("notebooks", "title", "first"))[0]["id"] == "b1" and db.count("notes") == 0
+    db.insert("notes", {"id": "n1", "notebook_id": "b1", "title": "t", "body": "x", "updated_at": 2})
+    db = at(v3)
+    db.insert_many("tags", [{"id": f"t{i}", "note_id": "n1", "label": "red", "created_at": i} for i in range(3)])
+    for i in range(5):  # repeated updates of one row, then compaction
+        db.patch_by_id("notes", "n1", {"updated_at": 10 + i})
+    c = db.compact("notes")
+    assert (c.live_rows, c.batches_before) == (1, 6) and db.get_by_id("notes", "n1")["updated_at"] == 14
+    assert db.count("tags", "label", "red") == 3 and db.get_by_id("notebooks", "b1")["created_at"] == 1
+    old = Database(spark, "file://" + str(tmp_path), "ws", compile_schema("schema! { " + v1 + " }"))
+    assert old.init().count("notebooks") == 1 and old.insert("notebooks", {"id": "b2", "title": "z", "created_at": 3}).rows == 1
+    assert at(v3).count("notes") == 1 and at(v3).count("notebooks") == 2  # an older schema leaves the other tables be
+
+
 def test_segments_in_and_out(db, spark, tmp_path):
     db.insert_many("notes", [note("a", title="x\ty"), note("b")])
     db.delete("notes", "a")

@@ -200,3 +200,24 @@ def test_pack_files(spark, tmp_path):
     r = pack.records(pack.lines(spark, str(tmp_path / "p")))
     assert sorted(map(tuple, pack.messages(r).collect())) == sorted(map(tuple, msgs.collect()))
     assert sorted(map(tuple, pack.conversations(r).collect())) == sorted(map(tuple, convs.collect()))
+
+
+def test_toml_text():
+    assert fn.toml_text('a "b" \\ c') == 'a \\"b\\" \\\\ c' and fn.toml_text("") == ""
+
+
+def test_older_projection(spark, tmp_path):
+    from strandlog.sources import projection
+
+    path = tmp_path / "p"
+    path.write_text("SIXB\t1\tmessages\tschema\tsource\nrow\tm1\tzzz.6\t42\t18\t7\n\nrow\tm\\t2\tzzy.6\t0\t5\t8\nlookup\tconversation_id\tcv1\tm1\n")
+    head, rows, lookups = projection.read(spark, str(path))
+    assert head == {"version": 1, "table": "messages", "schema_hash": "schema", "source_hash": "source"}
+    assert sorted(map(tuple, rows.collect())) == [("m\t2", "zzy.6", 0, 5, 8), ("m1", "zzz.6", 42, 18, 7)]
+    assert [tuple(r) for r in lookups.collect()] == [("conversation_id", "cv1", "m1")]
+    path.write_text("junk\n")
+    with pytest.raises(FormatError):
+        projection.read(spark, str(path))
+    path.write_text("SIXB\t1\tm\ts\ts\nrow\tonly\n")
+    with pytest.raises(Exception, match="no entry"):
+        projection.read(spark, str(path))[1].collect()
