@@ -51,7 +51,7 @@ DEEPEST = 16
 #: Classes from which on a region is taken apart.
 REGION = 1024
 #: Classes and bytes of text of a block.
-BLOCK, BLOCK_BYTES = 1024, 8 << 20
+BLOCK, BLOCK_BYTES = 512, 8 << 20
 #: Estimates below this share of the threshold are not confirmed.
 LEAST = 0.66
 #: Trees of each round: the first ones connect most groups.
@@ -259,6 +259,8 @@ def members(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
         if met.isEmpty():
             continue
         new = confirmed(met, texts, comps, words, percent)
+        if links is not None and new.isEmpty():
+            continue
         links = new if links is None else links.unionByName(new)
         comps = components(links)
     unland(texts)
