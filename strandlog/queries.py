@@ -636,3 +636,140 @@ def window_counts(spark, sf):
     q = counts.writeStream.outputMode("complete").option("checkpointLocation", scratch(spark, "check")).foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{out}/last")).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(f"{out}/last").select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
+
+
+# -- the interface ---------------------------------------------------------------------
+
+SCHEMA_TEXT = """schema! {
+  users { id id; name text; email text; is_ai_user bool; lookup email unique; }
+  chats { id id; owner_id id; title text; created_at int; score float; lookup owner_id; lookup created_at; }
+}"""
+
+
+@query("""SELECT * FROM (VALUES
+('chats', 0, 'id', 'id', 'unique'), ('chats', 1, 'owner_id', 'id', 'many'), ('chats', 2, 'title', 'text', NULL), ('chats', 3, 'created_at', 'int', 'many'), ('chats', 4, 'score', 'float', NULL),
+('users', 0, 'id', 'id', 'unique'), ('users', 1, 'name', 'text', NULL), ('users', 2, 'email', 'text', 'unique'), ('users', 3, 'is_ai_user', 'bool', NULL)) t(name, place, field, kind, lookup)""")
+def schema_text(spark, sf):
+    """Tables, fields and lookups of a compiled schema text."""
+    from .ddl import compile_schema
+
+    rows = []
+    for t in compile_schema(SCHEMA_TEXT).tables.values():
+        lookups = {x.field: "unique" if x.unique else "many" for x in t.all_lookups}
+        rows += [(t.name, i, f.name, f.kind, lookups.get(f.name)) for i, f in enumerate(t.fields)]
+    return spark.createDataFrame(rows, "name string, place int, field string, kind string, lookup string")
+
+
+@query("""SELECT r_name AS text, CAST(list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(range(1, length(r_name) + 1), lambda i: ord(r_name[i])::UHUGEINT)),
+lambda h, b: (xor(h, b) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT) AS VARCHAR) AS hash FROM region""")
+def text_hash(spark, sf):
+    """64-bit FNV-1a of the region names."""
+    from .functions.hashing import fnv1a64
+
+    names = [r["r_name"] for r in _read(spark, sf, "region").collect()]
+    return spark.createDataFrame([(n, str(fnv1a64(n.encode()))) for n in names], "text string, hash string")
+
+
+@query("""SELECT * FROM (VALUES (0, 'SIX' || chr(9) || '1' || chr(9) || 'table' || chr(9) || 'notes' || chr(9) || 'h'), (1, '@field' || chr(9) || 'id' || chr(9) || 'id'), (2, '@field' || chr(9) || 'role' || chr(9) || 'text'),
+(3, '@field' || chr(9) || 'body' || chr(9) || 'text'), (4, '@field' || chr(9) || 'turn' || chr(9) || 'int'), (5, '@lookup' || chr(9) || 'id' || chr(9) || 'unique'), (6, '@data'),
+(7, 'id' || chr(9) || 'role' || chr(9) || 'body' || chr(9) || 'turn')) t(place, line)""")
+def segment_preamble(spark, sf):
+    """The lines a segment starts with, and the header of the older form."""
+    lines = [*segment.preamble(NOTES, "h").splitlines(), segment.header(NOTES)]
+    return spark.createDataFrame(list(enumerate(lines)), "place int, line string")
+
+
+@query(f"WITH {CUSTOMERS_SQL} SELECT id, c_name, CASE WHEN id = '5' THEN 'APPLIED' ELSE c_mktsegment END AS c_mktsegment, c_acctbal FROM c WHERE id NOT IN ('3', '4')")
+def database_delete(spark, sf):
+    """Tombstones, also of a row that never was, and records put and deleted as operations."""
+    db = _database(spark, CUSTOMERS)
+    c = customers(spark, sf)
+    db.append_frame("customers", c)
+    db.delete("customers", "3")
+    db.delete("customers", "never")
+    rows = {r["id"]: r.asDict() for r in c.filter("id IN ('4', '5')").collect()}
+    db.apply("delete", "customers", rows["4"])
+    db.apply("put", "customers", rows["5"] | {"c_mktsegment": "APPLIED"})
+    return db.live("customers")
+
+
+@query(f"WITH {CUSTOMERS_SQL}, {ORDERS_SQL} SELECT 'customers' AS name, count(*) + 1 AS n FROM c UNION ALL SELECT 'orders', count(*) - 1 FROM o")
+def database_several_tables(spark, sf):
+    """Changes of two tables in one commit."""
+    db = _database(spark, CUSTOMERS, ORDERS)
+    db.append_frame("customers", customers(spark, sf))
+    db.append_frame("orders", orders(spark, sf))
+    before = db.revision
+    some = db.scan("orders", 1).rows[0]["id"]
+    db.apply_changes([change.add("customers", {"id": "x", "c_name": "x", "c_mktsegment": "X", "c_acctbal": 0.0}), change.remove_id("orders", some)])
+    assert db.revision == before + 1
+    return spark.createDataFrame([(t, db.count(t)) for t in ("customers", "orders")], "name string, n long")
+
+
+@query(f"WITH {CUSTOMERS_SQL} SELECT id, c_name, c_mktsegment, c_acctbal FROM c WHERE id <> '7'")
+def database_rebuild(spark, sf):
+    """A snapshot computed from the whole log, exported as Parquet and read back."""
+    db = _database(spark, CUSTOMERS)
+    db.append_frame("customers", customers(spark, sf))
+    db.write(change.remove_id("customers", "7"))
+    db.rebuild("customers")
+    assert not db.refresh("customers")
+    folder = scratch(spark, "export")
+    db.export_snapshot("customers", folder)
+    return spark.read.parquet(folder).select("id", "c_name", "c_mktsegment", "c_acctbal")
+
+
+@query(f"WITH {CUSTOMERS_SQL} SELECT id, c_mktsegment, c_acctbal FROM c")
+def database_drop_field(spark, sf):
+    db = _database(spark, CUSTOMERS)
+    db.append_frame("customers", customers(spark, sf))
+    return db.drop_field("customers", "c_name").live("customers")
+
+
+@query(f"""WITH {CUSTOMERS_SQL} SELECT 'one' AS what, id FROM c WHERE c_name = (SELECT min(c_name) FROM c) UNION ALL SELECT 'many', id FROM c WHERE c_mktsegment = 'BUILDING'
+UNION ALL SELECT 'count', CAST(count(*) AS VARCHAR) FROM c WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT 'all', CAST(count(*) AS VARCHAR) FROM c
+UNION ALL (SELECT 'page', id FROM c ORDER BY id LIMIT 5) UNION ALL (SELECT 'handle', id FROM c WHERE c_name = (SELECT max(c_name) FROM c)) UNION ALL SELECT 'json', id FROM c WHERE id = '2'""")
+def database_requests(spark, sf):
+    """Requests of every kind: by unique key, by lookup, counts, pages, handles, and a plan as JSON."""
+    from .plans import Plan
+
+    db = _database(spark, CUSTOMERS)
+    c = customers(spark, sf)
+    db.append_frame("customers", c)
+    db.refresh("customers")
+    low, high = c.agg(F.min("c_name"), F.max("c_name")).first()
+    building, many, after = selector.many("customers", "c_mktsegment", "BUILDING").limit(1000), [], None
+    while True:  # page by page, as a lookup may hold more rows than a request gives
+        part = [r["id"] for r in db.get(building.after(after))]
+        many += part
+        if len(part) < 1000:
+            break
+        after = part[-1]
+    told = [("one", db.get(selector.one("customers", "c_name", low))["id"]), *(("many", i) for i in many)]
+    told += [("count", str(db.get(selector.count("customers").by("c_mktsegment", "BUILDING")))), ("all", str(db.get(selector.count("customers"))))]
+    told += [("page", r["id"]) for r in db.get(selector.all("customers").limit(5)).rows]
+    told += [("handle", db.customers.by.c_name(high)["id"])]
+    told += [("json", r["id"]) for r in db.execute(Plan.from_json(selector.id("customers", "2").into_plan().to_json())).rows]
+    return spark.createDataFrame(told, "what string, id string")
+
+
+@query("SELECT 'put' AS what, 'a' AS id UNION ALL SELECT 'rejected', 'type' UNION ALL SELECT 'rejected', 'field' UNION ALL SELECT 'rejected', 'unique' UNION ALL SELECT 'rejected', 'lookup' UNION ALL SELECT 'rejected', 'reserved'")
+def database_validation(spark, sf):
+    """What record and schema checks refuse."""
+    from .errors import StrandlogError
+    from .schema import check_name
+
+    db = _database(spark, CUSTOMERS)
+    row = {"id": "a", "c_name": "n", "c_mktsegment": "s", "c_acctbal": 1.0}
+    db.insert("customers", row)
+    bad = {
+        "type": lambda: db.upsert("customers", row | {"c_acctbal": "1"}), "field": lambda: db.upsert("customers", row | {"more": 1}), "unique": lambda: db.insert("customers", row | {"id": "b"}),
+        "lookup": lambda: db.get(selector.many("customers", "c_acctbal", 1.0)), "reserved": lambda: check_name("_tx"),
+    }
+    told = [("put", r["id"]) for r in db.scan("customers").rows]
+    for name, call in bad.items():
+        try:
+            call()
+        except StrandlogError:
+            told.append(("rejected", name))
+    return spark.createDataFrame(told, "what string, id string")

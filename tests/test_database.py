@@ -305,6 +305,14 @@ def test_frames_of_changes(db, spark):
     assert ids(db.scan("users").rows) == ["u2", "u3", "u4", "u5"]
 
 
+def test_point_reads_reach_the_snapshot_files(db):
+    db.insert_many("notes", [note(str(i), n=i) for i in range(5)])
+    db.refresh("notes")
+    plan = lambda df: df._jdf.queryExecution().toString()
+    t = SCHEMA.table("notes")
+    assert "EqualTo(id,3)" in plan(read.get(db.live("notes"), t, "id", "3")) and "EqualTo(n,3)" in plan(read.find(db.live("notes"), t, "n", 3))
+
+
 def test_stored_text_index(db):
     db.insert_many("notes", [note("a", title="red fox"), note("b", title="red dog")])
     db.index_text("notes", "title")

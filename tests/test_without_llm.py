@@ -1,5 +1,7 @@
 """The engine imports and registers its queries without the training-data operators."""
 
+import os
+import shutil
 import subprocess
 import sys
 from pathlib import Path
@@ -22,6 +24,16 @@ def test_entry_without_llm():
     subprocess.run([sys.executable, "-c", CODE], cwd=ROOT, check=True, timeout=120)
 
 
+def test_a_copy_without_the_folders(tmp_path):
+    copy = tmp_path / "repo"
+    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__", ".pytest_cache"))
+    code = "import __spark_entry__ as e; assert 'live_state' in e.queries() and not any(n.startswith('op') or n == 'pipeline' for n in e.queries())"
+    env = {**os.environ, "PYTHONPATH": str(copy)}
+    subprocess.run([sys.executable, "-c", code], cwd=copy, env=env, check=True, timeout=120)
+    found = subprocess.run([sys.executable, "-m", "pytest", "--collect-only", "-q", "tests"], cwd=copy, env=env, capture_output=True, text=True, timeout=300)
+    assert found.returncode == 0, found.stdout[-2000:]
+
+
 def test_engine_never_names_llm():
     for p in (ROOT / "strandlog").rglob("*.py"):
         if "llm" not in p.relative_to(ROOT).parts:
