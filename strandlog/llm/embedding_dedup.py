@@ -51,7 +51,7 @@ FITTED = 12
 FITTED_DIMS = 64
 RULE_SPILL, RULE_TREES = 2.5, 3
 #: Vectors in a leaf, about; every table is split ``LEAST_DEPTH`` times at least.
-LEAF_TARGET = 512
+LEAF_TARGET = 1024
 LEAST_DEPTH = 2
 LEAF_ROWS = 2048
 #: Vectors and directions are rounded to multiples of 1 / GRID.
@@ -173,15 +173,29 @@ def to_unit(flat: np.ndarray, dim: int) -> np.ndarray:
 
 
 def linked(x: np.ndarray, y: np.ndarray | None, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs with cosine of at least the threshold; within x (i < j) if y is None."""
+    """Index pairs with cosine of at least the threshold; within x (i < j) if y is None.
+
+    Single precision tells the pairs that are clearly above; those within 1e-4 of the threshold are computed in double.
+    """
     other = x if y is None else y
     f, g = x.astype(np.float32), other.astype(np.float32)
-    i, j = np.nonzero(f @ g.T >= cosine - 1e-4)
-    if y is None:
-        i, j = i[i < j], j[i < j]
-    keep = [np.einsum("ij,ij->i", x[i[k : k + 65536]], other[j[k : k + 65536]]) >= cosine for k in range(0, len(i), 65536)]
-    keep = np.concatenate(keep) if keep else np.zeros(0, bool)
-    return i[keep], j[keep]
+    found_i, found_j = [], []
+    for k in range(0, len(f), 256):
+        at = k if y is None else 0
+        c = f[k : k + 256] @ g[at:].T
+        i, j = np.nonzero(c >= cosine - 1e-4)
+        sure = c[i, j] >= cosine + 1e-4
+        i, j = i + k, j + at
+        if y is None:
+            i, j, sure = (v[i < j] for v in (i, j, sure))
+        near = np.flatnonzero(~sure)
+        for m in range(0, len(near), 65536):
+            own = near[m : m + 65536]
+            sure[own] = np.einsum("ij,ij->i", x[i[own]], other[j[own]]) >= cosine
+        found_i.append(i[sure])
+        found_j.append(j[sure])
+    none = [np.zeros(0, int)]
+    return np.concatenate(found_i or none), np.concatenate(found_j or none)
 
 
 def _vectors(column: pa.Array, dim: int) -> np.ndarray:
@@ -231,6 +245,7 @@ def class_links(classes: DataFrame, cosine: float) -> DataFrame:
     spark = classes.sparkSession
     sized = classes.select("_node", "_v", F.size("_v").alias("_dim"))
     sizes = land(sized.groupBy("_dim").agg(F.count(F.lit(1)).alias("_many")), "vector-dims")
+    few = sizes.count() <= 4096  # dimensions
     models = {}
     for r in sizes.orderBy(F.desc("_many"), "_dim").limit(FITTED_DIMS).collect():
         dim, n = r["_dim"], r["_many"]
@@ -260,7 +275,7 @@ def class_links(classes: DataFrame, cosine: float) -> DataFrame:
                             ["_node", "_dim", "_tree", "_leaf"],
                         )
 
-    dealt = sized.join(F.broadcast(sizes), "_dim") if sizes.count() <= 4096 else sized.join(sizes, "_dim")
+    dealt = sized.join(F.broadcast(sizes), "_dim") if few else sized.join(sizes, "_dim")
     routed = land(dealt.select("_node", "_v", "_dim", "_many").mapInArrow(route, "_node long, _dim int, _tree int, _leaf long"), "leaves")
     leaf = ["_dim", "_tree", "_leaf"]
     counts = land(routed.groupBy(*leaf).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1"), "leaf-sizes")
@@ -294,7 +309,7 @@ def class_links(classes: DataFrame, cosine: float) -> DataFrame:
         hit = np.flatnonzero(links > 0)
         return pa.table({"_node": ids[hit], "_links": links[hit].astype(np.int64), "_least": least[hit]})
 
-    met = placed.join(classes.select("_node", "_times", "_v"), "_node").join(F.broadcast(many) if sizes.count() <= 4096 else many, "_dim")
+    met = placed.join(classes.select("_node", "_times", "_v"), "_node").join(F.broadcast(many) if few else many, "_dim")
     return land(met.groupBy(*leaf, "_i", "_j").applyInArrow(compare, "_node long, _links long, _least long"), "vector-links")
 
 
