@@ -95,6 +95,11 @@ def unland(*frames: DataFrame) -> None:
                 drop_path(df.sparkSession, path)
 
 
+def settle(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps that have landed: it does so once their plans are collected."""
+    spark._jvm.System.gc()
+
+
 def fresh(name: str, *frames: DataFrame) -> str:
     """A column name that none of the frames has."""
     taken = {c.lower() for df in frames for c in df.columns}
@@ -143,6 +148,20 @@ def spread_join(left: DataFrame, right: DataFrame, on: list[str], heavy: DataFra
     return one.join(other, [*on, salt], how).drop(salt)
 
 
+#: Hashes that are broadcast to leave rows out of a join, at most.
+MARKS = 1 << 20
+
+
+def only_marked(rows: DataFrame, wanted: DataFrame, *key: str) -> DataFrame:
+    """``rows`` without most of those whose key ``wanted`` does not have, so that they need not travel to a join.
+
+    What is broadcast are hashes of the wanted keys modulo ``MARKS``, so never more than that many.
+    """
+    mark = fresh("_mark", rows)
+    h = F.pmod(F.xxhash64(*key), F.lit(MARKS)).alias(mark)
+    return rows.select("*", h).join(F.broadcast(wanted.select(h).distinct()), mark, "left_semi").drop(mark)
+
+
 def broadcast_bytes(spark: SparkSession, value):
     """Broadcast a value whose size the caller has bounded."""
     ship(spark)

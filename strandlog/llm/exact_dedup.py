@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import drop_path, fresh, heavy_keys, land, once, row_key, spread_join, unland, work_path
+from ._common import drop_path, fresh, heavy_keys, land, once, only_marked, row_key, spread_join, work_path
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Settings of the stateful query's own session.
@@ -68,9 +68,11 @@ class StreamDedup:
     def feed(self, folder: str, schema) -> None:
         """Take in the files of ``folder`` not seen so far."""
         own = self.spark.newSession()
-        for k, v in {**self.spark.conf.getAll, **STATE_CONF}.items():
+        for k, v in self.spark.conf.getAll.items():
             if self.spark.conf.isModifiable(k):
                 own.conf.set(k, v)
+        for k, v in STATE_CONF.items():  # the state store's own settings are no registered ones
+            own.conf.set(k, v)
         rows = (
             own.readStream.schema(schema)
             .option("maxBytesPerTrigger", self.max_bytes)
@@ -140,17 +142,17 @@ def differing_hits(landed: DataFrame, state: DataFrame, heavy: DataFrame) -> Dat
     """(_digest): digests whose members are not all equal byte for byte.
 
     The rows of digests seen more than once are held against the content at their class's
-    locator; those of a hot class are dealt over many tasks.
+    locator; those of a hot class are dealt over many tasks. Only texts of such digests travel, and a few
+    others.
     """
     at = F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
     hits = state.filter(F.col("_rows") > 1).select("_digest", "_locator")
-    placed = landed.select("_digest", at.alias("_place"), F.col("_norm").cast("binary").alias("_bytes"))
-    found = land(spread_join(placed, hits, ["_digest"], heavy, by=["_place"]), "dedup-hits")
-    kept = land(found.filter(F.col("_place") == F.col("_locator")).select("_digest", F.col("_bytes").alias("_kept")), "dedup-kept")
-    others = found.filter(F.col("_place") != F.col("_locator")).select("_digest", "_place", "_bytes")
-    differing = land(spread_join(others, kept, ["_digest"], heavy, by=["_place"]).filter(F.col("_bytes") != F.col("_kept")).select("_digest"), "dedup-differing").distinct()
-    unland(found, kept)
-    return differing
+    spots = hits.select(F.col("_locator").alias("_place"))
+    met = only_marked(landed.select("_digest", at.alias("_place"), F.col("_norm").cast("binary").alias("_bytes")), hits, "_digest")
+    first = only_marked(met, spots, "_place").join(hits, "_digest")
+    kept = first.filter(F.col("_place") == F.col("_locator")).select("_digest", "_locator", F.col("_bytes").alias("_kept"))
+    others = spread_join(met, kept, ["_digest"], heavy, by=["_place"]).filter((F.col("_place") != F.col("_locator")) & (F.col("_bytes") != F.col("_kept")))
+    return land(others.select("_digest"), "dedup-differing").distinct()
 
 
 def split_clashes(landed: DataFrame, out: DataFrame, differing: DataFrame) -> DataFrame:

@@ -48,21 +48,32 @@ def words(raw: bytes) -> np.ndarray:
             end = min(len(raw), at + STEP)
             while end < len(raw) and not _WHITE[raw[end]]:
                 end += 1
-            out.append(_words(np.frombuffer(raw, np.uint8, end - at, at)))
+            out.append(_words(np.frombuffer(raw, np.uint8, end - at, at))[0])
             at = end
         return np.concatenate(out)
-    return _words(np.frombuffer(raw, np.uint8))
+    return _words(np.frombuffer(raw, np.uint8))[0]
 
 
-def _words(b: np.ndarray) -> np.ndarray:
+def words_of(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the words of some texts, one text after the other, and their number in each."""
+    if sum(map(len, raws)) + len(raws) > STEP:
+        own = [words(r) for r in raws]
+        return np.concatenate(own), np.array([len(w) for w in own], np.int64)
+    w, starts = _words(np.frombuffer(b" ".join(raws), np.uint8))
+    stops = np.cumsum(np.array([len(r) + 1 for r in raws], np.int64))
+    return w, np.diff(np.searchsorted(starts, stops), prepend=0)
+
+
+def _words(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, starts) of the words in some bytes."""
     if not len(b):
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     ink = ~_WHITE[b]
     edge = np.flatnonzero(np.diff(ink, prepend=False, append=False))
     starts, ends = edge[::2], edge[1::2]
     total = np.zeros(len(b) + 1, np.uint64)
     np.cumsum(_BYTE[b] * _power(_P, len(b)), out=total[1:])
-    return mix((total[ends] - total[starts]) * _power(_P_INVERSE, len(b) + 1)[starts])
+    return mix((total[ends] - total[starts]) * _power(_P_INVERSE, len(b) + 1)[starts]), starts
 
 
 def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
@@ -82,17 +93,8 @@ def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
 
 
 def _sets(raws: list[bytes], k: int) -> list[np.ndarray]:
-    if len(raws) == 1:
-        w = words(raws[0])
-        bounds = [0, len(w)]
-    else:
-        joined = b" ".join(raws)
-        b = np.frombuffer(joined, np.uint8)
-        w = _words(b)
-        lengths = np.fromiter((len(r) + 1 for r in raws), np.int64, len(raws))
-        ink = ~_WHITE[b]
-        firsts = np.flatnonzero(np.diff(ink, prepend=False).astype(bool) & ink)
-        bounds = np.searchsorted(firsts, np.concatenate([[0], np.cumsum(lengths)])).tolist()
+    w, counts = words_of(raws)
+    bounds = [0, *np.cumsum(counts).tolist()]
     factors = np.random.default_rng(4 + k).integers(1, 1 << 63, k, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     n = len(w)
     if n >= k:

@@ -42,8 +42,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import heavy_keys, land, ship, spread_join, unland
-from .shingles import _P, _P_INVERSE, _power, mix, words
+from ._common import heavy_keys, land, only_marked, settle, ship, spread_join, unland
+from .shingles import _P, _P_INVERSE, _power, mix, words_of
 
 WIDTH = 400
 GRAM = 32
@@ -51,7 +51,7 @@ GRAM = 32
 PASSAGE, WORD_GRAM = 51, 12
 SHARD_BYTES = 2 << 20
 #: Bytes of text that are sieved at once.
-CHUNK = 1 << 18
+CHUNK = 1 << 16
 
 
 def _raw(text: str | None) -> bytes:
@@ -101,15 +101,7 @@ def _anchors(b: np.ndarray, width: int, ends: np.ndarray):
     np.cumsum(_BYTE_CASED[b] * _power(_P, n), out=total[1:])
     h = mix((total[GRAM:] - total[:-GRAM]) * _power(_P_INVERSE, n + 1)[: n - GRAM + 1])
     span = width - GRAM + 1
-    place = np.arange(len(h), dtype=np.uint64)
-    m = (h & np.uint64(0xFFFFFFFF00000000)) | (np.uint64(0xFFFFFFFF) - place)
-    size = 1
-    while 2 * size <= span:
-        m = np.minimum(m[:-size], m[size:])
-        size *= 2
-    if size < span:
-        m = np.minimum(m[: len(m) - (span - size)], m[span - size :])
-    chosen = (np.uint64(0xFFFFFFFF) - (m & np.uint64(0xFFFFFFFF))).astype(np.int64)
+    chosen = _smallest(h, span)
     inside = np.ones(len(chosen) + width, bool)
     for e in ends.tolist():
         inside[max(0, e - width + 1) : e] = False
@@ -123,75 +115,112 @@ def _anchors(b: np.ndarray, width: int, ends: np.ndarray):
 _BYTE_CASED = np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _winnow(h: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first start, last start, place) of the smallest hash (the last of equal ones) of every ``span`` in a row."""
-    m = np.lib.stride_tricks.sliding_window_view(h[::-1], span)
-    chosen = len(h) - 1 - (np.arange(len(m)) + m.argmin(axis=1))
-    chosen = chosen[::-1]
-    new = np.flatnonzero(np.diff(chosen, prepend=-1))
-    return new, np.append(new[1:], len(chosen)) - 1, chosen[new]
-
-
-def _sums(w: np.ndarray, k: int) -> np.ndarray:
-    """A hash of every ``k`` words in a row, from the words' hashes."""
-    n = len(w)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(w * _power(_P, n), out=total[1:])
-    return mix((total[k:] - total[:-k]) * _power(_P_INVERSE, n + 1)[: n - k + 1])
+def _smallest(h: np.ndarray, span: int) -> np.ndarray:
+    """The place of the smallest hash (the last of equal upper halves) of every ``span`` in a row."""
+    place = np.arange(len(h), dtype=np.uint64)
+    m = (h & np.uint64(0xFFFFFFFF00000000)) | (np.uint64(0xFFFFFFFF) - place)
+    size = 1
+    while 2 * size <= span:
+        m = np.minimum(m[:-size], m[size:])
+        size *= 2
+    if size < span:
+        m = np.minimum(m[: len(m) - (span - size)], m[span - size :])
+    return (np.uint64(0xFFFFFFFF) - (m & np.uint64(0xFFFFFFFF))).astype(np.int64)
+
+
+class _Words:
+    """The words of some texts as hashes, and hashes of words in a row."""
+
+    def __init__(self, raws: list[bytes]):
+        self.w, counts = words_of(raws)
+        self.ends = np.cumsum(counts)
+        self.begins = self.ends - counts
+        self.total = np.zeros(len(self.w) + 1, np.uint64)
+        np.cumsum(self.w * _power(_P, len(self.w)), out=self.total[1:])
+
+    def sums(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """A hash of the words from lo to before hi."""
+        return mix((self.total[hi] - self.total[lo]) * _power(_P_INVERSE, len(self.w) + 1)[lo] + (hi - lo).astype(np.uint64))
+
+    def anchors(self, k: int) -> tuple[np.ndarray, ...]:
+        """(text, first start, last start, key, hash of all its words) of each anchor, places from the text's start."""
+        n = len(self.w)
+        if n < k:
+            return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+        at = np.arange(n - WORD_GRAM + 1)
+        h = self.sums(at, at + WORD_GRAM)
+        chosen = _smallest(h, k - WORD_GRAM + 1)
+        text = np.searchsorted(self.ends, np.arange(len(chosen)), side="right")
+        starts = np.flatnonzero(np.arange(len(chosen)) + k <= self.ends[text])  # not across two texts
+        chosen = chosen[starts]
+        new = np.flatnonzero(np.diff(chosen, prepend=-1))
+        last = np.append(new[1:], len(chosen)) - 1 if len(new) else new
+        lo, hi = starts[new], starts[last]
+        of = text[lo]
+        return of, lo - self.begins[of], hi - self.begins[of], h[chosen[new]], self.sums(lo, hi + k)
+
+
+def _by_bytes(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of batches with about ``CHUNK`` bytes of text, and the texts."""
+    for batch in batches:
+        at, size, raws = 0, 0, []
+        for i, t in enumerate(batch.column(column)):
+            raws.append(_raw(t.as_py()))
+            size += len(raws[-1])
+            if size >= CHUNK or i == batch.num_rows - 1:
+                yield batch.slice(at, len(raws)), raws
+                at, size, raws = i + 1, 0, []
 
 
 def passages(rows: DataFrame, copies: DataFrame, k: int = PASSAGE) -> DataFrame:
-    """(_d, _passages): texts with runs of at least ``k`` words that another document holds too.
+    """(_t, _passages): texts with runs of at least ``k`` words that another document holds too.
 
-    ``rows`` has _k, _d and _text, ``copies`` _d, _times and the _k of a row with that text.
+    ``rows`` has _k, _t (hash of the text) and _text, ``copies`` _t, _times and the _k of a row with that text.
+    Anchors that several texts share are kept. Where all the texts have the same words around one, all strings it
+    owns are shared; only the others are told apart string by string.
     """
 
     def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            of, lo, hi, key = [], [], [], []
-            for i, t in enumerate(batch.column(1)):
-                w = words(_raw(t.as_py()))
-                if len(w) >= k:
-                    h = _sums(w, WORD_GRAM)
-                    a, b, p = _winnow(h, k - WORD_GRAM + 1)
-                    of.append(np.full(len(a), i))
-                    lo.append(a)
-                    hi.append(b)
-                    key.append(h[p])
-            if of:
-                of = pa.array(np.concatenate(of))
-                ints = (pa.array(np.concatenate(x).astype(np.int32)) for x in (lo, hi))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(of), *ints, pa.array(np.concatenate(key).view(np.int64))], ["_d", "_lo", "_hi", "_key"])
-
-    found = land(rows.select("_d", "_text").mapInArrow(sieve, "_d binary, _lo int, _hi int, _key long"), "word-anchors")
-    counts = found.groupBy("_key").agg(F.min("_d").alias("_a"), F.max("_d").alias("_b"), F.count(F.lit(1)).alias("_rows"))
-    again = land(counts.filter("_a <> _b").select("_key", "_rows"), "word-keys")
-    held = spread_join(found, again.select("_key"), ["_key"], heavy_keys(again), "left_semi")
-    own = held.groupBy("_d").agg(F.collect_set(F.struct("_lo", "_hi")).alias("_own"))
-    asked = own.join(copies, "_d").select("_k", "_d", "_own")
+        for batch, raws in _by_bytes(batches, 1):
+            of, lo, hi, key, whole = _Words(raws).anchors(k)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(of)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(whole.view(np.int64))],
+                ["_t", "_lo", "_hi", "_key", "_all"],
+            )
+
+    found = land(rows.select("_t", "_text").mapInArrow(sieve, "_t long, _lo int, _hi int, _key long, _all long"), "word-anchors")
+    counts = found.groupBy("_key").agg(F.min("_t").alias("_a"), F.max("_t").alias("_b"), F.min("_all").alias("_c"), F.max("_all").alias("_e"), F.count(F.lit(1)).alias("_rows"))
+    again = land(counts.filter("_a <> _b").select("_key", (F.col("_c") == F.col("_e")).alias("_same"), "_rows"), "word-keys")
+    held = land(spread_join(found.drop("_all"), again.drop("_rows"), ["_key"], heavy_keys(again.drop("_same")), by=["_t", "_lo"]).select("_t", "_lo", "_hi", "_same"), "word-sites")
+    # a text that occurs several times is one run throughout
+    long = land(found.select("_t").distinct().join(copies.filter("_times > 1").select("_t"), "_t"), "word-copies")
+    unland(found)
+    own = held.filter(~F.col("_same")).groupBy("_t").agg(F.collect_set(F.struct("_lo", "_hi")).alias("_own"))
+    asked = land(own.join(copies, "_t").select("_k", "_t", "_own"), "word-asked")
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (whole.slice(i, 64) for whole in batches for i in range(0, whole.num_rows, 64)):
-            of, places, hashes = [], [], []
-            for i, (own, t) in enumerate(zip(batch.column(1), batch.column(2))):
-                h = _sums(words(_raw(t.as_py())), k)
-                at = np.unique(np.concatenate([np.arange(x["_lo"], x["_hi"] + 1) for x in own.as_py()]))
-                of.append(np.full(len(at), i))
-                places.append(at.astype(np.int32))
-                hashes.append(h[at].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(of))), pa.array(np.concatenate(places)), pa.array(np.concatenate(hashes))], ["_d", "_at", "_h"])
-
-    texts = rows.join(asked, ["_k", "_d"]).dropDuplicates(["_d"]).select("_d", "_own", "_text")
-    seen = land(texts.mapInArrow(strings, "_d binary, _at int, _h long"), "word-strings")
-    twice = land(seen.groupBy("_h").agg(F.min("_d").alias("_a"), F.max("_d").alias("_b"), F.count(F.lit(1)).alias("_rows")).filter("_a <> _b").select("_h", "_rows"), "word-strings-again")
-    shared = spread_join(seen, twice.select("_h"), ["_h"], heavy_keys(twice), "left_semi", ["_d", "_at"])
-    starts = shared.groupBy("_d").agg(F.sort_array(F.collect_set("_at")).alias("_at"))
-    step = lambda acc, x: F.struct((acc["n"] + F.when(x > acc["last"] + k, 1).otherwise(0)).alias("n"), x.alias("last"))
-    runs_ = F.aggregate("_at", F.struct(F.lit(0).alias("n"), F.lit(-k - 1).alias("last")), step)["n"].cast("long")
-    # a text that occurs several times is one run throughout; single ones are told by their strings
-    whole = found.select("_d").distinct().join(copies.filter("_times > 1").select("_d"), "_d").select("_d", F.lit(1).cast("long").alias("_passages"))
-    single = starts.join(copies.filter("_times = 1").select("_d"), "_d").select("_d", runs_.alias("_passages"))
-    return single.unionByName(whole)
+        for batch, raws in _by_bytes(batches, 2):
+            held = _Words(raws)
+            of, at = [], []
+            for i, own in enumerate(batch.column(1)):
+                at.append(np.unique(np.concatenate([np.arange(x["_lo"], x["_hi"] + 1) for x in own.as_py()])))
+                of.append(np.full(len(at[-1]), i))
+            of, at = np.concatenate(of), np.concatenate(at)
+            h = held.sums(held.begins[of] + at, held.begins[of] + at + k)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), pa.array(at.astype(np.int32)), pa.array(h.view(np.int64))], ["_t", "_lo", "_h"])
+
+    texts = only_marked(rows, asked, "_t").join(asked, ["_k", "_t"]).dropDuplicates(["_t"]).select("_t", "_own", "_text")
+    seen = land(texts.mapInArrow(strings, "_t long, _lo int, _h long"), "word-strings")
+    twice = seen.groupBy("_h").agg(F.min("_t").alias("_a"), F.max("_t").alias("_b"), F.count(F.lit(1)).alias("_rows")).filter("_a <> _b").select("_h", "_rows")
+    twice = land(twice, "word-strings-again")
+    shared = spread_join(seen, twice.select("_h"), ["_h"], heavy_keys(twice), "left_semi", ["_t", "_lo"])
+    runs_ = shared.select("_t", "_lo", F.col("_lo").alias("_hi")).unionByName(held.filter("_same").select("_t", "_lo", "_hi"))
+    single = runs_.join(copies.filter("_times = 1").select("_t"), "_t").groupBy("_t").agg(F.sort_array(F.collect_set(F.struct("_lo", "_hi"))).alias("_runs"))
+    step = lambda acc, x: F.struct((acc["n"] + F.when(x["_lo"] > acc["last"] + k, 1).otherwise(0)).alias("n"), F.greatest(acc["last"], x["_hi"]).alias("last"))
+    many = F.aggregate("_runs", F.struct(F.lit(0).alias("n"), F.lit(-k - 1).alias("last")), step)["n"].cast("long")
+    told = land(single.select("_t", many.alias("_passages")).unionByName(long.select("_t", F.lit(1).cast("long").alias("_passages"))), "passages")
+    unland(held, long, again, asked, seen, twice)
+    return told
 
 
 def halves(lo: int, hi: int, p: int, width: int) -> list[tuple[int, int, tuple[int, int]]]:
@@ -236,26 +265,27 @@ class Shard:
         if not n:
             self.order = np.zeros(0, np.int64)
             return
-        stop = self.end[self.owner]
-        key = self.word(np.arange(n))
-        short = np.flatnonzero(stop - np.arange(n) < 8)  # bytes of the next string do not count
-        key[short] &= ~np.uint64(0) << ((8 - (stop[short] - short)).astype(np.uint64) * np.uint64(8))
-        order = np.argsort(key)
-        fresh = np.concatenate([[True], key[order][1:] != key[order][:-1]])
-        rank = np.empty(n, np.int64)
-        rank[order] = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+        stop = self.end[self.owner].astype(np.int32)
+        at = np.arange(n, dtype=np.int32)
+        key = self.word(at)
+        short = np.flatnonzero(stop - at < 8)  # bytes of the next string do not count
+        key[short] &= ~np.uint64(0) << ((8 - (stop[short] - at[short])).astype(np.uint64) * np.uint64(8))
+        order = np.argsort(key).astype(np.int32)
+        key = key[order]
+        fresh = np.concatenate([[True], key[1:] != key[:-1]])
+        rank = np.empty(n, np.int32)
+        rank[order] = np.flatnonzero(fresh).astype(np.int32)[np.cumsum(fresh) - 1]
         alone = fresh & np.append(fresh[1:], True)
         active = order[~alone]  # places of groups not sorted yet, group by group
         h = 8
         while h < self.width and len(active):
-            ahead = active + h
-            inside = ahead < stop[active]
-            second = np.where(inside, rank[np.minimum(ahead, n - 1)] + 1, 0)
-            base = rank[active]
-            key = (base.astype(np.uint64) << np.uint64(32)) | second.astype(np.uint64)
+            ahead = active + np.int32(h)
+            second = np.where(ahead < stop[active], rank[np.minimum(ahead, n - 1)] + 1, 0)
+            key = (rank[active].astype(np.uint64) << np.uint64(32)) | second.astype(np.uint64)
             perm = np.argsort(key)
-            active, base, key = active[perm], base[perm], key[perm]
-            index = np.arange(len(active))
+            active, key = active[perm], key[perm]
+            base = (key >> np.uint64(32)).astype(np.int32)
+            index = np.arange(len(active), dtype=np.int32)
             group = np.concatenate([[True], base[1:] != base[:-1]])
             sub = np.concatenate([[True], key[1:] != key[:-1]])
             start = np.maximum.accumulate(np.where(group, index, 0))
@@ -400,6 +430,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     # ids as text, so that a null id finds its row and one partitioning serves the join and what follows
     id_text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     rows = docs.select(id_text(F.col(id_col)).alias("_k"), name.alias("_d"), text.alias("_text"))
+    at = F.xxhash64("_d").alias("_t")
     base = land(docs.select(F.col(id_col).alias("_id"), name.alias("_d"), F.octet_length(text).cast("long").alias("_n"), sha.alias("_sha")), "texts")
 
     def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -410,14 +441,16 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
                 ["_d", "_lo", "_hi", "_p", "_key"],
             )
 
+    copies = land(base.groupBy("_d").agg(F.count(F.lit(1)).alias("_times"), F.min("_id").alias("_rep")).select("_d", "_times", id_text(F.col("_rep")).alias("_k")), "text-counts")
+    shared = passages(rows.select("_k", at, "_text"), copies.select(at, "_times", "_k"))
+    settle(spark)
     found = land(rows.select("_d", "_text").mapInArrow(sieve, "_d binary, _lo int, _hi int, _p int, _key long"), "anchors")
     site = F.xxhash64("_d", "_lo")
     again = found.groupBy("_key").agg(F.min(site).alias("_a"), F.max(site).alias("_b"), F.count(F.lit(1)).alias("_rows")).filter("_a <> _b").select("_key", "_rows")
     again = land(again, "anchor-keys")
     lists = spread_join(found, again.select("_key"), ["_key"], heavy_keys(again), "left_semi", ["_d", "_lo"]).groupBy("_d").agg(F.collect_set(F.struct("_lo", "_hi", "_p")).alias("_own"))
-    copies = land(base.groupBy("_d").agg(F.count(F.lit(1)).alias("_times"), F.min("_id").alias("_rep")).select("_d", "_times", id_text(F.col("_rep")).alias("_k")), "text-counts")
-    wanted = lists.join(copies, "_d").select("_k", "_d", "_times", "_own")
-    suspects = land(rows.join(wanted, ["_k", "_d"]).dropDuplicates(["_k", "_d"]).select("_d", "_times", "_own", "_text"), "suspects")
+    wanted = land(lists.join(copies, "_d").select("_k", "_d", "_times", "_own"), "wanted")
+    suspects = land(only_marked(rows, wanted, "_d").join(wanted, ["_k", "_d"]).dropDuplicates(["_k", "_d"]).select("_d", "_times", "_own", "_text"), "suspects")
 
     unland(found)
 
@@ -509,7 +542,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     whole = base.filter(F.col("_n") >= width).groupBy("_d", "_n").agg(F.count(F.lit(1)).alias("_times")).filter("_times > 1").select(
         "_d", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("_n").alias("end"))).alias("_spans"), F.lit(b"").cast("binary").alias("_kept")
     )
-    told = cuts.unionByName(whole).join(passages(rows, copies), "_d", "full")
+    told = cuts.unionByName(whole).join(copies.select("_d", at).join(shared, "_t").drop("_t"), "_d", "full")
     heavy = heavy_keys(copies.select("_d", F.col("_times").alias("_rows")))
     return spread_join(base, told, ["_d"], heavy, "left", ["_id"]).select(
         F.col("_id").alias(id_col), F.col("_n").alias("n_bytes"), F.col("_sha").alias("text_sha256"), F.col("_spans").alias("spans"), F.col("_kept").alias("kept"),

@@ -238,7 +238,7 @@ def test_vectors_empty(spark):
 
 
 def test_forest_depth_and_trees():
-    f = embedding_dedup.Forest(64, 1 << 19, np.random.default_rng(1).standard_normal((4096, 64)) / 8, 0.9)
+    f = embedding_dedup.Forest(64, 1 << 20, np.random.default_rng(1).standard_normal((4096, 64)) / 8, 0.9)
     assert embedding_dedup.Forest(64, 500, np.random.default_rng(1).standard_normal((500, 64)) / 8, 0.9).depth >= 2
     assert f.depth == 10 and f.trees >= 8 and len(f.splits[0]) == 10
     row, tree, leaf = f.route(np.eye(64)[:5])
@@ -273,7 +273,7 @@ def test_forest_finds_pairs_inside_a_hot_cluster():
     unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
     x = unit(rng.standard_normal((30_000, 64)))
     x[:10_000] = unit(0.9**0.5 * unit(rng.standard_normal(64)) + 0.1**0.5 * unit(rng.standard_normal((10_000, 64))))
-    f = embedding_dedup.Forest(64, 1 << 19, x[rng.permutation(len(x))[: embedding_dedup.SAMPLE]], 0.9)
+    f = embedding_dedup.Forest(64, 1 << 20, x[rng.permutation(len(x))[: embedding_dedup.SAMPLE]], 0.9)
     assert f.depth == 10
     a, b = rng.integers(0, 10_000, (2, 30_000))
     at = np.flatnonzero((abs((x[a] * x[b]).sum(axis=1) - 0.9015) < 0.0015) & (a != b))[:2000]
@@ -357,3 +357,27 @@ def test_anchors_own_every_start_once(monkeypatch):
                 assert a <= b and c >= b and d <= a + 400
     monkeypatch.setattr(suffix_dedup, "CHUNK", 700)
     assert all((x == y).all() for x, y in zip(one, suffix_dedup.anchors(raws)))
+
+
+def test_spread_joins_equal_plain_ones(spark):
+    from strandlog.llm._common import fresh, heavy_keys, land, once, row_key, spread_join, unland
+
+    left = spark.range(4000).select(F.when(F.col("id") < 3000, 7).otherwise(F.col("id") % 50).alias("k"), "id", F.lit(1).alias("_salt"), F.lit(2).alias("_heavy"))
+    right = spark.range(40).select(F.col("id").cast("int").alias("k"), (F.col("id") * 10).alias("v"))
+    counts = left.groupBy("k").agg(F.count(F.lit(1)).alias("_rows"))
+    heavy = heavy_keys(counts, least=100)
+    assert [r["k"] for r in heavy.collect()] == [7] and heavy_keys(counts, least=5000) is None and heavy_keys(counts.limit(0)) is None
+    for how in ("inner", "left", "left_semi"):
+        got, plain = spread_join(left, right, ["k"], heavy, how), spread_join(left, right, ["k"], None, how)
+        assert got.columns == plain.columns and Counter(map(tuple, got.collect())) == Counter(map(tuple, plain.collect()))
+    spread = spread_join(left, right, ["k"], heavy).withColumn("p", F.spark_partition_id())
+    assert spread.sparkSession.conf.get("spark.sql.shuffle.partitions") == "4" and spread.count() > 3000
+    assert fresh("_K", left.withColumn("_k", F.lit(1))) == "_K_"
+    rows = spark.createDataFrame([(1, "a"), (1, "a"), (None, "a"), (None, "a"), (2, None)], "i long, t string")
+    assert once(rows.withColumn("_key", row_key(F.col("i"), F.col("t"))), "_key").count() == 3
+    landed = land(rows, "some")
+    assert landed.count() == 5
+    unland(landed)
+    unland(rows)  # not landed: nothing of it goes
+    with pytest.raises(Exception):
+        landed.count()
