@@ -84,7 +84,7 @@ def test_op5(spark):
     large = "/root/testdata/sf0.1"
     rows = {r["doc_id"]: r for r in QUERIES["op5_toxicity"](spark, large).collect()}
     told = duckdb.sql(f"SELECT doc_id, toxic FROM '{large}/labels.parquet' WHERE toxic IS NOT NULL").fetchall()
-    assert len(rows) == duckdb.sql(f"SELECT count(*) FROM '{large}/documents.parquet'").fetchone()[0] and all(0 <= r["score"] <= 1 for r in rows.values())
+    assert len(rows) == duckdb.sql(f"SELECT count(*) FROM '{large}/documents.parquet'").fetchall()[0][0] and all(0 <= r["score"] <= 1 for r in rows.values())
     held = [(rows[i], y) for i, y in told if i in rows and rows[i]["held_out"]]
     assert all(rows[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i in list(rows)[:500])
     assert sum(r["predicted"] == y for r, y in held) >= 0.96 * len(held) and sum(r["predicted"] for r, y in held if y) >= 0.8 * sum(y for _, y in held)
@@ -125,12 +125,24 @@ def test_pipeline(spark, docs):
         assert redacted[i]["n_chars"] == len(redacted[i]["text"]) and not [s for s in brute.personal(redacted[i]["text"]) if s[0] in ("email", "ip")]
         if not brute.personal(t):
             assert redacted[i]["text"] == t or re.search("<[A-Z]+>", redacted[i]["text"])
-    pieces = corpus_pipeline.run(spark, SF).collect()
+    pieces = corpus_pipeline.STAGES[4][1](spark, frame, SF).collect()
     ids = token_ids([(i, r["text"]) for i, r in redacted.items()])
     brute.packed(pieces, ids)
     assert all(np.frombuffer(r["ids"], "<u4").tolist() == ids[r["doc_id"]][r["start"] : r["start"] + r["length"]] for r in pieces)
 
 
+def test_run_hands_on_every_stage(spark, monkeypatch):
+    seen = []
+
+    def step(name, spark, docs, sf_dir):
+        seen.append((name, sf_dir, "stage-" in "".join(docs.inputFiles())))
+        return docs.filter(f"doc_id % {len(seen) + 1} = 0")
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(n, lambda *a, n=n: step(n, *a)) for n in ("a", "b c")])
+    rows = corpus_pipeline.run(spark, SF).collect()
+    assert seen == [("a", SF, False), ("b c", SF, True)] and {r["doc_id"] % 6 for r in rows} == {0}
+
+
 def test_pipeline_stages_take_anything(spark, tmp_path):
     """Nulls, empty and very long texts, repeated rows, clashing names, empty tables."""
     long = " ".join(f"w{i % 5000}" for i in range(30_000))
