@@ -7,8 +7,8 @@ with a permutation of the others.
 
 A tree is the classes sorted by their signature in its order. Classes whose longest common
 prefix reaches ``DEPTH`` min-hashes are one region. The depth adapts region by region: one
-that holds more than ``REGION`` classes is taken apart by its next min-hash, and the next, until its
-parts are small or its order ends. In a part, pairs of sorted neighbours come first, by the
+that holds more than ``REGION`` classes is taken apart by its next min-hashes (``LEVELS``), and the next, until its
+parts are small or the last level is reached. In a part, pairs of sorted neighbours come first, by the
 length of their common prefix, then all others by falling estimate; a pair whose ends are
 already connected is passed over, so a region of near copies costs about one confirmation a
 document and never lists its pairs. Links are confirmed on the full shingle sets, rebuilt
@@ -46,8 +46,8 @@ from .components import components
 SIGNATURE = 64
 TREES = 16
 DEPTH = 4
-#: Min-hashes of an order, at most.
-DEEPEST = 16
+#: Depths that a region may go to.
+LEVELS = (5, 6, 8, 10, 12, 16)
 #: Classes from which on a region is taken apart.
 REGION = 1024
 #: Classes and bytes of text of a block.
@@ -64,7 +64,7 @@ def orders() -> np.ndarray:
     out = []
     for t in range(TREES):
         own = np.arange(t * DEPTH, (t + 1) * DEPTH)
-        out.append(np.concatenate([own, rng.permutation(np.setdiff1d(np.arange(SIGNATURE), own))])[:DEEPEST])
+        out.append(np.concatenate([own, rng.permutation(np.setdiff1d(np.arange(SIGNATURE), own))])[: LEVELS[-1]])
     return np.array(out)
 
 
@@ -101,8 +101,8 @@ def label(tree: np.ndarray, depth: int):
 def regions(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((_node, _tree, _key, _n) small regions and parts, (the same) regions that were taken apart).
 
-    ``_key`` is the hash of the common prefix. Level by level, what is still too large reads one
-    min-hash more; counts are partial sums, so no level gathers a region in a task.
+    ``_key`` is the hash of the common prefix. Level by level, what is still too large reads some
+    min-hashes more; counts are partial sums, so no level gathers a region in a task.
     """
     order = orders()
     spots = F.array(*(F.struct(F.lit(t).alias("_tree"), F.xxhash64(label(order[t], DEPTH)).alias("_key")) for t in range(TREES)))
@@ -113,13 +113,16 @@ def regions(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     whole = met.filter(F.col("_n") > REGION)
     parts = [met.filter(F.col("_n") <= REGION)]
     open_, depth = whole.join(classes.select("_node", "_sig"), "_node"), DEPTH
-    while depth < DEEPEST and not open_.isEmpty():
-        depth += 1
-        next_ = F.xxhash64("_key", F.coalesce(*(F.when(F.col("_tree") == t, F.substring("_sig", 4 * int(order[t][depth - 1]) + 1, 4)) for t in range(TREES))))
+    for level in LEVELS:
+        if open_.isEmpty():
+            break
+        more = [label(order[t][depth:level], level - depth) for t in range(TREES)]
+        next_ = F.xxhash64("_key", F.coalesce(*(F.when(F.col("_tree") == t, more[t]) for t in range(TREES))))
+        depth = level
         deeper = open_.select("_node", "_sig", "_tree", next_.alias("_key"))
         sizes = land(deeper.groupBy(*region).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1"), "region-sizes")
         deeper = land(spread_join(deeper, sizes, region, heavy_keys(sizes, "_n")).select("_node", "_sig", *region, "_n"), "regions")
-        last = depth == DEEPEST
+        last = level == LEVELS[-1]
         parts.append((deeper if last else deeper.filter(F.col("_n") <= REGION)).select(*met.columns))
         open_ = deeper.filter(F.col("_n") > REGION)
     out = parts[0]
