@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import drop_path, fresh, heavy_keys, land, once, only_marked, row_key, spread_join, work_path
+from ._common import drop_path, fresh, heavy_keys, land, once, only_marked, row_key, spread_join, unland, work_path
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Settings of the stateful query's own session.
@@ -105,7 +105,8 @@ class StreamDedup:
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", checkpoint: str | None = None) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256, locator.
 
-    ``locator`` names the landed file and row that hold the kept row's content.
+    ``locator`` names the landed file and row that held the kept row's content while the run compared it;
+    the landed texts go at its end.
     """
     spark = docs.sparkSession
     landing = work_path(spark, "dedup-in")
@@ -132,6 +133,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", check
     )
     if clash:
         out = split_clashes(landed, out, differing)
+    out = land(out, "dedup-told")  # a narrow table takes the place of the landed texts
+    drop_path(spark, landing)
+    unland(state)
     return out.select(
         F.col("_id").alias(id_col), F.col("_keep_id").alias("keep_id"), F.col("_size").alias("group_size"),
         F.col("_id").eqNullSafe(F.col("_keep_id")).alias("kept"), F.col("_digest").alias("text_sha256"), F.col("_at").alias("locator"),

@@ -279,7 +279,9 @@ def members(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
     known = spread_join(sketch.filter(whole).drop("_sig"), told, ["_digest"], heavy_keys(copies), by=["_id", "_h"])
     known = known.select("_id", "_h", "_n", "_component", "_class", ((F.col("_id") == F.col("_component")) & (F.col("_h") == F.col("_top_h"))).alias("_first"))
     bare = sketch.filter(~whole).select("_id", "_h", "_n", F.col("_id").alias("_component"), F.col("_id").alias("_class"), F.lit(None).cast("boolean").alias("_first"))
-    return known.unionByName(bare)
+    out = land(known.unionByName(bare), "near-members")
+    unland(sketch, classes, told)
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:

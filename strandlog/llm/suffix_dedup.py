@@ -12,7 +12,7 @@ A byte goes if a string of ``WIDTH`` bytes that covers it also starts anywhere e
    goes; where a core has one extract only, its weight tells all there is to know.
    The other extracts meet by core in a shard, so equal strings meet in one shard.
 3. Each shard builds a suffix array over its extracts: Larsson-Sadakane refinement in
-   numpy, which re-sorts only the groups still unsorted and doubles the prefix each time,
+   numpy, which re-sorts only the groups still unsorted and doubles or triples the prefix each time,
    then Kasai's common prefixes, run in lockstep over all extracts. A start is repeated
    if its common prefix with a neighbour reaches WIDTH or its extract's weight is over one.
 4. A shard that outgrows ``SHARD_BYTES`` (a very common passage) is cut into smaller shards
@@ -48,8 +48,10 @@ from .shingles import _P, _P_INVERSE, _power, mix, words_of
 WIDTH = 400
 GRAM = 32
 #: Words of a passage, at least, and of the grams that sieve passages.
-PASSAGE, WORD_GRAM = 51, 12
+PASSAGE, WORD_GRAM = 51, 8
 SHARD_BYTES = 2 << 20
+#: Places of a shard up to which a rank takes 21 bits.
+RANKS = (1 << 21) - 1
 #: Bytes of text that are sieved at once.
 CHUNK = 1 << 16
 
@@ -277,14 +279,17 @@ class Shard:
         rank[order] = np.flatnonzero(fresh).astype(np.int32)[np.cumsum(fresh) - 1]
         alone = fresh & np.append(fresh[1:], True)
         active = order[~alone]  # places of groups not sorted yet, group by group
+        # two ranks fit a key, three where a rank takes 21 bits: the sorted prefix grows so many times a round
+        steps, bits = (3, np.uint64(21)) if n < RANKS else (2, np.uint64(32))
         h = 8
         while h < self.width and len(active):
-            ahead = active + np.int32(h)
-            second = np.where(ahead < stop[active], rank[np.minimum(ahead, n - 1)] + 1, 0)
-            key = (rank[active].astype(np.uint64) << np.uint64(32)) | second.astype(np.uint64)
+            key, end = rank[active].astype(np.uint64), stop[active]
+            for k in range(1, steps):  # the ranks h, 2h, ... ahead; 0 behind the string's end
+                ahead = active + np.int32(k * h)
+                key = (key << bits) | np.where(ahead < end, rank[np.minimum(ahead, n - 1)] + 1, 0).astype(np.uint64)
             perm = np.argsort(key)
             active, key = active[perm], key[perm]
-            base = (key >> np.uint64(32)).astype(np.int32)
+            base = (key >> (bits * np.uint64(steps - 1))).astype(np.int32)
             index = np.arange(len(active), dtype=np.int32)
             group = np.concatenate([[True], base[1:] != base[:-1]])
             sub = np.concatenate([[True], key[1:] != key[:-1]])
@@ -292,7 +297,7 @@ class Shard:
             substart = np.maximum.accumulate(np.where(sub, index, 0))
             rank[active] = base + substart - start
             active = active[~(sub & np.append(sub[1:], True))]
-            h *= 2
+            h *= steps
         places = np.flatnonzero(stop - np.arange(n) >= self.width)
         self.order = places[np.argsort(rank[places], kind="stable")]
 

@@ -320,7 +320,9 @@ def test_repeats_empty(spark):
     assert sorted((r["n_bytes"], bytes(r["kept"] or b"")) for r in rows) == [(0, b""), (len(words) + 4, b"end"), (len(words) + 9, b"tail one")]
 
 
-def test_suffix_arrays_against_counts():
+@pytest.mark.parametrize("ranks", [suffix_dedup.RANKS, 0])
+def test_suffix_arrays_against_counts(monkeypatch, ranks):
+    monkeypatch.setattr(suffix_dedup, "RANKS", ranks)
     rng = random.Random(9)
     for trial in range(30):
         w = rng.choice([40, 64, 400])
