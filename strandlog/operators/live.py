@@ -8,6 +8,7 @@ WindowGroupLimit on both sides of the exchange, so each task sends one row per i
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -107,15 +108,16 @@ def numbered(rows: DataFrame, key: str = "id", name: str = "_pos", buckets: int
     No global window: rows fall into ranges of the key by a bounded sample, ranges are
     counted, and each row is numbered inside its range from where the smaller ranges end.
     A row finds its range by binary search, so the work a row and the code generated stay
-    small at any number of ranges.
+    small at any number of ranges. The counts, one per range, come to the driver: rows joined
+    with them on the range can get a filter from Spark that names a column of another join.
     """
     n = buckets or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    dealt = rows.withColumn("_b", _range_of(F.col(key), _bounds(rows, key, n)))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = dealt.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    starts = sizes.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"))
-    at = F.row_number().over(Window.partitionBy("_b").orderBy(key)) + F.col("_from") - 1
-    return dealt.join(F.broadcast(starts), "_b").withColumn(name, at.cast("long")).drop("_b", "_from")  # a row per bucket
+    bounds = _bounds(rows, key, n)
+    dealt = rows.withColumn("_b", _range_of(F.col(key), bounds))
+    sizes = {r["_b"]: r["_n"] for r in dealt.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).collect()}  # a row per range
+    starts = F.array(*(F.lit(x).cast("long") for x in accumulate((sizes.get(b, 0) for b in range(len(bounds))), initial=0)))
+    at = F.row_number().over(Window.partitionBy("_b").orderBy(key)) + F.get(starts, F.col("_b")) - 1
+    return dealt.withColumn(name, at.cast("long")).drop("_b")
 
 
 def _range_of(key: Column, bounds: list) -> Column:

@@ -1,5 +1,7 @@
 import json
 import random
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -452,6 +454,33 @@ def test_mutate_frames(spark):
         mutate.patched(old, p.select("id"), t)
 
 
+def test_numbers_over_a_join_in_a_new_process():
+    """A filter that Spark inferred from the ranges named a column of the other side, if that was among the first of a process."""
+    code = """
+from pyspark.sql import SparkSession, functions as F
+from strandlog.operators import live, mutate
+from strandlog.schema import table
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").getOrCreate()
+key = F.col("id").cast("string").alias("id")
+ids = spark.range(40).select(*[F.lit(i).alias(f"x{i}") for i in range(3)], key).select("id")
+rows = mutate.patched(spark.range(40).select(key, F.col("id").alias("v")), ids.select("id", F.lit(1).cast("long").alias("v")), table("t", "id: id", "v: int"))
+found = live.numbered(rows, "id", "_seq", 12)
+assert [(r["id"], r["_seq"], r["v"]) for r in found.orderBy("id").collect()] == [(x, i, 1) for i, x in enumerate(sorted(map(str, range(40))))]
+same = found.join(live.numbered(rows, "id", "_seq", 3), ["id", "_seq"])
+assert same.count() == 40
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
+
+
+@pytest.mark.parametrize("buckets", [1, 3, 50])
+def test_numbers_of_few_rows(spark, buckets):
+    rows = spark.createDataFrame([("b", 1), (None, 2), ("a", 3)], "id string, v int")
+    assert sorted((r["_pos"], r["v"]) for r in live.numbered(rows, buckets=buckets).collect()) == [(0, 2), (1, 3), (2, 1)]
+    none = live.numbered(rows.filter("v > 3"), buckets=buckets)
+    assert none.count() == 0 and dict(none.dtypes)["_pos"] == "bigint"
+
+
 def test_watch(db, tmp_path):
     db.insert_many("notes", [note("a", nb="x"), note("b", nb="y"), note("c", nb="y")])
     seen = []
