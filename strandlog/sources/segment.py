@@ -107,14 +107,16 @@ def plan_chunks(sizes: list[int], cap: int = CHUNK_BYTES, first: int = 0, room:
     for n in sizes:
         if held and held + n > cap:
             chunk, held = chunk + 1, 0
-        chunk_name_text(chunk)
         out.append(chunk)
         held += n
     return out
 
 
 def chunked(log: DataFrame, table: Table, cap: int = CHUNK_BYTES) -> DataFrame:
-    """(_chunk_no, _batch, _pos, line): where export puts each operation."""
+    """(_chunk_no, _batch, _pos, line): where export puts each operation.
+
+    A log of any size has places; export refuses one of more chunks than there are names.
+    """
     return _chunked(log, table, cap)[0]
 
 
@@ -123,6 +125,7 @@ def _chunked(log: DataFrame, table: Table, cap: int) -> tuple[DataFrame, int]:
 
     A batch beyond ``WHOLE`` caps (a bulk load, a compacted table) falls into parts of equal
     ranges of its positions, each planned as a batch; chunks in order are the log in order.
+    What shares a position stays together, so there are no more parts than positions.
     """
     lines = encode(log, table).select("_batch", "_pos", "line")
     size = F.sum(F.octet_length("line") + 1).alias("n")
@@ -130,7 +133,7 @@ def _chunked(log: DataFrame, table: Table, cap: int) -> tuple[DataFrame, int]:
     sizes = lines.groupBy("_batch").agg(size, F.min("_pos").alias("lo"), F.max("_pos").alias("hi")).orderBy("_batch").collect()
     planned, parts = [], []
     for r in sizes:
-        k = -(-r["n"] // (cap * WHOLE)) if r["n"] > cap * WHOLE else 1
+        k = min(-(-r["n"] // (cap * WHOLE)), r["hi"] - r["lo"] + 1)
         parts.append((r["_batch"], r["lo"], (r["hi"] - r["lo"] + 1) / k, len(planned)))
         planned += [r["n"] // k] * k
     chunks = plan_chunks(planned, cap)
@@ -148,6 +151,7 @@ def export(log: DataFrame, table: Table, schema_hash: str, folder: str, cap: int
     """
     spark = log.sparkSession
     placed, n = _chunked(log, table, cap)
+    chunk_name_text(max(0, n - 1))
     files = Files(spark, folder)
     work = files.at(f"_writing-{uuid.uuid4().hex[:12]}")
     heads = spark.createDataFrame([(c, -1, -1, preamble(table, schema_hash)[:-1]) for c in range(n)], "_chunk_no int, _batch long, _pos long, line string")

@@ -137,6 +137,19 @@ def test_a_large_batch_is_split_in_order(spark, tmp_path, monkeypatch):
     assert [r["_tx"] for r in back] == [*range(1, 201), 300]
 
 
+def test_a_large_batch_has_no_more_parts_than_positions(spark, tmp_path, monkeypatch):
+    log = _log(spark, [(b, b, 1, "R", f"k{b}{i}", "x" * 200, b) for b in range(3) for i in range(9)], MESSAGES)
+    found = segment.chunked(log, MESSAGES, 1)
+    assert {(r["_chunk_no"], r["_batch"]) for r in found.collect()} == {(0, 0), (1, 1), (2, 2)} and found.count() == 27
+    gap = _log(spark, [(0, p, 1, "R", f"k{p}{i}", "x" * 200, p) for p in (0, 2) for i in range(9)], MESSAGES)
+    assert segment.export(gap, MESSAGES, "h", "file://" + str(tmp_path / "g"), cap=1) == 3
+    assert segment.load(spark, str(tmp_path / "g"), MESSAGES).count() == 18
+    monkeypatch.setattr(fn, "LAST_CHUNK", 1)
+    assert segment.chunked(log, MESSAGES, 1).count() == 27
+    with pytest.raises(FormatError, match="no name for chunk 2"):
+        segment.export(log, MESSAGES, "h", "file://" + str(tmp_path / "s"), cap=1)
+    assert not (tmp_path / "s").exists()
+
 
 def test_json_log(spark):
     log = _log(spark, [(0, 0, 1, "R", "a", "t", 1, 1.5, True), (0, 1, 2, "D", "a", "t", 1, 1.5, True)], WIDE)
